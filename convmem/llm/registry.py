@@ -4,8 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from convmem.llm.batches import bound_batches
+
+
+#: Fixed by the queries' contract: blocks and exceptions by host suffix and path.
+URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -18,6 +25,20 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base verdict and learned verdict of every document."""
+    from convmem.llm.quality import quality_rules
+
+    return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity score of every document."""
+    from convmem.llm.toxicity import toxicity
+
+    return toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The predicted language of every document."""
     from convmem.llm.language_id import identify
@@ -55,6 +76,13 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(_documents(spark, sf_dir), 40)
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's URL, by rules and by the decisions on its aliases."""
+    from convmem.llm.url_filter import judge_urls
+
+    return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES)
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents linked by 3-word shingles at a Jaccard similarity of 0.85 or more."""
     from convmem.llm.near_dedup import near_dedup
@@ -62,7 +90,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(_documents(spark, sf_dir), k=3, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op4_language_id, op5_best_fit_packing, op6_span_dedup, op7_exact_dedup, op8_sharding, op10_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality_rules, op3_toxicity, op4_language_id, op5_best_fit_packing, op6_span_dedup, op7_exact_dedup, op8_sharding, op9_url_filter, op10_near_dedup)}
 
 ORACLE_SQL = {
     "op7_exact_dedup": """
