@@ -16,3 +16,9 @@ def join_checked(left: DataFrame, keys: DataFrame, on, how: str, limit: int = BR
     """
     small = keys.limit(limit + 1).count() <= limit
     return left.join(F.broadcast(keys) if small else keys, on, how)
+
+
+def own_names(columns: list[str], *names: str) -> list[str]:
+    """The names with as many leading underscores as keep them apart from all given columns."""
+    marks = 1 + max((len(c) - len(c.lstrip("_")) for c in columns), default=0)
+    return ["_" * marks + n for n in names]
