@@ -11,28 +11,23 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from convmem.llm.shingles import mix
-
-ORDERS = (2, 3, 4)
-#: The filter: 2 ** ROWS_LOG2 words of 64 bits, one bit per language, and the hashes of a gram.
-ROWS_LOG2, HASHES = 20, 3
-_SALT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
+ORDERS = (3, 4)
+#: The filter has 2 ** SLOTS_LOG2 words, one bit per language, and two hashes of a gram.
+SLOTS_LOG2 = 19
 _LETTER = re.compile(r"[^\W\d_]")
+#: For each character of the basic plane its lower-case letter, or a blank.
+_FOLD = np.array([ord(c.lower()) if c.isalpha() and len(c.lower()) == 1 else ord(c) if c.isalpha() else 32 for c in map(chr, range(0x10000))], np.uint64)
 
 
 def grams(text: str) -> np.ndarray:
-    """Hashes of the lower-cased text's character 2-, 3- and 4-grams, blanks and all other
-    characters that are no letters as one blank between words."""
-    text = re.sub(r"[\W\d_]+", " ", f" {text.lower()} ")
-    x = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    out = []
-    for n in ORDERS:
-        if len(x) >= n:
-            h = np.full(len(x) - n + 1, np.uint64(n))
-            for i in range(n):
-                h = h * _SALT[0] + x[i : i + len(h)]
-            out.append(mix(h))
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
+    """The text's character 3- and 4-grams as integers of 16 bits a character: letters in lower
+    case, everything between words as one blank. Characters beyond the basic plane share one."""
+    x = _FOLD[np.minimum(np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), np.uint32), 0xFFFF)]
+    x = x[np.append(True, (x[1:] != 32) | (x[:-1] != 32))]
+    if len(x) < 4:
+        return np.empty(0, np.uint64)
+    three = x[:-2] | (x[1:-1] << np.uint64(16)) | (x[2:] << np.uint64(32))
+    return np.concatenate([three, three[:-1] | (x[3:] << np.uint64(48))])
 
 
 @dataclass(frozen=True)
@@ -44,33 +39,41 @@ class LanguageFilter:
     false_positive: np.ndarray
 
     @staticmethod
-    def slots(hashes: np.ndarray) -> list[np.ndarray]:
-        return [(mix(hashes ^ _SALT[i + 1]) >> np.uint64(64 - ROWS_LOG2)).astype(np.int64) for i in range(HASHES)]
+    def slots(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        h = keys * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return (h >> np.uint64(64 - SLOTS_LOG2)).view(np.int64), ((h >> np.uint64(20)) & np.uint64(2**SLOTS_LOG2 - 1)).view(np.int64)
 
     @classmethod
-    def build(cls, languages: tuple[str, ...], hashes: np.ndarray, masks: np.ndarray) -> LanguageFilter:
-        words = np.zeros(2**ROWS_LOG2, np.uint64)
-        for at in cls.slots(hashes):
-            np.bitwise_or.at(words, at, masks)
-        filled = np.array([((words >> np.uint64(i)) & np.uint64(1)).mean() for i in range(len(languages))])
-        return cls(languages, words, filled**HASHES)
+    def build(cls, languages: tuple[str, ...], keys: np.ndarray, masks: np.ndarray) -> LanguageFilter:
+        kind = np.uint8 if len(languages) <= 8 else np.uint16 if len(languages) <= 16 else np.uint64
+        words = np.zeros(2**SLOTS_LOG2, kind)
+        for at in cls.slots(keys):
+            np.bitwise_or.at(words, at, masks.astype(kind))
+        filled = np.array([((words >> kind(i)) & kind(1)).mean() for i in range(len(languages))])
+        return cls(languages, words, filled**2)
+
+    def hits(self, text: str) -> tuple[np.ndarray, int]:
+        """(for each language how many of the text's grams its filter has, the number of grams)."""
+        keys = grams(text)
+        first, second = self.slots(keys)
+        mask = self.words[first] & self.words[second]
+        if self.words.dtype.itemsize <= 2:
+            times = np.bincount(mask)
+            held = np.arange(len(times))
+            return np.array([times[(held >> i) & 1 == 1].sum() for i in range(len(self.languages))], float), len(keys)
+        return np.array([((mask >> np.uint64(i)) & np.uint64(1)).sum() for i in range(len(self.languages))], float), len(keys)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The language whose filter holds the most of the text's grams, false positives taken
         off, and its share among all languages."""
         if not text or not self.languages or not _LETTER.search(text):
             return "und", 0.0
-        hits, total = np.zeros(len(self.languages)), 0
+        found, total = np.zeros(len(self.languages)), 0
         for low in range(0, len(text), 1 << 20):
-            h = grams(text[low : low + (1 << 20)])
-            mask = np.full(len(h), np.uint64(2**64 - 1))
-            for at in self.slots(h):
-                mask &= self.words[at]
-            seen, times = np.unique(mask, return_counts=True)
-            for i in range(len(self.languages)):
-                hits[i] += times[(seen >> np.uint64(i)) & np.uint64(1) == 1].sum()
-            total += len(h)
-        true = np.maximum(0, (hits - total * self.false_positive) / np.maximum(1e-9, 1 - self.false_positive))
+            more, n = self.hits(text[low : low + (1 << 20)])
+            found, total = found + more, total + n
+        true = np.maximum(0, (found - total * self.false_positive) / np.maximum(1e-9, 1 - self.false_positive))
         best = int(np.argmax(true))
         return self.languages[best], float(true[best] / true.sum()) if true.sum() > 0 else 1 / len(self.languages)
 
@@ -102,7 +105,7 @@ def fit(labelled: DataFrame, text_col: str, lang_col: str, documents_per_languag
     if len(languages) > 64:
         raise ValueError("the filter has one bit for each of at most 64 languages")
     if not languages:
-        return LanguageFilter((), np.zeros(2**ROWS_LOG2, np.uint64), np.zeros(0))
+        return LanguageFilter((), np.zeros(2**SLOTS_LOG2, np.uint64), np.zeros(0))
     bound = F.create_map(*[F.lit(x) for k in languages for x in (k, int(1_000_000 * min(1.0, documents_per_language / sizes[k])))])
     sample = rows.where(F.pmod(F.xxhash64("_text", F.lit("sample")), F.lit(1_000_000)) < F.element_at(bound, F.col("_lang")))
     counts = sample.mapInArrow(_document_grams, "_lang string, _h bigint, _n bigint").groupBy("_h").pivot("_lang", list(languages)).agg(F.sum("_n"))
