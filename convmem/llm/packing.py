@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -16,37 +17,52 @@ from convmem.plans.scratch import scratch
 TASK_ITEMS = 200_000
 #: A bin with at most this many free tokens is emitted.
 NEARLY_FULL = 8
-_CACHE_WORDS = 400_000
+#: Words, and pieces, that a task remembers.
+_CACHE_WORDS = 150_000
+_ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 
 
 class WordCache:
     """Token ids of whole texts from those of their blank-separated words.
 
-    The tokenizer's pieces never span white space, so a text's ids are its words' ids in a row;
-    words unknown so far are encoded in one batch by the tokenizers library.
+    The tokenizer's pieces never span white space, so a text's ids are its words' ids in a row. A new
+    word is normalised and cut into pieces, and new pieces go to the library's BPE model: both
+    words and pieces are remembered within a task, up to a bound.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {"": b""}
+        tokenizer = Tokenizer.from_file(path)
+        self.normalize, self.split, self.model = tokenizer.normalizer.normalize_str, tokenizer.pre_tokenizer.pre_tokenize_str, tokenizer.model
+        self.words: dict[str, bytes] = {"": b""}
+        self.pieces: dict[str, bytes] = {}
+
+    def _learn(self, word: str) -> bytes:
+        # For printable ASCII the pattern below is the tokenizer's own; all else takes its long way.
+        if word.isascii() and word.isprintable():
+            found = _ASCII_PIECES.findall(word.lower())
+        else:
+            found = [piece for piece, _ in self.split(self.normalize(word))]
+        out = []
+        for piece in found:
+            ids = self.pieces.get(piece)
+            if ids is None:
+                ids = self.pieces[piece] = np.array([t.id for t in self.model.tokenize(piece)], "<u4").tobytes()
+            out.append(ids)
+        return b"".join(out)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        if len(self.known) > _CACHE_WORDS:
-            self.known = {"": b""}
-        known = self.known
-        new = {w for words in split for w in words if w not in known}
-        if new:
-            new = list(new)
-            for low in range(0, len(new), 5000):
-                some = new[low : low + 5000]
-                for word, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                    known[word] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join([known[w] for w in words]) for words in split]
+        if len(self.words) > _CACHE_WORDS:
+            self.words = {"": b""}
+        if len(self.pieces) > _CACHE_WORDS:
+            self.pieces = {}
+        words = self.words
+        for word in set().union(*split).difference(words):
+            words[word] = self._learn(word)
+        return [b"".join([words[w] for w in own]) for own in split]
 
 
 def _pieces(path: str, length: int, end_id: int):
