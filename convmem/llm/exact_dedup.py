@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from convmem.plans.joins import join_checked
+from convmem.plans.joins import join_checked, own_names
 from convmem.plans.scratch import scratch
 
 #: Directory entries are at most 2 ** MAX_DEPTH, whatever the input's size.
@@ -96,11 +96,12 @@ def keep_first_rows(docs: DataFrame, decisions: DataFrame, id_col: str = "doc_id
     one id repeats a text, one of those rows stays.
     """
     text = F.coalesce(normalised if normalised is not None else F.col(text_col), F.lit(""))
-    tagged = docs.withColumn("_key", F.xxhash64(F.col(id_col), F.sha2(text, 256)))
-    decided = decisions.select(F.xxhash64(F.col(id_col), F.col("text_sha256")).alias("_key"), "kept")
+    (key,) = own_names(docs.columns, "key")
+    tagged = docs.withColumn(key, F.xxhash64(F.col(id_col), F.sha2(text, 256)))
+    decided = decisions.select(F.xxhash64(F.col(id_col), F.col("text_sha256")).alias(key), F.col("kept").alias("_kept"))
     # Kept keys come once each; a key that is kept and dropped belongs to repeated rows.
-    state = scratch(decided.groupBy("_key").agg(F.max("kept").alias("_kept"), F.count("*").alias("_n")).where("NOT _kept OR _n > 1"), "dedup-dropped")
-    repeated = state.where("_kept AND _n > 1").select("_key")
-    rest = join_checked(tagged, state.select("_key"), "_key", "left_anti")
-    once = join_checked(tagged, repeated, "_key", "left_semi").dropDuplicates(["_key"])
-    return rest.unionByName(once).drop("_key")
+    state = scratch(decided.groupBy(key).agg(F.max("_kept").alias("_kept"), F.count("*").alias("_n")).where("NOT _kept OR _n > 1"), "dedup-dropped")
+    repeated = state.where("_kept AND _n > 1").select(key)
+    rest = join_checked(tagged, state.select(key), key, "left_anti")
+    once = join_checked(tagged, repeated, key, "left_semi").dropDuplicates([key])
+    return rest.unionByName(once).drop(key)
