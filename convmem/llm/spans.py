@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from convmem.llm.shingles import _SPACES, mix, word_hashes
-from convmem.plans.joins import join_checked
+from convmem.plans.joins import join_checked, own_names
 from convmem.plans.scratch import scratch
 
 _ENDS = np.zeros(256, bool)
@@ -78,33 +78,37 @@ def _spans(least_sentences: int, least_words: int):
     return run
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(text_col: str, cuts_col: str, clean_col: str, removed_col: str):
     """Cuts the bytes of the intervals out of each text."""
-    for batch in batches:
-        out, removed = [], []
-        for text, cuts in zip(batch.column("_text"), batch.column("_cuts"), strict=True):
-            text, cuts = text.as_py(), cuts.as_py()
-            if not cuts:
-                out.append(text)
-                removed.append([])
-                continue
-            b = text.encode("utf-8", "surrogatepass")
-            merged: list[list[int]] = []
-            for c in sorted((c["_low"], c["_high"]) for c in cuts):
-                if merged and c[0] <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], c[1])
-                else:
-                    merged.append(list(c))
-            kept, last = [], 0
-            for low, high in merged:
-                kept.append(b[last:low])
-                last = high
-            out.append(b"".join([*kept, b[last:]]).decode("utf-8", "surrogatepass").rstrip() if merged else text)
-            removed.append([{"start": low, "end": high} for low, high in merged])
-        spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        cols = [batch.column(i) for i, n in enumerate(batch.schema.names) if n not in ("_text", "_cuts")]
-        names = [n for n in batch.schema.names if n not in ("_text", "_cuts")]
-        yield pa.RecordBatch.from_arrays([*cols, pa.array(out, pa.string()), pa.array(removed, spans)], names=[*names, "_clean", "_removed"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, removed = [], []
+            for text, cuts in zip(batch.column(text_col), batch.column(cuts_col), strict=True):
+                text, cuts = text.as_py(), cuts.as_py()
+                if not cuts:
+                    out.append(text)
+                    removed.append([])
+                    continue
+                b = text.encode("utf-8", "surrogatepass")
+                merged: list[list[int]] = []
+                for c in sorted((c["_low"], c["_high"]) for c in cuts):
+                    if merged and c[0] <= merged[-1][1]:
+                        merged[-1][1] = max(merged[-1][1], c[1])
+                    else:
+                        merged.append(list(c))
+                kept, last = [], 0
+                for low, high in merged:
+                    kept.append(b[last:low])
+                    last = high
+                out.append(b"".join([*kept, b[last:]]).decode("utf-8", "surrogatepass").rstrip())
+                removed.append([{"start": low, "end": high} for low, high in merged])
+            spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+            names = [n for n in batch.schema.names if n not in (text_col, cuts_col)]
+            cols = [batch.column(n) for n in names]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(out, pa.string()), pa.array(removed, spans)], names=[*names, clean_col, removed_col])
+
+    return run
 
 
 def span_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_sentences: int = 3, least_words: int = 20) -> DataFrame:
@@ -124,20 +128,24 @@ def span_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null text stays null, empty or wordless text stays; texts of fewer sentences or words than a
     run needs stay. Null ids sort first. Rows that repeat id and text are one document: their
     spans are at the same place, so neither loses it to the other. Empty table: no rows. Other
-    columns pass through.
+    columns pass through, but for one named `removed`, which is replaced.
     """
-    columns = docs.columns
+    columns = [c for c in docs.columns if c != "removed"]
+    docs = docs.select(*columns)
+    row_col, text_own, cuts_col, clean_col, removed_col = own_names(columns, "row", "text", "cuts", "clean", "removed")
     keyed = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("_row"), F.col(text_col).alias("_text"))
     spans = keyed.mapInArrow(_spans(least_sentences, least_words), "_id bigint, _row bigint, _h bigint, _g bigint, _low bigint, _high bigint")
     twice = scratch(spans.groupBy("_h").agg(F.count("*").alias("_n")).where("_n > 1").select("_h"), "span-hashes")
     repeated = scratch(join_checked(spans, twice, "_h", "left_semi", BROADCAST_HASHES), "span-repeated")
     place = F.struct("_id", "_row", "_low")
-    first = repeated.groupBy("_h", "_g").agg(F.min(place).alias("_first"))
+    # Written, so that the join back deals both sides anew and AQE can split a hot run.
+    first = scratch(repeated.groupBy("_h", "_g").agg(F.min(place).alias("_first")), "span-first")
     later = repeated.join(first, ["_h", "_g"]).where(~place.eqNullSafe(F.col("_first")))
     cuts = scratch(later.groupBy("_row").agg(F.collect_set(F.struct("_low", "_high")).alias("_cuts")), "span-cuts")
 
-    tagged = docs.withColumn("_row", F.xxhash64(F.col(id_col), F.col(text_col)))
-    whole = tagged.join(cuts, "_row", "left").drop("_row").withColumn("_text", F.col(text_col)).drop(text_col)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != text_col)
-    clean = whole.mapInArrow(_cut, f"{fields}, _clean string, _removed array<struct<start: bigint, end: bigint>>")
-    return clean.select(*[F.col("_clean").alias(c) if c == text_col else F.col(c) for c in columns], F.col("_removed").alias("removed"))
+    cuts = cuts.select(F.col("_row").alias(row_col), F.col("_cuts").alias(cuts_col))
+    tagged = docs.withColumn(row_col, F.xxhash64(F.col(id_col), F.col(text_col)))
+    whole = tagged.join(cuts, row_col, "left").drop(row_col).withColumn(text_own, F.col(text_col)).drop(text_col)
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema.fields if f.name != text_col)
+    clean = whole.mapInArrow(_cut(text_own, cuts_col, clean_col, removed_col), f"{fields}{clean_col} string, {removed_col} array<struct<start: bigint, end: bigint>>")
+    return clean.select(*[F.col(clean_col).alias(c) if c == text_col else F.col(f"`{c}`") for c in columns], F.col(removed_col).alias("removed"))
