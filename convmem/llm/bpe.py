@@ -13,10 +13,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window, functions as F
 
+from convmem.plans.scratch import scratch
+
 #: Characters of a chunk, and of the overlap in which neighbouring chunks must resynchronise.
-CHUNK, OVERLAP = 16_384, 512
+CHUNK, OVERLAP = 65_536, 1_024
 _DIGESTS = ["n_tokens", "ids_sha256", "decoded_sha256"]
-_CACHE = 600_000
+_CACHE = 150_000
 #: Slots of the table of mergeable pairs (a power of two), and the id of a pair without one.
 _SLOTS, _NONE = 21, 1 << 40
 #: Bytes from which a piece is merged with a heap.
@@ -149,21 +151,28 @@ class Encoder:
                     heappush(heap, (r, x, token[x], token[y]))
         return [ranks[t] for t in token if t is not None]
 
+    @staticmethod
+    def _odd(word: str) -> bool:
+        """Whether a word may only be cut off by its context (white space at its edges)."""
+        return word[-1].isspace() or word[0] == "\0" or (word[0] == " " and word[1].isspace())
+
     def _words(self, text: str) -> list[str]:
-        """The keys of a text's words: what follows a blank that begins a piece; the first word,
-        which follows none, has a blank at its end."""
+        """Keys of the text's words, each with the blank before it, which begins a piece if it stands
+        alone between other characters. Odd words are told apart by a leading NUL."""
         first, *rest = text.split(" ")
-        fresh = set(rest).difference(self.known_ids)
-        if any(not w or w[0].isspace() or w[-1].isspace() for w in fresh) or first[-1:].isspace():
+        words = ([first] if first else []) + [" " + w for w in rest]
+        if "\0" in text or any(map(self._odd, set(words).difference(self.known_ids))):
             first, *rest = self.cut.split(text)
-        return [first + " ", *rest] if first else rest
+            words = ([first] if first else []) + [" " + w for w in rest]
+            return ["\0" + w if self._odd(w) else w for w in words]
+        return words
 
     def _learn(self, words: list[str]) -> None:
         """Pre-tokenises words and merges all their new pieces in one go."""
         pieces: list[bytes] = []
         ends: list[int] = []
         for word in words:
-            text = word[:-1] if word[-1] == " " else " " + word
+            text = word[1:] if word[0] == "\0" else word
             pieces += [p.encode("utf-8", "surrogatepass") for p in self.pattern.findall(text)]
             ends.append(len(pieces))
         ids, sizes = self.merge(pieces)
@@ -285,7 +294,9 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern_text: str, id_col
     together = encoded.groupBy(*key).agg(F.max("_torn").alias("_torn"), F.sum("_n").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("_no", "_ids", "_bytes"))).alias("_parts"))
     ids = F.array_join(F.filter(F.transform("_parts", lambda p: p["_ids"]), lambda s: s != ""), ",")
     decoded = F.aggregate("_parts", F.lit(b""), lambda a, p: F.concat(a, p["_bytes"]))
-    joined = together.where("NOT _torn").select("_copies", "_id", "n_tokens", F.sha2(ids, 256).alias("ids_sha256"), F.sha2(decoded, 256).alias("decoded_sha256"))
-    again = long.join(together.where("_torn").select("_sha").distinct(), "_sha", "left_semi").select("_copies", "_id", "_text").mapInArrow(whole, digests)
+    digested = together.select(*key, "_torn", "n_tokens", F.when(~F.col("_torn"), F.sha2(ids, 256)).alias("ids_sha256"), F.when(~F.col("_torn"), F.sha2(decoded, 256)).alias("decoded_sha256"))
+    digested = scratch(digested, "bpe-long")  # a row per long document, so that parts are encoded once
+    joined = digested.where("NOT _torn").select("_copies", "_id", *_DIGESTS)
+    again = long.join(digested.where("_torn").select("_sha").distinct(), "_sha", "left_semi").select("_copies", "_id", "_text").mapInArrow(whole, digests)
     out = short.unionByName(joined).unionByName(again)
     return out.select(F.col("_id").alias(id_col), *_DIGESTS, F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy")).drop("_copy")
