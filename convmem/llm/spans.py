@@ -16,6 +16,10 @@ _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".!?;:,"]] = True
 _R = np.uint64(0xD1342543DE82EF95)
 _R_INVERSE = np.uint64(pow(int(_R), -1, 2**64))
+#: A clause of more words than this is cut at marks: the word with the least hash in each window
+#: of as many words. A part has at most so many words, so with runs of three parts and 20 words
+#: a passage of 51 words holds a run wherever it stands.
+LONGEST = 10
 #: Keys of one 64-bit column up to which a set of hashes is broadcast (under 100 MB).
 BROADCAST_HASHES = 2_000_000
 
@@ -25,7 +29,8 @@ def sentences(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
     A sentence ends with a word whose last character is one of . ! ? ; : , or before a line
     feed; clauses count as sentences, so that little is lost where a passage begins or ends
-    within a longer sentence.
+    within a longer sentence. Clauses of more than LONGEST words are cut at marks that depend
+    on the words of one window alone; their parts count as sentences too.
     """
     words = word_hashes(text)
     b = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
@@ -35,7 +40,21 @@ def sentences(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     last = _ENDS[b[ends - 1]]
     last[:-1] |= lines[starts[1:]] > lines[ends[:-1] - 1]
     last[-1:] = True
-    return words, np.append(0, np.flatnonzero(last)[:-1] + 1), np.append(starts, len(b))
+    first = np.append(0, np.flatnonzero(last)[:-1] + 1)
+    return words, np.union1d(first, _marks(words, first)), np.append(starts, len(b))
+
+
+def _marks(words: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The marks within the clauses of more than LONGEST words that start at first."""
+    length = np.diff(np.append(first, len(words)))
+    long = np.flatnonzero(length > LONGEST)
+    n = length[long] - LONGEST + 1  # windows of each
+    windows = np.repeat(first[long] - np.cumsum(n) + n, n) + np.arange(n.sum())
+    out = [windows[:0]]
+    for low in range(0, len(windows), 65_536):
+        at = windows[low : low + 65_536]
+        out.append(np.unique(at + words[at[:, None] + np.arange(LONGEST)].argmin(axis=1)))
+    return np.concatenate(out)
 
 
 def runs(text: str | None, least_sentences: int, least_words: int) -> tuple[np.ndarray, ...]:
@@ -115,8 +134,9 @@ def span_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of docs with their text cleaned, and a column `removed`: the byte ranges
     [start, end) that were cut from the text.
 
-    From each sentence the shortest run with at least `least_sentences` sentences and
-    `least_words` words is hashed. Of all runs with the same words (letter case and white space
+    From each sentence (or part of a long one, see sentences) the shortest run with at least
+    `least_sentences` of them and `least_words` words is hashed, so a repeated passage of 51
+    words has a repeated run whatever its punctuation and wherever it starts. Of all runs with the same words (letter case and white space
     aside) in all documents the first, by (id, position), stays; the sentences of every other
     are removed.
 

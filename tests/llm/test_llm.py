@@ -184,6 +184,37 @@ def test_span_dedup(spark, docs, empty):
     assert span_dedup(docs.select("doc_id", "text")).count() == docs.count() and span_dedup(empty).count() == 0
 
 
+@pytest.mark.parametrize("clause", [0, 3, 9, 14, 25])
+def test_span_dedup_finds_every_passage_of_51_words(spark, clause):
+    from convmem.llm.spans import runs, span_dedup
+
+    rng = np.random.default_rng(clause)
+
+    def words(n):  # clauses of 1 to 2 * clause words; none without clause
+        return [f"w{x}" + "," * bool(clause and rng.random() < 1 / clause) for x in rng.integers(0, 100_000, n)]
+
+    def covered(text, passage):
+        at = text.index(passage)
+        return {(h, g) for h, g, low, high in zip(*runs(text, 3, 20), strict=True) if at <= low and high <= at + len(passage) + 1}
+
+    for n in range(51, 81):
+        for _ in range(20):
+            passage = " ".join(words(n))
+            one, two = (" ".join([*words(rng.integers(40)), passage, *words(rng.integers(1, 40))]) for _ in range(2))
+            assert covered(one, passage) & covered(two, passage), (n, one, two)
+    rows, passages = [], []
+    for i in range(60):
+        passages.append(words(int(rng.integers(51, 81))))
+        for j in range(2):
+            before, after = words(int(rng.integers(60))), words(int(rng.integers(60)))
+            rows.append((2 * i + j, " ".join([*before, *passages[-1], *after])))
+    kept = {r["doc_id"]: r["text"].split() for r in span_dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for i, passage in enumerate(passages):
+        assert kept[2 * i] == rows[2 * i][1].split()
+        lost = Counter(rows[2 * i + 1][1].split()) - Counter(kept[2 * i + 1])
+        assert sum(lost.values()) >= 20 and not lost - Counter(passage)
+
+
 def test_exact_dedup(docs, texts, empty):
     from convmem.llm.exact_dedup import directory, exact_dedup, keep_first_rows
 
