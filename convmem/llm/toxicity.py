@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from convmem.llm.language_id import held_out
 from convmem.plans.joins import join_checked
+from convmem.plans.scratch import scratch
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 #: Words that report what others say, and marks that quote; fixed values.
@@ -20,8 +21,8 @@ REPORTING = frozenset("said says say wrote writes called calls quoted quote term
 QUOTES = "\"“”„«»‘"
 CLOSING = frozenset("\"“”«»’'")
 WINDOW = 6
-#: Bounds of the model: terms of the lexicon, and prefixes that stand for a family of words.
-MAX_TERMS, PREFIX_LENGTHS = 20_000, (4, 5, 6)
+#: Prefixes that stand for a family of words.
+PREFIX_LENGTHS = (4, 5, 6)
 #: What a word one or two edits from a term says where no labelled text had one so near.
 UNSEEN = {1: 0.6, 2: 0.3}
 
@@ -164,16 +165,12 @@ class Matcher:
                 found[word] = hit
         if not found:
             return []
-        quoted = set()
-        for word in found:
-            at = lower.find(word)
-            if at > 0 and lower[at - 1] in QUOTES and lower[at + len(word) : at + len(word) + 1] in CLOSING:
-                quoted.add(word)
         out = []
-        for i, word in enumerate(words):
-            if hit := found.get(word):
+        for i, m in enumerate(_WORD.finditer(lower)):
+            if hit := found.get(m[0]):
                 around = words[max(0, i - WINDOW) : i + WINDOW + 1]
-                out.append((*hit, word in quoted or not REPORTING.isdisjoint(around), " ".join(words[max(0, i - 1) : i + 2])))
+                quoted = m.start() > 0 and lower[m.start() - 1] in QUOTES and lower[m.end() : m.end() + 1] in CLOSING
+                out.append((*hit, quoted or not REPORTING.isdisjoint(around), " ".join(words[max(0, i - 1) : i + 2])))
         return out
 
     def matches(self, text: str | None) -> list[tuple[str, int, bool]]:
@@ -200,6 +197,20 @@ def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], names=["_w", "_n", "_t"])
 
 
+def _surrounding_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct (word or prefix*, hash of the word with its neighbours) of each batch."""
+    for batch in batches:
+        rows = set()
+        for text in batch.column("_text").to_pylist():
+            words = words_of(text)
+            for i, w in enumerate(words):
+                c = zlib.crc32(" ".join(words[max(0, i - 1) : i + 2]).encode())
+                rows.add((w, c))
+                rows.update((w[:k] + "*", c) for k in PREFIX_LENGTHS if len(w) > k)
+        cols = list(zip(*rows, strict=True)) or [[], []]
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64())], names=["_w", "_c"])
+
+
 def _wilson(t: float, n: float, z: float = 2.58) -> float:
     p, z2 = t / n, z * z
     return (p + z2 / (2 * n) - z * ((p * (1 - p) + z2 / (4 * n)) / n) ** 0.5) / (1 + z2 / n)
@@ -258,8 +269,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     1. In how many toxic and other documents each word and each beginning of 4 to 6 letters
        occurs: combined in the tasks, summed by a shuffle. Candidates are those of which surely
-       (Wilson bound at 99 %) more than half the documents are toxic; of beginnings, a longer one
-       adds nothing to a shorter one. At most MAX_TERMS, the surest first.
+       (Wilson bound at 99 %) more than half the documents are toxic, and that stand in enough
+       distinct surroundings in toxic documents to be sure if there were no others: what fails
+       this cannot be sure in step 2, so copies bring no terms. Of beginnings, a longer one adds
+       nothing to a shorter one and is dropped. All others are kept: the lexicon on the driver
+       and in each task grows with the sure terms, and with nothing else.
     2. For each match (term, distance) of the candidates, in how many distinct surroundings (the
        words next to it) it occurs in toxic and in other documents. Copies of one document
        share their surroundings, so a rare word of a text that was copied often is no evidence.
@@ -269,10 +283,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = labels.where("toxic IN (0, 1)").select(F.col(id_col).alias("_id"), F.col("toxic").cast("bigint").alias("_toxic"))
     rows = join_checked(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), known, "_id", "inner").select("_text", "_toxic")
     words = rows.mapInArrow(_word_rows, "_w string, _n bigint, _t bigint").groupBy("_w").agg(F.sum("_n").alias("_n"), F.sum("_t").alias("_t"))
-    sure = words.where("_t > 0").withColumn("_low", _lower_bound(F.col("_t"), F.col("_n"))).where("_low > 0.5")
-    terms = [r["_w"] for r in sure.orderBy(F.desc("_low"), "_w").limit(MAX_TERMS).select("_w").collect()]
-    prefixes = {t for t in terms if t.endswith("*")}
-    terms = sorted(t for t in terms if not t.endswith("*") or not any(t[:k] + "*" in prefixes for k in PREFIX_LENGTHS if k < len(t) - 1))
+    sure = words.where("_t > 0").where(_lower_bound(F.col("_t"), F.col("_n")) > 0.5).select("_w")
+    sure = scratch(sure, "toxic-words")
+    around = join_checked(rows.where("_toxic = 1").mapInArrow(_surrounding_rows, "_w string, _c bigint"), sure, "_w", "left_semi").distinct()
+    varied = around.groupBy("_w").agg(F.count("*").alias("_n")).where(_lower_bound(F.col("_n"), F.col("_n")) > 0.5).select("_w")
+    varied = scratch(varied, "toxic-terms")
+    prefixes = scratch(varied.where(F.col("_w").endswith("*")).select(F.col("_w").alias("_p")), "toxic-prefixes")
+    for k in PREFIX_LENGTHS[:-1]:
+        longer = F.col("_w").endswith("*") & (F.length("_w") > k + 1)
+        varied = varied.withColumn("_p", F.when(longer, F.concat(F.substring("_w", 1, k), F.lit("*")))).join(prefixes, "_p", "left_anti").select("_w")
+    terms = sorted(r["_w"] for r in varied.collect())
     seen = rows.mapInArrow(_match_rows(Matcher(terms)), "_w string, _d int, _q boolean, _c bigint, _t bigint").distinct()
     stats = seen.groupBy("_w", "_d", "_q").agg(F.count("*").alias("_n"), F.sum("_t").alias("_t")).toPandas()  # a few rows a term
     clean = stats[stats["_w"] == ""]

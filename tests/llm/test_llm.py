@@ -107,6 +107,31 @@ def test_toxicity_automaton_and_scores(spark, docs, empty):
     assert toxicity(empty, labels).count() == 0 and toxicity(docs, labels.limit(0)).where("score > 0").count() == 0
 
 
+def test_toxicity_terms_are_not_crowded_out_by_copies(spark):
+    from convmem.llm.toxicity import fit
+
+    rng = np.random.default_rng(3)
+    copied = " ".join("".join(rng.choice(list("abcdefghijklmnop"), 8)) for _ in range(7000))
+    rows = [(i, copied, 1) for i in range(60)]
+    rows += [(100 + i, f"{3 * chr(97 + i)} grumblord {3 * chr(97 + i)}", 1) for i in range(20)]
+    rows += [(200 + i, f"a plain text about s{'q' * (i % 50)}", 0) for i in range(100)]
+    frame = spark.createDataFrame(rows, SCHEMA + ", toxic int")
+    model = fit(frame, frame.select("doc_id", "toxic"))
+    assert {t for t, _ in model.excess} and all(t.startswith("grum") for t, _ in model.excess), list(model.excess)[:5]
+    assert model.score("oh grumblord") >= 0.5 > model.score("a plain text")
+
+
+def test_toxicity_marks_of_each_occurrence():
+    from convmem.llm.toxicity import Matcher
+
+    far = " one two three four five six seven eight nine "
+    matcher = Matcher(["idiot"])
+    assert [o[2] for o in matcher.occurrences('the "idiot"' + far + "you idiot")] == [True, False]
+    assert matcher.matches('the "idiot"' + far + "you idiot") == [("idiot", 0, False)]
+    assert [o[2] for o in matcher.occurrences("you idiot" + far + 'the "idiot"')] == [False, True]
+    assert [o[2] for o in matcher.occurrences("idiotically" + far + 'the "idiot"') if o[1] == 0] == [True]
+
+
 def test_levenshtein_against_brute_force():
     from convmem.llm.toxicity import Lexicon
 
