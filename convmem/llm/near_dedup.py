@@ -148,19 +148,21 @@ def _token(tree: int, level: int) -> F.Column:
     return F.substring("_sig", 4 * (tree % TREES * DEPTH + level) + 1, 4)
 
 
-def leaves(signed: DataFrame, percent: int, leaf: int = LEAF) -> DataFrame:
-    """(_node, _id): every document in every leaf it reaches, over all trees.
+def leaves(signed: DataFrame, percent: int, leaf: int = LEAF) -> tuple[DataFrame, DataFrame | None]:
+    """(_node, _id): every document in every leaf it reaches, over all trees; and the same of the
+    nodes that are too large at the last level, if there are any.
 
     At each level a node branches on the token that a minwise coordinate selects; from the
     second level on, a node takes a second coordinate as often as needed for 100 / percent
     branches on average, so that a pair at the threshold keeps an expected collision. Nodes
     of one document end; nodes of at most `leaf` are leaves; what is still larger at the last
     level is a set of documents alike in all coordinates of a path, and is cut into blocks,
-    each with the same few pivots of the node.
+    each with the same few pivots of the node. Pairs of different blocks are left to crossings.
     """
     start = F.array(*[F.struct(F.lit(t).alias("_tree"), F.xxhash64(F.lit(t), _token(t, 0)).alias("_node")) for t in range(TREES)])
     rows = signed.select("_id", F.explode(start).alias("_x")).select("_id", "_x.*")
     done: list[DataFrame] = []
+    oversize = None
     for level in range(1, DEPTH + 1):
         sizes = rows.groupBy("_node").agg(F.count("*").alias("_size")).where("_size > 1")
         sized = scratch(rows.join(sizes, "_node"), f"near-level{level}")
@@ -170,6 +172,7 @@ def leaves(signed: DataFrame, percent: int, leaf: int = LEAF) -> DataFrame:
             break
         if level == DEPTH:
             blocks = F.ceil(F.col("_size") / (leaf // 2)).cast("int")
+            oversize = large.select("_node", "_id")
             named = large.select("_node", "_id", blocks.alias("_blocks"))
             pivots = named.groupBy("_node", "_blocks").agg(*[F.min(F.struct(F.xxhash64("_id", F.lit(j)), "_id")).alias(f"_p{j}") for j in range(8)])
             pivots = pivots.select("_node", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_b"), F.explode(F.array_distinct(F.array(*[F.col(f"_p{j}._id") for j in range(8)]))).alias("_id"))
@@ -187,7 +190,30 @@ def leaves(signed: DataFrame, percent: int, leaf: int = LEAF) -> DataFrame:
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out
+    return out, oversize
+
+
+def crossings(oversize: DataFrame, component: DataFrame, leaf: int = LEAF) -> DataFrame:
+    """(_node, _id): groups of about `leaf` documents in which all pairs of each oversize node meet
+    but those that one component has already.
+
+    component (node, component) is what the leaves and the pivots have linked. In each node the
+    largest component needs no more comparisons within itself. All other members are dealt into
+    blocks, the whole node is too, and each pair of blocks is a group. A node of copies of one
+    document has next to no other members; one of m others and n members takes m * n comparisons,
+    spread over its groups.
+    """
+    placed = oversize.distinct().join(component.select(F.col("node").alias("_id"), "component"), "_id", "left")
+    placed = scratch(placed.select("_node", "_id", F.coalesce("component", "_id").alias("_c")), "near-oversize")
+    parts = placed.groupBy("_node", "_c").agg(F.count("*").alias("_n"))
+    nodes = parts.groupBy("_node").agg(F.sum("_n").alias("_all"), F.max(F.struct("_n", "_c")).alias("_main")).where("_all > _main._n")
+    half = leaf // 2
+    nodes = nodes.select("_node", F.col("_main._c").alias("_main"), F.ceil((F.col("_all") - F.col("_main._n")) / half).cast("int").alias("_a"), F.ceil(F.col("_all") / half).cast("int").alias("_b"))
+    dealt = placed.join(nodes, "_node").withColumn("_i", F.pmod(F.xxhash64("_id", F.lit("other")), "_a").cast("int")).withColumn("_j", F.pmod(F.xxhash64("_id"), "_b").cast("int"))
+    each_j, each_i = F.explode(F.sequence(F.lit(0), F.col("_b") - 1)), F.explode(F.sequence(F.lit(0), F.col("_a") - 1))
+    others = dealt.where("_c <> _main").select("_node", "_id", "_i", each_j.alias("_j"))
+    whole = dealt.select("_node", "_id", each_i.alias("_i"), "_j")
+    return others.unionByName(whole).select(F.xxhash64("_node", "_i", "_j").alias("_node"), "_id").distinct()
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, leaf: int = LEAF) -> DataFrame:
@@ -202,7 +228,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     threshold), groups found by several trees are joined into one, and the rest is confirmed on
     whole sets. Only spanning links leave a task. Eight trees find a pair at the threshold with
     probability 1 - (1 - s) ** 8 where nodes are small, and above 1 - (1 - s ** 3) ** 8 for
-    groups of up to a million; connections through other members add to it.
+    groups of up to a million; connections through other members add to it. In nodes that stay
+    too large, all pairs not yet connected are compared in a second pass (see crossings).
 
     Null or wordless text: n_shingles 0, linked with nothing. Null id: linked with nothing,
     component_id null, kept. Rows that share an id are one document (linked). Empty table: no
@@ -220,19 +247,29 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     s = percent / 100
     share = s - 4 * (s * (1 - s) / COORDINATES) ** 0.5
     n = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    in_leaf = leaves(reps, percent, leaf).join(compact, "_id").repartition(int(n), "_node").sortWithinPartitions("_node")
-    groups = in_leaf.mapInArrow(_promising(share), "_node bigint, _id bigint").distinct()
-    groups = scratch(groups, "near-groups")
-
-    needed = scratch(groups.select("_id").distinct(), "near-needed")
-    sets = join_checked(texts, needed, "_id", "left_semi").mapInArrow(_pack(k), "_id bigint, _set binary")
-    sets = scratch(sets.groupBy("_id", F.xxhash64("_set").alias("_h")).agg(F.first("_set").alias("_set")), "near-sets")
-    whole = groups.join(sets.select("_id", "_set"), "_id").repartition(int(n), "_node").sortWithinPartitions("_node")
-    links = whole.mapInArrow(_confirm(percent), "src bigint, dst bigint")
+
+    def linked(nodes: DataFrame) -> DataFrame:
+        """The links that the comparison of all members of each node confirms."""
+        in_node = nodes.join(compact, "_id").repartition(int(n), "_node").sortWithinPartitions("_node")
+        groups = in_node.mapInArrow(_promising(share), "_node bigint, _id bigint").distinct()
+        groups = scratch(groups, "near-groups")
+        needed = scratch(groups.select("_id").distinct(), "near-needed")
+        sets = join_checked(texts, needed, "_id", "left_semi").mapInArrow(_pack(k), "_id bigint, _set binary")
+        sets = scratch(sets.groupBy("_id", F.xxhash64("_set").alias("_h")).agg(F.first("_set").alias("_set")), "near-sets")
+        whole = groups.join(sets.select("_id", "_set"), "_id").repartition(int(n), "_node").sortWithinPartitions("_node")
+        return scratch(whole.mapInArrow(_confirm(percent), "src bigint, dst bigint"), "near-links")
+
+    in_leaf, oversize = leaves(reps, percent, leaf)
+    links = linked(in_leaf)
     shared = signed.where("_f IS NOT NULL AND _id IS NOT NULL").join(classes.select("_f", "_g", "n_shingles", "_rep"), ["_f", "_g", "n_shingles"]).select("_id", "n_shingles", "_rep")
     members = scratch(shared, "near-members")
     crossing = members.groupBy("_id").agg(F.min("_rep").alias("src"), F.max("_rep").alias("dst")).where("src <> dst").select("src", "dst")
-    found = scratch(connected_components(scratch(links.unionByName(crossing), "near-links"), label="near"), "near-components")
+    links = scratch(links.unionByName(crossing), "near-links")
+    found = scratch(connected_components(links, label="near"), "near-components")
+    if oversize is not None:
+        more = linked(crossings(oversize, found, leaf))
+        if not more.isEmpty():
+            found = scratch(connected_components(links.unionByName(more), label="near"), "near-components")
 
     placed = members.join(found.withColumnRenamed("node", "_rep"), "_rep", "left").select("_id", "n_shingles", F.coalesce("component", "_rep").alias("component_id"))
     alone = signed.where("_f IS NULL OR _id IS NULL").select("_id", "n_shingles", F.col("_id").alias("component_id"))

@@ -348,6 +348,20 @@ def test_near_dedup(spark, docs, texts, empty, k, percent, leaf):
         assert near_dedup(empty).count() == 0
 
 
+def test_near_dedup_compares_all_pairs_of_large_nodes(spark):
+    from convmem.llm import near_dedup as nd
+
+    signed = spark.createDataFrame([(i, bytes(4 * nd.COORDINATES)) for i in range(60)], "_id bigint, _sig binary")
+    nodes, oversize = nd.leaves(signed, 85, 20)
+    linked = spark.createDataFrame([(i, 0) for i in range(20)], "node bigint, component bigint")
+    groups: dict[int, list] = {}
+    for r in nodes.unionByName(nd.crossings(oversize, linked, 20)).collect():
+        groups.setdefault(r["_node"], []).append(r["_id"])
+    met = {(a, b) for ids in groups.values() for a in ids for b in ids if a < b}
+    assert met >= {(a, b) for b in range(20, 60) for a in range(b)}
+    assert max(map(len, groups.values())) < 60
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as cp
 
