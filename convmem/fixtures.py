@@ -33,18 +33,41 @@ VIEWS: dict[str, str] = {
                CASE l_returnflag WHEN 'A' THEN 'CAUSAL' WHEN 'R' THEN 'OPPOSITION' ELSE 'SIMILARITY' END AS relation,
                CAST(l_quantity AS DOUBLE) / 50 AS strength,
                concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey) AS id
-        FROM {lineitem} WHERE l_orderkey % 50 = 0""",
+        FROM {lineitem}""",
     "f_edge": """
         SELECT concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey) AS id,
                CASE WHEN l_linenumber % 2 = 0 THEN concat('s', l_suppkey % 20) ELSE concat('p', l_partkey % 50) END AS source,
                CASE WHEN l_linenumber % 2 = 0 THEN concat('p', l_partkey % 50) ELSE concat('s', l_suppkey % 20) END AS target,
                CASE l_returnflag WHEN 'A' THEN 'CAUSAL' WHEN 'R' THEN 'OPPOSITION' ELSE 'SIMILARITY' END AS relation,
-               CAST(l_quantity AS DOUBLE) / 50 AS strength, concat('e', l_partkey % 5) AS episode,
-               CASE WHEN l_orderkey % 7 = 0 THEN 'FAILED' ELSE 'COMMITTED' END AS write_status,
+               CAST(l_quantity AS DOUBLE) / 50 AS strength, 's' AS scope,
+               concat('w', l_orderkey % 7, '-', l_partkey % 5, '-', l_suppkey % 3) AS write_id,
+               split(concat('x', l_orderkey % 3, ',', 'y', l_linenumber % 2), ',') AS evidence
+        FROM {lineitem}""",
+    "f_write": """
+        SELECT DISTINCT 's' AS scope, concat('w', l_orderkey % 7, '-', l_partkey % 5, '-', l_suppkey % 3) AS write_id, concat('e', l_partkey % 5) AS episode,
+               CASE WHEN l_suppkey % 3 = 0 THEN 'consolidation' ELSE 'formation' END AS kind,
+               CASE WHEN l_orderkey % 7 = 0 THEN 'FAILED' ELSE 'COMMITTED' END AS status
+        FROM {lineitem}""",
+    "f_state": """
+        SELECT DISTINCT 's' AS scope, concat('e', l_partkey % 5) AS episode,
                CASE WHEN l_partkey % 5 < 2 THEN 'legacy' ELSE 'episode' END AS lifecycle,
-               CASE WHEN l_partkey % 5 = 0 THEN 'OPEN' ELSE 'CLOSED' END AS episode_status,
-               l_suppkey % 3 = 0 AS consolidated
+               CASE WHEN l_partkey % 5 = 0 THEN 'OPEN' ELSE 'CLOSED' END AS episode_status
         FROM {lineitem}""",
+    "f_pub": """
+        SELECT 's' AS scope, concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey) AS edge_id,
+               concat('w', l_orderkey % 7, '-', l_partkey % 5, '-0') AS write_id
+        FROM {lineitem} WHERE l_linenumber = 5""",
+    "f_link": """
+        SELECT concat(a.id, '-', b.id) AS id, a.id AS source, b.id AS target,
+               CASE a.seq % 3 WHEN 0 THEN 'CAUSAL' WHEN 1 THEN 'OPPOSITION' ELSE 'SIMILARITY' END AS relation,
+               CAST(a.seq % 10 + 1 AS DOUBLE) / 10 AS strength
+        FROM {f_node} a JOIN {f_node} b ON b.seq = a.seq + 7
+        UNION ALL
+        SELECT concat(a.id, '-', b.id), a.id, b.id, 'SIMILARITY', CAST(a.seq % 7 + 1 AS DOUBLE) / 7
+        FROM {f_node} a JOIN {f_node} b ON b.seq = 2 * a.seq + 1""",
+    "f_label": """
+        SELECT n.id, concat(substr(d.text, 1, 120), ' ', n.id) AS label, concat('p', n.seq % 9) AS speaker
+        FROM {f_node} n JOIN {documents} d ON d.doc_id = n.seq""",
     "f_node": """
         SELECT concat('v', vec_id) AS id, vec_id AS seq, concat('s', label % 2) AS scope,
                CASE WHEN vec_id % 4 = 0 THEN 'PERSON' ELSE 'MEMORY' END AS type,

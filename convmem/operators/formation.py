@@ -7,6 +7,8 @@ runs is checked in one job.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 EMPTY = "array<string>"
@@ -32,6 +34,58 @@ def parse_drafts(raw: DataFrame, schema: str, keys: list[str], text_col: str = "
     return parsed.withColumn("shape_ok", F.coalesce(found == F.array(*[F.lit(k) for k in sorted(keys)]), F.lit(False)) & F.col("draft").isNotNull())
 
 
+#: The parts of a formation draft: the exact keys of their items, the texts that must not be blank, and
+#: the values that a field may have; fixed values.
+DRAFT = {
+    "entities": (("key", "type", "label", "speakerId", "evidence"), ("key", "label"), {"type": ("PERSON", "ALIAS", "CONCEPT", "OBJECT", "LOCATION", "ACTIVITY")}),
+    "memories": (("key", "kind", "text", "subject", "evidence", "usedMemoryIds", "supersedes"), ("key", "text", "subject"), {"kind": ("EPISODIC", "SEMANTIC", "PROCEDURAL", "GOAL")}),
+    "associations": (("source", "target", "relation", "strength", "evidence", "rationale"), ("source", "target", "rationale"), {"relation": ("CAUSAL", "SIMILARITY", "OPPOSITION")}),
+    "skipped": (("eventId", "reason"), ("eventId", "reason"), {}),
+}
+#: The most items of a part, and characters of a text.
+MOST_ITEMS, MOST_CHARACTERS = 500, 12_000
+
+
+def _any_text(names: tuple) -> Callable[[Column], Column]:
+    """Whether a JSON item lacks one of the texts, or has it blank or too long."""
+    def bad(x: Column) -> Column:
+        out = F.lit(False)
+        for name in names:
+            text = F.get_json_object(x, f"$.{name}")
+            out = out | F.coalesce((F.trim(text) == "") | (F.char_length(text) > MOST_CHARACTERS), F.lit(True))
+        return out
+    return bad
+
+
+def _any_value(enums: dict) -> Callable[[Column], Column]:
+    """Whether a field of a JSON item has none of its allowed values."""
+    def bad(x: Column) -> Column:
+        out = F.lit(False)
+        for name, allowed in enums.items():
+            out = out | ~F.coalesce(F.get_json_object(x, f"$.{name}").isin(*allowed), F.lit(False))
+        return out
+    return bad
+
+
+def draft_violations(raw: DataFrame, parts: dict = DRAFT, text_col: str = "body") -> DataFrame:
+    """(run_id, rule, part) of draft texts (run_id, body) that break the contract: keys (of the draft, part
+    '', or of an item), items (no array, or too many), text (missing, blank or too long), value (not
+    among those allowed). Each rule is reported once for a part. Null or malformed JSON: keys of ''."""
+    schema = ", ".join(f"{p} array<string>" for p in parts)
+    top = F.coalesce(F.array_sort(F.json_object_keys(text_col)) == F.array(*[F.lit(p) for p in sorted(parts)]), F.lit(False))
+    d = raw.select("run_id", top.alias("_top"), F.from_json(text_col, schema).alias("_d"))
+    found = [F.when(~F.col("_top"), F.struct(F.lit("keys").alias("rule"), F.lit("").alias("part")))]
+    for part, (keys, texts, enums) in parts.items():
+        items = F.col("_d")[part]
+        exact = F.array(*[F.lit(k) for k in sorted(keys)])
+        checks = {
+            "items": items.isNull() | (F.size(items) > MOST_ITEMS), "keys": F.exists(items, lambda x: ~F.coalesce(F.array_sort(F.json_object_keys(x)) == exact, F.lit(False))),  # noqa: B023
+            "text": F.exists(items, _any_text(texts)), "value": F.exists(items, _any_value(enums)),
+        }
+        found += [F.when(F.col("_top") & F.coalesce(c, F.lit(False)), F.struct(F.lit(rule).alias("rule"), F.lit(part).alias("part"))) for rule, c in checks.items()]
+    return d.select("run_id", F.explode(F.array_compact(F.array(*found))).alias("x")).select("run_id", "x.rule", "x.part")
+
+
 def evidence_errors(evidence: DataFrame, events: DataFrame) -> DataFrame:
     """Citations (run_id, key, event_id, quote) of events that are not the run's input
     (events: run_id, event_id, text), or whose quote is no verbatim part of the text."""
@@ -239,17 +293,41 @@ def final_stage(record_kind: Column) -> Column:
     return F.when(record_kind.isin("pending_reference", "conflict"), "UNRESOLVED").otherwise("LONG_TERM")
 
 
-def formation_packets(events: DataFrame, nodes: DataFrame, pending_limit: int = 80, context: int = 6) -> DataFrame:
-    """Per (scope, episode) the first pending events, the last processed ones as context, and the
-    episode's current nodes, as ordered arrays."""
-    w = Window.partitionBy("scope", "episode")
+def formation_packets(events: DataFrame, nodes: DataFrame, edges: DataFrame, explicit: DataFrame | None = None, pending_limit: int = 80, context: int = 6) -> DataFrame:
+    """What is formed from next, for each (scope, episode) with pending events: pending_ids, the first
+    pending events; context_ids, the last processed ones and those asked for, the newest `context` of
+    them; node_ids, the episode's current nodes and the identities of all these events' speakers;
+    edge_ids, the edges with both ends among the nodes. All are arrays in log order.
+
+    events: scope, episode, id, seq, speaker, processed; nodes: scope, episode, id, seq, status, stage,
+    speaker_id (null unless an identity); edges: scope, id, source, target; explicit: scope, episode, id
+    of processed events that the caller sees; those not before the first pending event are left out.
+    """
+    key = ["scope", "episode"]
+    w = Window.partitionBy(*key)
     p = events.where("NOT processed").withColumn("_r", F.row_number().over(w.orderBy("seq"))).where(F.col("_r") <= pending_limit)
-    c = events.where("processed").withColumn("_r", F.row_number().over(w.orderBy(F.desc("seq")))).where(F.col("_r") <= context)
-    def ids(df: DataFrame, order: str, name: str) -> DataFrame:
-        return df.groupBy("scope", "episode").agg(F.transform(F.sort_array(F.collect_list(F.struct(order, "id"))), lambda x: x["id"]).alias(name))
-    out = ids(p, "seq", "pending_ids").join(ids(c, "seq", "context_ids"), ["scope", "episode"], "left").join(ids(nodes.where("status = 'CURRENT'"), "seq", "node_ids"), ["scope", "episode"], "left")
-    empty = F.array().cast(EMPTY)
-    return out.select("scope", "episode", "pending_ids", F.coalesce("context_ids", empty).alias("context_ids"), F.coalesce("node_ids", empty).alias("node_ids"))
+    c = events.where("processed").select(*key, "id", "seq", "speaker")
+    if explicit is not None:
+        first = p.groupBy(*key).agg(F.min("seq").alias("_first"))
+        asked = explicit.select("scope", F.col("episode").alias("_for"), "id").join(c.drop("episode"), ["scope", "id"]).withColumnRenamed("_for", "episode")
+        asked = asked.join(first, key).where("seq < _first").select(*key, "id", "seq", "speaker")
+        latest = c.withColumn("_r", F.row_number().over(w.orderBy(F.desc("seq")))).where(F.col("_r") <= context).drop("_r")
+        c = latest.unionByName(asked).dropDuplicates([*key, "id"])
+    c = c.withColumn("_r", F.row_number().over(w.orderBy(F.desc("seq")))).where(F.col("_r") <= context)
+    heard = p.select(*key, "speaker").unionByName(c.select(*key, "speaker")).join(p.select(*key).distinct(), key, "left_semi").distinct()
+    identities = nodes.where("speaker_id IS NOT NULL").select("scope", F.col("speaker_id").alias("speaker"), F.col("episode").alias("_of"), "id", "seq", "stage")
+    known = heard.join(identities, ["scope", "speaker"]).where((F.col("stage") == "LONG_TERM") | (F.col("_of") == F.col("episode"))).select(*key, "id", "seq")
+    known = known.unionByName(nodes.where("status = 'CURRENT'").select(*key, "id", "seq")).distinct()
+    ends = known.select(*key, "id")
+    within = edges.select("scope", F.col("id").alias("edge"), "source", "target").join(ends.withColumnRenamed("id", "source"), ["scope", "source"]).join(ends.withColumnRenamed("id", "target"), [*key, "target"])
+    within = within.select(*key, F.col("edge").alias("id"), F.lit(0).alias("seq"))
+
+    def ids(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(*key).agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "id"))), lambda x: x["id"]).alias(name))
+    out, empty = ids(p, "pending_ids"), F.array().cast(EMPTY)
+    for df, name in ((c, "context_ids"), (known, "node_ids"), (within, "edge_ids")):
+        out = out.join(ids(df, name), key, "left").withColumn(name, F.coalesce(name, empty))
+    return out
 
 
 def consolidation_errors(decisions: DataFrame, temporaries: DataFrame, memories: DataFrame) -> DataFrame:
@@ -300,18 +378,24 @@ def span_references(evidence: DataFrame, events: DataFrame) -> DataFrame:
     return joined.select("key", "event_id", (F.instr("text", F.col("quote")) - 1).alias("start"), (F.instr("text", F.col("quote")) - 1 + F.char_length("quote")).alias("end"))
 
 
-def selective_context(chosen: DataFrame, nodes: DataFrame, edges: DataFrame, evidence: DataFrame) -> DataFrame:
-    """(id, role): chosen temporaries (id), their subjects, entities one edge away from these, and
-    cited events."""
+def selective_context(chosen: DataFrame, nodes: DataFrame, edges: DataFrame, evidence: DataFrame, events: DataFrame) -> DataFrame:
+    """(id, role): chosen temporaries (id), their subjects, entities one edge away from these, the events
+    that the chosen cite, and as context the reply targets of these events and what the other nodes
+    cite, wherever it is. nodes: id, type, subject; evidence: key, event_id; events: id, reply_to."""
     c = chosen.select("id").distinct()
     subjects = nodes.join(c, "id", "left_semi").where("subject IS NOT NULL").select(F.col("subject").alias("id")).distinct()
     both = edges.select(F.col("source").alias("id"), F.col("target").alias("other")).unionByName(edges.select(F.col("target").alias("id"), F.col("source").alias("other")))
     entities = nodes.where("type <> 'MEMORY'").select("id")
-    bridges = both.join(subjects, "id", "left_semi").select(F.col("other").alias("id")).distinct().join(entities, "id", "left_semi").join(subjects, "id", "left_anti")
-    cited = evidence.select(F.col("key").alias("id"), "event_id").join(c, "id", "left_semi").select(F.col("event_id").alias("id")).distinct()
+    near = both.join(subjects.unionByName(c), "id", "left_semi").select(F.col("other").alias("id")).distinct()
+    bridges = near.join(entities, "id", "left_semi").join(subjects, "id", "left_anti")
+    cites = evidence.select(F.col("key").alias("id"), "event_id")
+    cited = cites.join(c, "id", "left_semi").select(F.col("event_id").alias("id")).distinct()
+    replied = events.join(cited, "id", "left_semi").where("reply_to IS NOT NULL").select(F.col("reply_to").alias("id"))
+    foreign = cites.join(subjects.unionByName(bridges), "id", "left_semi").select(F.col("event_id").alias("id"))
+    context = replied.unionByName(foreign).distinct().join(events.select("id"), "id", "left_semi").join(cited, "id", "left_anti")
     def named(df: DataFrame, role: str) -> DataFrame:
         return df.select("id", F.lit(role).alias("role"))
-    return named(c, "temporary").unionByName(named(subjects, "subject")).unionByName(named(bridges, "bridge")).unionByName(named(cited, "event"))
+    return named(c, "temporary").unionByName(named(subjects, "subject")).unionByName(named(bridges, "bridge")).unionByName(named(cited, "event")).unionByName(named(context, "context"))
 
 
 def changed_sources(before: DataFrame, now: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
@@ -322,10 +406,22 @@ def changed_sources(before: DataFrame, now: DataFrame, key: list[str], columns:
     return joined.where(~F.col("_a").eqNullSafe(F.col("_b"))).select(*key, F.when(F.col("_b").isNull(), "gone").otherwise("changed").alias("change"))
 
 
-def legacy_close(episodes: DataFrame, events: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(episodes closed, refused because of unprocessed events, nodes promoted with the closed)."""
-    open_ = events.where("NOT processed").select("scope", "episode").distinct()
-    refused = episodes.join(open_, ["scope", "episode"], "left_semi")
-    closed = episodes.join(open_, ["scope", "episode"], "left_anti").withColumn("episode_status", F.lit("CLOSED"))
-    promoted = nodes.join(closed.select("scope", "episode"), ["scope", "episode"], "left_semi").withColumn("stage", F.lit("LONG_TERM"))
-    return closed, refused, promoted
+def close_episodes(episodes: DataFrame, events: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(episodes with their new status, refused because of unprocessed events, nodes promoted).
+
+    An OPEN episode becomes CLOSED if its lifecycle is legacy, and its nodes LONG_TERM; SEALED if they
+    await consolidation. Others stay as they are. episodes: scope, episode, lifecycle, episode_status."""
+    key = ["scope", "episode"]
+    busy = events.where("NOT processed").select(*key).distinct()
+    refused = episodes.where("episode_status = 'OPEN'").join(busy, key, "left_semi")
+    done = F.when(F.col("episode_status") != "OPEN", F.col("episode_status")).when(F.col("lifecycle") == "legacy", "CLOSED").otherwise("SEALED")
+    ready = episodes.join(refused.select(*key), key, "left_anti").withColumn("_was", F.col("episode_status")).withColumn("episode_status", done)
+    legacy = ready.where("lifecycle = 'legacy' AND _was = 'OPEN'").select(*key)
+    return ready.drop("_was"), refused, nodes.join(legacy, key, "left_semi").withColumn("stage", F.lit("LONG_TERM"))
+
+
+def reopen_episodes(episodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(episodes open again, refused): only SEALED episodes that await consolidation take events again."""
+    sealed = (F.col("lifecycle") == "consolidate") & (F.col("episode_status") == "SEALED")
+    may = F.coalesce(sealed, F.lit(False))
+    return episodes.where(may).withColumn("episode_status", F.lit("OPEN")), episodes.where(~may)

@@ -28,29 +28,37 @@ def merge_mentions(nodes: DataFrame, mentions: DataFrame) -> DataFrame:
     return joined.withColumn("evidence", union).drop("_more", "node_id")
 
 
-def visible_edges(edges: DataFrame, episode: str | None = None) -> DataFrame:
-    """Edges whose write is committed and that are of a closed legacy episode, of the caller's
-    episode, or consolidated. Applied before parallel edges are combined, so that a hidden edge
-    never lends its strength.
-
-    Null states count as not visible.
+def visible_edges(edges: DataFrame, writes: DataFrame, episodes: DataFrame, publications: DataFrame, episode: str | None = None) -> DataFrame:
+    """Edges whose own write is committed in their scope and that are of a closed legacy episode, of
+    the caller's episode, or consolidated: written by a committed consolidation, or published by one.
+    Applied before parallel edges are combined, so that a hidden edge never lends its strength.
+
+    edges: scope, write_id, id, …; writes: scope, write_id, episode, kind, status; episodes: scope,
+    episode, lifecycle, episode_status; publications: scope, edge_id, write_id (of the consolidation).
+    Missing writes and episodes, and null states, count as not visible.
     """
-    closed = (F.col("lifecycle") == "legacy") & (F.col("episode_status") != "OPEN")
-    seen = closed | F.col("consolidated")
+    committed = writes.where("status = 'COMMITTED'").select("scope", "write_id", F.col("episode").alias("_episode"), F.col("kind").alias("_kind"))
+    states = episodes.select("scope", F.col("episode").alias("_episode"), ((F.col("lifecycle") == "legacy") & (F.col("episode_status") != "OPEN")).alias("_closed"))
+    final = committed.where("_kind = 'consolidation'").select("scope", "write_id")
+    published = publications.join(final, ["scope", "write_id"], "left_semi").select("scope", F.col("edge_id").alias("id"), F.lit(True).alias("_published")).distinct()
+    joined = edges.join(committed, ["scope", "write_id"]).join(states, ["scope", "_episode"], "left").join(published, ["scope", "id"], "left")
+    seen = F.coalesce("_closed", F.lit(False)) | (F.col("_kind") == "consolidation") | F.coalesce("_published", F.lit(False))
     if episode is not None:
-        seen = seen | (F.col("episode") == episode)
-    return edges.where((F.col("write_status") == "COMMITTED") & F.coalesce(seen, F.lit(False)))
+        seen = seen | (F.col("_episode") == episode)
+    return joined.where(F.coalesce(seen, F.lit(False))).select(*edges.columns)
 
 
 def combine_parallel(edges: DataFrame, key: list[str] | None = None) -> DataFrame:
     """One edge per (source, target, relation), unordered unless CAUSAL: the largest strength, the
-    smallest id, and all record ids in order."""
+    smallest id, all record ids in order, and the union of their evidence, in order, where the edges
+    have any (array column evidence)."""
     key = key or []
     directed = F.col("relation") == CAUSAL
     a = F.when(directed, F.col("source")).otherwise(F.least("source", "target")).alias("source")
     b = F.when(directed, F.col("target")).otherwise(F.greatest("source", "target")).alias("target")
-    rows = edges.select(*key, a, b, "relation", "strength", "id")
-    return rows.groupBy(*key, "source", "target", "relation").agg(F.max("strength").alias("strength"), F.min("id").alias("id"), F.array_sort(F.collect_set("id")).alias("record_ids"))
+    cited = [F.array_sort(F.array_distinct(F.flatten(F.collect_set("evidence")))).alias("evidence")] if "evidence" in edges.columns else []
+    rows = edges.select(*key, a, b, "relation", "strength", "id", *["evidence"] * len(cited))
+    return rows.groupBy(*key, "source", "target", "relation").agg(F.max("strength").alias("strength"), F.min("id").alias("id"), F.array_sort(F.collect_set("id")).alias("record_ids"), *cited)
 
 
 def visible_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -103,18 +111,22 @@ def arcs(edges: DataFrame, relations: dict[str, float], direction: str = "both",
     return there.unionByName(again).select("source", "target", *columns)
 
 
-def frontier_arcs(all_arcs: DataFrame, frontier: DataFrame, node_limit: int, arc_limit: int) -> DataFrame:
-    """All arcs of the frontier's sources (qid, node), with each query's counts and whether a limit
-    is passed; none is pruned."""
+def frontier_arcs(all_arcs: DataFrame, frontier: DataFrame, node_limit: int, arc_limit: int) -> tuple[DataFrame, DataFrame]:
+    """(all arcs of the frontier's sources (qid, node), none pruned; each query's counts of sources and
+    arcs and whether a limit is passed). Callers refuse queries that pass a limit as a whole."""
     read = frontier.select("qid", F.col("node").alias("source")).distinct().join(all_arcs, "source")
     counts = read.groupBy("qid").agg(F.countDistinct("source").alias("n_sources"), F.count("*").alias("n_arcs"))
-    return counts.withColumn("over_limit", (F.col("n_sources") > node_limit) | (F.col("n_arcs") > arc_limit))
+    return read, counts.withColumn("over_limit", (F.col("n_sources") > node_limit) | (F.col("n_arcs") > arc_limit))
 
 
 def fingerprint(rows: DataFrame, columns: list[str], key: list[str]) -> DataFrame:
-    """A hash of each key's rows that does not depend on their order; repeated rows count."""
-    h = F.xxhash64(*[F.col(c).cast("string") for c in columns])
-    return rows.groupBy(*key).agg(F.count("*").alias("n"), F.bit_xor(h).alias("_x"), F.sum(F.pmod(h, F.lit(1_000_000_007))).alias("_s")).select(*key, "n", F.sha2(F.concat_ws(":", "n", "_x", "_s"), 256).alias("fingerprint"))
+    """(key, n, fingerprint): a hash of each key's rows that does not depend on their order; repeated rows
+    count. Four sums over slices of the rows' SHA-256 are combined in the reading tasks, so a key of
+    any size is one row a task. A row is its columns as text, parted by tabs; nulls are left out."""
+    h = F.sha2(F.concat_ws("\t", *[F.col(c).cast("string") for c in columns]), 256)
+    sums = [F.sum(F.conv(F.substring(h, 1 + 8 * i, 8), 16, 10).cast("bigint")).alias(f"_s{i}") for i in range(4)]
+    g = rows.groupBy(*key).agg(F.count("*").alias("n"), *sums)
+    return g.select(*key, "n", F.sha2(F.concat_ws(":", "n", *[f"_s{i}" for i in range(4)]), 256).alias("fingerprint"))
 
 
 def visible_events(events: DataFrame, episodes: DataFrame, episode: str | None = None) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from convmem.functions.text import tokens
+from convmem.plans.joins import join_checked
+from convmem.plans.scratch import scratch
 
 
 def token_counts(texts: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
@@ -16,19 +18,36 @@ def _norms(counts: DataFrame, id_col: str) -> DataFrame:
     return counts.groupBy(id_col).agg(F.sqrt(F.sum(F.col("n") * F.col("n")).cast("double")).alias("norm"))
 
 
+def _counted(texts: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
+    """(id, norm, counts): each text's token counts as an array of (token, n), and their length,
+    found within the row; texts without a token are left out."""
+    ordered = texts.select(F.col(id_col), F.array_sort(tokens(F.col(text_col))).alias("_t"))
+    start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).cast("bigint").alias("run"), F.lit(0).cast("bigint").alias("sum"))
+    # The squares of the runs of equal tokens: a run that grows from r to r + 1 adds 2 r + 1.
+    def more(a, t):
+        same = F.coalesce(a["last"] == t, F.lit(False))
+        run = F.when(same, a["run"]).otherwise(F.lit(0).cast("bigint"))
+        return F.struct(t.alias("last"), (run + 1).alias("run"), (a["sum"] + 2 * run + 1).alias("sum"))
+
+    return ordered.where(F.size("_t") > 0).select(id_col, F.sqrt(F.aggregate("_t", start, more, lambda a: a["sum"]).cast("double")).alias("norm"), F.col("_t").alias("tokens"))
+
+
 def search(queries: DataFrame, texts: DataFrame, qid: str, tid: str, min_score: float = 0.05, k: int | None = None) -> DataFrame:
     """(qid, tid, score, rank): cosine of token counts of each query with all texts that share a
     token, at least min_score; ties by ascending id.
 
-    Only pairs that share a token meet, by an equi-join on the token; products are summed by a
-    combining aggregation.
+    A text's length is found within its row. Of its tokens only those that a query has leave the
+    row's task: the queries' tokens are a key table that is broadcast where its counted size allows.
+    Pairs meet by an equi-join on the token, and products are summed by a combining aggregation.
     """
-    q, t = token_counts(queries, qid), token_counts(texts, tid)
-    dots = q.join(t.withColumnRenamed("n", "m"), "token").groupBy(qid, tid).agg(F.sum(F.col("n") * F.col("m")).alias("dot"))
-    scored = dots.join(_norms(q, qid).withColumnRenamed("norm", "_qn"), qid).join(_norms(t, tid).withColumnRenamed("norm", "_tn"), tid)
-    scored = scored.select(qid, tid, (F.col("dot") / (F.col("_qn") * F.col("_tn"))).alias("score")).where(F.col("score") >= min_score)
-    from pyspark.sql import Window
-
+    q = scratch(token_counts(queries, qid), "lexical-queries")
+    norms = _norms(q, qid).withColumnRenamed("norm", "_qn")
+    asked = scratch(q.select("token").distinct(), "lexical-tokens")
+    t = _counted(texts, tid)
+    found = join_checked(t.select(tid, F.col("norm").alias("_tn"), F.explode("tokens").alias("token")), asked, "token", "left_semi")
+    counts = found.groupBy(tid, "_tn", "token").agg(F.count("*").alias("m"))
+    dots = join_checked(counts, q, "token", "inner").groupBy(qid, tid).agg(F.sum(F.col("n") * F.col("m")).alias("dot"), F.first("_tn").alias("_tn"))
+    scored = join_checked(dots, scratch(norms, "lexical-norms"), qid, "inner").select(qid, tid, (F.col("dot") / (F.col("_qn") * F.col("_tn"))).alias("score")).where(F.col("score") >= min_score)
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy(qid).orderBy(F.desc(F.round("score", 12)), tid)))
     return ranked.where(F.col("rank") <= k) if k else ranked
 

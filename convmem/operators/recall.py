@@ -19,7 +19,9 @@ RELATIONS = ("CAUSAL", "SIMILARITY", "OPPOSITION")
 
 @dataclass(frozen=True)
 class RecallOptions:
-    """Run-wide options with their ranges."""
+    """Run-wide options with their ranges. normalize_cue_seeds: seeds of a cue sum to 1 before cues are
+    weighed. include_query_seed: the query grounds seeds too, with query_seed_weight of the whole.
+    ground_by_speaker: a cue that names speakers finds only their nodes."""
 
     seed_count: int = 3
     gate_power: float = 2.0
@@ -27,6 +29,10 @@ class RecallOptions:
     window_radius: int = 2
     query_seed_weight: float = 0.5
     return_diversity: float = 0.0
+    include_query_seed: bool = False
+    normalize_cue_seeds: bool = False
+    ground_by_speaker: bool = False
+    gate_affinity: str = "query"
 
     def __post_init__(self) -> None:
         for name, low, high in (("seed_count", 1, 3), ("gate_power", 0, 8), ("view_characters", 100, 1024), ("window_radius", 0, 4), ("query_seed_weight", 0, 1), ("return_diversity", 0, 1)):
@@ -153,7 +159,7 @@ def ground_multi(cues: DataFrame, similarities: DataFrame, exact: DataFrame, see
     w = Window.partitionBy("qid", "cue").orderBy("b._o", "b.m", "id")
     seeds = once.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= seed_count).withColumn("score", -F.col("b.m")).where(F.col("score") >= minimum)
     seeds = seeds.withColumn("s", F.pow(F.greatest(F.lit(1e-6), F.col("score") - minimum), F.lit(2.0)))
-    if per_cue or query_share is not None:
+    if per_cue:
         total = seeds.groupBy("qid", "cue").agg(F.sum("s").alias("_t"))
         seeds = seeds.join(total, ["qid", "cue"]).withColumn("s", F.col("s") / F.col("_t"))
     weighted = cues
@@ -183,18 +189,20 @@ def gate_affinity(similarities: DataFrame, cues: DataFrame, mode: str = "query")
 
 
 def gated_arcs(arcs: DataFrame, affinity: DataFrame, nodes: DataFrame, power: float = 2.0) -> DataFrame:
-    """Arcs of each query with their effect times the gate max(.02, min(1, .25 + relevance) ** power);
-    relevance is the target's affinity, for targets that are no memories at least the source's.
-    No arc is dropped; power 0 leaves effects as they are."""
+    """Arcs of each query (qid, source, target, effective, …) with their effect times the gate
+    max(.02, min(1, .25 + relevance) ** power); relevance is the target's affinity, for targets that
+    are no memories at least the source's, and 0 where a node has none. No arc is dropped; power 0
+    leaves effects as they are."""
+    if not power:
+        return arcs.withColumns({"context_gate": F.lit(1.0), "base_effective": F.col("effective")})
     a = affinity.select("qid", F.col("id").alias("source"), F.col("affinity").alias("_sa"))
     b = affinity.select("qid", F.col("id").alias("target"), F.col("affinity").alias("_ta"))
-    typed = arcs.join(nodes.select(F.col("id").alias("target"), F.col("type").alias("_type")), "target")
-    # Affinities cover all nodes for each query, so the join on the source fans arcs out by query.
-    out = typed.join(a, "source").join(b, ["qid", "target"], "left")
+    typed = nodes.select(F.col("id").alias("target"), (F.col("type") == "MEMORY").alias("_memory")).dropDuplicates(["target"])
+    out = arcs.join(a, ["qid", "source"], "left").join(b, ["qid", "target"], "left").join(typed, "target", "left")
     rel = F.greatest(F.lit(0.0), F.coalesce("_ta", F.lit(0.0)))
-    rel = F.when(F.col("_type") == "MEMORY", rel).otherwise(F.greatest(rel, F.coalesce("_sa", F.lit(0.0))))
+    rel = F.when(F.coalesce("_memory", F.lit(False)), rel).otherwise(F.greatest(rel, F.coalesce("_sa", F.lit(0.0))))
     gate = F.greatest(F.lit(0.02), F.pow(F.least(F.lit(1.0), 0.25 + rel), F.lit(float(power))))
-    return out.withColumn("context_gate", gate).withColumn("base_effective", F.col("effective")).withColumn("effective", F.col("effective") * F.col("context_gate")).drop("_sa", "_ta", "_type")
+    return out.withColumn("context_gate", gate).withColumn("base_effective", F.col("effective")).withColumn("effective", F.col("effective") * F.col("context_gate")).drop("_sa", "_ta", "_memory")
 
 
 def cut_candidates(scores: DataFrame, nodes: DataFrame, checks: int, threshold: float | None = None, history: bool = False) -> DataFrame:

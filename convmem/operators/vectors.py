@@ -8,8 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: Queries whose vectors travel with the tasks; more are dealt in blocks.
-QUERY_BLOCK = 2_000
+#: Queries whose vectors travel with the tasks, and make a block where there are more; vectors of a part.
+QUERY_BLOCK, VECTOR_BLOCK = 2_000, 20_000
 
 
 def unit(vector: Column) -> Column:
@@ -54,63 +54,74 @@ def missing_vectors(wanted: DataFrame, stored: DataFrame, key: list[str]) -> Dat
     return wanted.join(stored.select(*key).distinct(), key, "left_anti")
 
 
-def _topk(queries: list, matrix: np.ndarray, k: int):
+def _unit_rows(values: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """(vectors of length 1, which rows have one): zero vectors have no direction."""
+    v = np.stack([np.asarray(x, np.float64) for x in values])
+    norms = np.linalg.norm(v, axis=1)
+    return v[norms > 0] / norms[norms > 0, None], norms > 0
+
+
+def _nearest(names: np.ndarray, matrix: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int | None) -> pd.DataFrame:
+    """The similarities of all queries with some vectors; with k only those that can be among a query's
+    k best: all that reach the k-th value here, so that ties are settled by id later."""
+    sims = matrix @ v.T
+    if k is None or k >= len(v):
+        q, at = np.nonzero(np.ones_like(sims, bool))
+    else:
+        floor = np.partition(sims, len(v) - k, axis=1)[:, len(v) - k]
+        q, at = np.nonzero(sims >= floor[:, None] - 1e-9)
+    return pd.DataFrame({"qid": names[q], "id": ids[at], "score": sims[q, at]})
+
+
+def _against(names: np.ndarray, matrix: np.ndarray, k: int | None):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if not len(batch):
-                continue
-            v = np.stack([np.asarray(x, np.float64) for x in batch["_v"]])
-            norms = np.linalg.norm(v, axis=1)
-            v, ids = v[norms > 0] / norms[norms > 0, None], batch["_id"].to_numpy()[norms > 0]
-            if not len(v):
-                continue
-            sims = matrix @ v.T
-            keep = min(k, len(v))
-            # All that reach the k-th value of a batch, so that ties are settled by id later.
-            floor = np.partition(sims, len(v) - keep, axis=1)[:, len(v) - keep]
-            q, at = np.nonzero(sims >= floor[:, None] - 1e-9)
-            yield pd.DataFrame({"qid": [queries[i] for i in q], "id": ids[at], "score": sims[q, at]})
+            if len(batch):
+                v, good = _unit_rows(batch["_v"])
+                if len(v):
+                    yield _nearest(names, matrix, batch["_id"].to_numpy()[good], v, k)
+
+    return run
+
+
+def _block_pair(k: int | None):
+    def run(queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
+        if len(queries) and len(vectors):
+            m, asked = _unit_rows(queries["_v"])
+            v, good = _unit_rows(vectors["_v"])
+            if len(m) and len(v):
+                return _nearest(queries["qid"].to_numpy()[asked], m, vectors["_id"].to_numpy()[good], v, k)
+        return pd.DataFrame({"qid": queries["qid"][:0], "id": vectors["_id"][:0], "score": np.empty(0)})
 
     return run
 
 
-def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int, qid: str = "qid", id_col: str = "id", vector: str = "vector") -> DataFrame:
-    """(qid, id, score, rank): the k most similar vectors of each query, ties by ascending id.
+def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int | None, qid: str = "qid", id_col: str = "id", vector: str = "vector", block: int = QUERY_BLOCK, part: int = VECTOR_BLOCK) -> DataFrame:
+    """(qid, id, score, rank): the k most similar vectors of each query (None: all), ties by
+    ascending id.
 
-    Queries are taken in blocks of QUERY_BLOCK; a block's matrix goes to the tasks, which
-    multiply it with their vectors and pass on what can still be among the k best. So every
-    vector is read once per block and only about k rows per query and task are shuffled.
-    Zero vectors have no similarity and are left out. Filters on the collection are applied
-    before by the caller and reach the scan.
+    Up to `block` queries travel with the tasks as one matrix, which each task multiplies with the
+    vectors it reads, so vectors are not shuffled. More queries are dealt into blocks and vectors into
+    parts, as rows; each pair of a block and a part is one task's multiplication, of bounded size.
+    Either way about k rows for each query and task are shuffled. Zero and null vectors have no
+    similarity and are left out. Filters on the collection are applied before by the caller and
+    reach the scan.
     """
     spark = queries.sparkSession
-    id_type = vectors.schema[id_col].dataType.simpleString()
-    qid_type = queries.schema[qid].dataType.simpleString()
+    id_type, qid_type = vectors.schema[id_col].dataType.simpleString(), queries.schema[qid].dataType.simpleString()
     schema = f"qid {qid_type}, id {id_type}, score double"
     collection = vectors.select(F.col(id_col).alias("_id"), F.col(vector).cast("array<double>").alias("_v")).where("_v IS NOT NULL")
-    block = queries.select(F.col(qid).alias("qid"), F.col(vector).cast("array<double>").alias("_v")).where("_v IS NOT NULL").toLocalIterator()
-    parts: list[DataFrame] = []
-    names, rows = [], []
-
-    def flush() -> None:
-        m = np.array(rows)
-        norms = np.linalg.norm(m, axis=1)
-        good = norms > 0
-        if good.any():
-            parts.append(collection.mapInPandas(_topk([n for n, g in zip(names, good, strict=True) if g], m[good] / norms[good, None], k), schema))
-
-    for r in block:
-        names.append(r["qid"])
-        rows.append(r["_v"])
-        if len(rows) == QUERY_BLOCK:
-            flush()
-            names, rows = [], []
-    if rows:
-        flush()
-    if not parts:
+    asked = queries.select(F.col(qid).alias("qid"), F.col(vector).cast("array<double>").alias("_v")).where("_v IS NOT NULL")
+    few = asked.limit(block + 1).toPandas()  # bounded
+    if not len(few):
         return spark.createDataFrame([], schema + ", rank int")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    w = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 12)), "id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    if len(few) <= block:
+        m, good = _unit_rows(few["_v"])
+        found = collection.mapInPandas(_against(few["qid"].to_numpy()[good], m, k), schema)
+    else:
+        blocks, parts = -(-asked.count() // block), max(1, -(-collection.count() // part))
+        q = asked.withColumn("_b", F.pmod(F.xxhash64("qid"), F.lit(blocks))).withColumn("_p", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))))
+        c = collection.withColumn("_p", F.pmod(F.xxhash64("_id"), F.lit(parts))).withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
+        found = q.groupBy("_b", "_p").cogroup(c.groupBy("_b", "_p")).applyInPandas(_block_pair(k), schema)
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(F.round("score", 12)), "id")))
+    return ranked if k is None else ranked.where(F.col("rank") <= k)

@@ -8,12 +8,13 @@ else all queries share them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
 from convmem.operators.graph import normalize
-from convmem.plans.scratch import scratch
+from convmem.plans.scratch import ScratchTables, scratch
 
 
 @dataclass(frozen=True)
@@ -38,32 +39,53 @@ def _arc_key(arcs: DataFrame) -> list[str]:
     return ["qid", "source"] if "qid" in arcs.columns else ["source"]
 
 
-def diffuse(arcs: DataFrame, seeds: DataFrame, config: Dynamics = Dynamics()) -> DataFrame:
+Gate = Callable[[DataFrame], DataFrame]
+
+
+def _reached(mass: DataFrame, arcs: DataFrame, gate: Gate | None) -> DataFrame:
+    """The arcs of the sources (qid, source, …) that a step expands, gated if asked. Only these arcs
+    meet a query, so a gate costs nothing for the rest of the graph."""
+    out = mass.join(arcs, _arc_key(arcs))
+    return gate(out) if gate else out
+
+
+def _flows(mass: DataFrame, arcs: DataFrame, config: Dynamics, gate: Gate | None) -> DataFrame:
+    """What each source (qid, source, a) sends along its arcs: (qid, source, target, edge_id,
+    arc_direction, amount, out), out being all that the source sends."""
+    p = F.col("a") * F.col("effective") - config.flow_floor
+    open_arcs = _reached(mass, arcs, gate).withColumn("p", p).where("p > 0").select("qid", "source", "target", "edge_id", "arc_direction", "a", "p")
+    asked = open_arcs.groupBy("qid", "source").agg(F.sum("p").alias("total"), F.first("a").alias("_a")).select("qid", "source", "total", F.least(F.col("_a") * config.max_outflow, "total").alias("out"))
+    return open_arcs.join(asked, ["qid", "source"]).select("qid", "source", "target", "edge_id", "arc_direction", (F.col("out") * F.col("p") / F.col("total")).alias("amount"), "out")
+
+
+def diffuse(arcs: DataFrame, seeds: DataFrame, config: Dynamics = Dynamics(), gate: Gate | None = None) -> DataFrame:
     """The trace of the diffusion: one row per (qid, step, node) with raw, competed and a.
 
     Each step a node sends out at most max_outflow of its attention, dealt over its arcs by
     max(0, a * effective - flow_floor); what arrives and what stays (raw) competes by the
     power gamma, normalised per query; the next state mixes that with the seeds by `anchor`. The
-    sums of raw and of a are 1 for every query at every step. Step 0 holds the seeds.
+    sums of raw and of a are 1 for every query at every step. Step 0 holds the seeds. gate changes
+    the effects of the arcs that a step reads (see recall.gated_arcs).
     """
-    start = scratch(normalize(seeds.select("qid", "node", F.col("weight").cast("double").alias("weight")), ["qid"]), "diffuse-seeds")
+    tables = ScratchTables()
+    start = tables.write(normalize(seeds.select("qid", "node", F.col("weight").cast("double").alias("weight")), ["qid"]), "diffuse-seeds")
     state = start.select("qid", "node", F.col("weight").alias("a"))
     trace = [state.select("qid", F.lit(0).alias("step"), "node", F.lit(None).cast("double").alias("raw"), F.lit(None).cast("double").alias("competed"), "a")]
+    kept = [start]
     for step in range(1, config.steps + 1):
-        mass = state.select("qid", F.col("node").alias("source"), "a")
-        potential = F.col("a") * F.col("effective") - config.flow_floor
-        open_arcs = mass.join(arcs, _arc_key(arcs)).withColumn("p", potential).where("p > 0").select("qid", "source", "target", "a", "p")
-        asked = open_arcs.groupBy("qid", "source").agg(F.sum("p").alias("total"), F.first("a").alias("a")).withColumn("out", F.least(F.col("a") * config.max_outflow, "total"))
-        flows = open_arcs.join(asked.select("qid", "source", "total", "out"), ["qid", "source"])
-        arriving = flows.select("qid", F.col("target").alias("node"), (F.col("out") * F.col("p") / F.col("total")).alias("v"))
-        staying = state.join(asked.select("qid", F.col("source").alias("node"), "out"), ["qid", "node"], "left").select("qid", "node", (F.col("a") - F.coalesce("out", F.lit(0.0))).alias("v"))
-        raw = scratch(arriving.unionByName(staying).groupBy("qid", "node").agg(F.sum("v").alias("raw")), "diffuse-raw")
+        flows = _flows(state.select("qid", F.col("node").alias("source"), "a"), arcs, config, gate)
+        # What leaves a source is the sum of its flows, so one aggregation has both what arrives and what stays.
+        moved = flows.select("qid", F.explode(F.array(F.struct(F.col("target").alias("node"), F.col("amount").alias("v")), F.struct(F.col("source").alias("node"), (-F.col("amount")).alias("v")))).alias("x")).select("qid", "x.*")
+        raw = moved.unionByName(state.select("qid", "node", F.col("a").alias("v"))).groupBy("qid", "node").agg(F.greatest(F.sum("v"), F.lit(0.0)).alias("raw"))
+        raw = tables.write(raw, "diffuse-raw")
         powered = raw.withColumn("w", F.when(F.col("raw") > 0, F.pow("raw", F.lit(config.gamma))).otherwise(0.0))
         totals = powered.groupBy("qid").agg(F.sum("w").alias("total"))
         competed = powered.join(totals, "qid").select("qid", "node", "raw", (F.col("w") / F.col("total")).alias("competed"))
         mixed = competed.join(start, ["qid", "node"], "full_outer")
         a = (1 - config.anchor) * F.coalesce("competed", F.lit(0.0)) + config.anchor * F.coalesce("weight", F.lit(0.0))
-        done = scratch(mixed.select("qid", F.lit(step).alias("step"), "node", "raw", "competed", a.alias("a")), "diffuse-step")
+        done = tables.write(mixed.select("qid", F.lit(step).alias("step"), "node", "raw", "competed", a.alias("a")), "diffuse-step")
+        kept.append(done)
+        tables.drop_all_but(*kept)
         trace.append(done)
         state = done.where("a > 0").select("qid", "node", "a")
     out = trace[0]
@@ -72,19 +94,33 @@ def diffuse(arcs: DataFrame, seeds: DataFrame, config: Dynamics = Dynamics()) ->
     return out
 
 
-def discovery_paths(arcs: DataFrame, trace: DataFrame, config: Dynamics = Dynamics()) -> DataFrame:
+def diffusion_flows(arcs: DataFrame, trace: DataFrame, config: Dynamics = Dynamics(), gate: Gate | None = None) -> DataFrame:
+    """(qid, step, source, target, edge_id, arc_direction, amount): every flow of the diffusion, from
+    the states of its trace. All steps are one join, as each state is a row of the trace."""
+    mass = trace.where((F.col("step") < config.steps) & (F.col("a") > 0)).select(F.struct("qid", "step").alias("_at"), "qid", F.col("node").alias("source"), "a")
+    p = F.col("a") * F.col("effective") - config.flow_floor
+    open_arcs = _reached(mass, arcs, gate).withColumn("p", p).where("p > 0")
+    asked = open_arcs.groupBy("_at", "source").agg(F.sum("p").alias("total"))
+    amount = F.least(F.col("a") * config.max_outflow, "total") * F.col("p") / F.col("total")
+    sent = open_arcs.join(asked, ["_at", "source"]).withColumn("amount", amount).where("amount > 0")
+    return sent.select(F.col("_at.qid").alias("qid"), (F.col("_at.step") + 1).alias("step"), "source", "target", "edge_id", "arc_direction", "amount")
+
+
+def emerged(trace: DataFrame, config: Dynamics = Dynamics()) -> DataFrame:
+    """(qid, step, node, a): the nodes whose attention reaches the threshold after a step."""
+    return trace.where((F.col("step") > 0) & (F.col("a") >= config.threshold)).select("qid", "step", "node", "a")
+
+
+def discovery_paths(arcs: DataFrame, trace: DataFrame, config: Dynamics = Dynamics(), gate: Gate | None = None) -> DataFrame:
     """(qid, node, step, path): the edges by which the diffusion first reached a node. The path is
     fixed in that step, through the largest flow (ties: the source, then the edge id, forward
     first), and continues the source's own path."""
+    flows = scratch(diffusion_flows(arcs, trace, config, gate), "paths-flows")
     known = scratch(trace.where("step = 0").select("qid", "node", F.lit(0).alias("step"), F.array().cast("array<string>").alias("path")), "paths-0")
     for step in range(1, config.steps + 1):
-        mass = trace.where((F.col("step") == step - 1) & (F.col("a") > 0)).select("qid", F.col("node").alias("source"), "a")
-        flows = mass.join(arcs, _arc_key(arcs)).withColumn("p", F.col("a") * F.col("effective") - config.flow_floor).where("p > 0")
-        asked = flows.groupBy("qid", "source").agg(F.sum("p").alias("total"))
-        amount = F.least(F.col("a") * config.max_outflow, "total") * F.col("p") / F.col("total")
-        sent = flows.join(asked, ["qid", "source"]).withColumn("v", amount).where("v > 0").withColumnRenamed("target", "node")
+        sent = flows.where(F.col("step") == step).drop("step").withColumnRenamed("target", "node")
         new = sent.join(known.select("qid", "node"), ["qid", "node"], "left_anti")
-        best = new.groupBy("qid", "node").agg(F.min(F.struct((-F.col("v")).alias("v"), "source", "edge_id", "arc_direction")).alias("b"))
+        best = new.groupBy("qid", "node").agg(F.min(F.struct((-F.col("amount")).alias("v"), "source", "edge_id", "arc_direction")).alias("b"))
         start = known.select("qid", F.col("node").alias("source"), "path")
         reached = best.select("qid", "node", F.col("b.source").alias("source"), F.col("b.edge_id").alias("edge_id")).join(start, ["qid", "source"])
         known = scratch(known.unionByName(reached.select("qid", "node", F.lit(step).alias("step"), F.array_append("path", F.col("edge_id")).alias("path"))), f"paths-{step}")
@@ -97,22 +133,25 @@ def conservation(trace: DataFrame) -> DataFrame:
     return sums.withColumn("conserved", (F.abs(F.col("raw_total") - 1) < 1e-10) & (F.abs(F.col("total") - 1) < 1e-10))
 
 
-def best_paths(arcs: DataFrame, seeds: DataFrame, steps: int = 8) -> DataFrame:
-    """(qid, node, score): the largest product of effects over paths of at most `steps` arcs from a
-    seed, seeds themselves included. Each layer keeps the best score of a node (a combining
-    maximum), so a step is one join and one aggregation."""
+def best_paths(arcs: DataFrame, seeds: DataFrame, steps: int = 8, gate: Gate | None = None) -> DataFrame:
+    """(qid, node, score, path): the largest product of effects over paths of at most `steps` arcs from
+    a seed, seeds themselves included, and the edges of the path that has it.
+
+    Each layer keeps the best way to a node (a combining minimum over (-score, source, edge id,
+    direction), so ties go to the first source and edge), and a step is one join and one
+    aggregation. Of layers with equal scores the earliest counts.
+    """
     start = scratch(normalize(seeds.select("qid", "node", F.col("weight").cast("double").alias("weight")), ["qid"]), "best-seeds")
-    layer = start.select("qid", "node", F.col("weight").alias("score"))
-    layers = [layer]
-    for step in range(steps):
-        front = layer.select("qid", F.col("node").alias("source"), "score")
-        reached = front.join(arcs, _arc_key(arcs)).groupBy("qid", F.col("target").alias("node")).agg(F.max(F.col("score") * F.col("effective")).alias("score"))
-        layer = scratch(reached, f"best-{step}")
-        layers.append(layer)
-    out = layers[0]
-    for x in layers[1:]:
-        out = out.unionByName(x)
-    return out.groupBy("qid", "node").agg(F.max("score").alias("score"))
+    layer = start.select("qid", "node", F.col("weight").alias("score"), F.array().cast("array<string>").alias("path"))
+    out = layer.withColumn("layer", F.lit(0))
+    for step in range(1, steps + 1):
+        front = layer.select("qid", F.col("node").alias("source"), F.col("score").alias("_s"), F.col("path").alias("_p"))
+        way = F.struct((-F.col("_s") * F.col("effective")).alias("m"), "source", "edge_id", "arc_direction")
+        reached = _reached(front, arcs, gate).groupBy("qid", F.col("target").alias("node")).agg(F.min_by(F.struct((F.col("_s") * F.col("effective")).alias("score"), F.array_append("_p", F.col("edge_id")).alias("path")), way).alias("b"))
+        layer = scratch(reached.select("qid", "node", "b.score", "b.path").where("score > 0"), f"best-{step}")
+        out = out.unionByName(layer.withColumn("layer", F.lit(step)))
+    best = out.groupBy("qid", "node").agg(F.min_by(F.struct("score", "path"), F.struct((-F.col("score")).alias("m"), "layer")).alias("b"))
+    return best.select("qid", "node", "b.score", "b.path")
 
 
 def traversal_counters(arcs: DataFrame, trace: DataFrame, steps: int) -> DataFrame:

@@ -43,11 +43,22 @@ def _memories(spark, sf) -> DataFrame:
     return e.select("run_id", F.concat(F.lit("m"), "event_id").alias("key"), F.concat(F.lit("p"), F.when(F.col("seq") % 7 == 0, "?").otherwise(F.col("speaker"))).alias("subject"), used.alias("used"), F.when(F.col("seq") % 3 == 0, used).otherwise(F.array().cast("array<string>")).alias("supersedes"), "seq")
 
 
-@query("frm_1_shape", "SELECT event_id, CAST(json_extract(CASE WHEN event_id % 7 = 0 THEN '{\"k\": 1, \"x\": 2}' ELSE props END, '$.k') AS BIGINT) AS k, event_id % 7 <> 0 AS shape_ok FROM events", ())
+@query("frm_1_shape", """SELECT id AS run_id, rule, part FROM f_msg, (VALUES (2, 'keys', ''), (3, 'value', 'entities'), (4, 'keys', 'memories'), (5, 'text', 'memories'), (6, 'items', 'skipped'), (7, 'value', 'associations'), (8, 'text', 'entities'), (9, 'keys', '')) t(k, rule, part) WHERE seq % 11 = k""")
 def frm_1(spark, sf):
-    """Drafts parsed by their schema, with exactly the expected keys."""
-    raw = view(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 7 == 0, '{"k": 1, "x": 2}').otherwise(F.col("props")).alias("body"))
-    return fm.parse_drafts(raw, "k bigint", ["k"]).select("event_id", F.col("draft.k").alias("k"), "shape_ok")
+    """Drafts that break the contract of their shape, values and limits."""
+    m = view(spark, sf, "f_msg")
+    k = F.col("seq") % 11
+    cite = F.array(F.struct(F.col("id").alias("eventId"), F.lit("x").alias("quote")))
+    none = F.array().cast("array<string>")
+    name = F.when(k == 8, "  ").otherwise(F.col("speaker"))
+    entity = F.struct(F.lit("e1").alias("key"), F.when(k == 3, "ROBOT").otherwise("PERSON").alias("type"), name.alias("label"), F.col("speaker").alias("speakerId"), cite.alias("evidence"))
+    text = F.when(k == 5, F.repeat(F.lit("ab"), 6001)).otherwise(F.concat(F.lit("t"), "id"))
+    memory = [F.lit("m1").alias("key"), F.lit("GOAL").alias("kind"), text.alias("text"), F.lit("e1").alias("subject"), cite.alias("evidence"), none.alias("usedMemoryIds"), none.alias("supersedes")]
+    memory = F.when(k == 4, F.to_json(F.struct(*memory[:-1]))).otherwise(F.to_json(F.struct(*memory)))
+    tie = F.struct(F.lit("e1").alias("source"), F.lit("m1").alias("target"), F.when(k == 7, "LIKES").otherwise("CAUSAL").alias("relation"), F.lit(0.5).alias("strength"), cite.alias("evidence"), F.lit("so").alias("rationale"))
+    skip = F.array_repeat(F.struct(F.col("id").alias("eventId"), F.lit("no").alias("reason")), F.when(k == 6, 501).otherwise(1).cast("int"))
+    parts = [F.lit('{"entities":['), F.to_json(entity), F.lit('],"memories":['), memory, F.lit('],"associations":['), F.to_json(tie), F.lit('],"skipped":'), F.to_json(skip), F.when(k == 2, ',"more":1}').otherwise("}")]
+    return fm.draft_violations(m.select(F.col("id").alias("run_id"), F.when(k == 9, "{broken").otherwise(F.concat(*parts)).alias("body")))
 
 
 @query("frm_2_evidence", f"""WITH {_E} SELECT run_id, CASE WHEN seq % 11 = 0 THEN 'unknown_event' ELSE 'quote' END AS rule, concat('m', event_id) AS key FROM ev
@@ -125,13 +136,13 @@ def frm_9(spark, sf):
 
 
 _A = """a AS (SELECT concat('r', l_orderkey % 50) AS run_id, concat(l_orderkey, '-', l_linenumber) AS key, concat('k', l_suppkey % 12) AS source, concat('k', l_partkey % 12) AS target,
-    CASE l_returnflag WHEN 'A' THEN 'CAUSAL' ELSE 'SIMILARITY' END AS relation, CAST(l_quantity AS DOUBLE) / 48 AS strength FROM lineitem WHERE l_orderkey % 9 = 0),
+    CASE l_returnflag WHEN 'A' THEN 'CAUSAL' ELSE 'SIMILARITY' END AS relation, CAST(l_quantity AS DOUBLE) / 48 AS strength FROM lineitem),
     n AS (SELECT DISTINCT run_id, source AS key FROM a WHERE source <> 'k7'), x AS (SELECT a.*, CASE WHEN s.key = 'k3' THEN 'node-k4' ELSE concat('node-', s.key) END AS s, CASE WHEN t.key = 'k3' THEN 'node-k4' ELSE concat('node-', t.key) END AS t
       FROM a LEFT JOIN n s ON s.run_id = a.run_id AND s.key = a.source LEFT JOIN n t ON t.run_id = a.run_id AND t.key = a.target)"""
 
 
 def _associations(spark, sf):
-    li = view(spark, sf, "lineitem").where("l_orderkey % 9 = 0")
+    li = view(spark, sf, "lineitem")
     a = li.select(F.concat(F.lit("r"), (F.col("l_orderkey") % 50).cast("string")).alias("run_id"), F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("key"), F.concat(F.lit("k"), (F.col("l_suppkey") % 12).cast("string")).alias("source"), F.concat(F.lit("k"), (F.col("l_partkey") % 12).cast("string")).alias("target"), F.when(F.col("l_returnflag") == "A", "CAUSAL").otherwise("SIMILARITY").alias("relation"), (F.col("l_quantity").cast("double") / 48).alias("strength"))
     names = a.where("source <> 'k7'").select("run_id", F.col("source").alias("key")).distinct().withColumn("node_id", F.when(F.col("key") == "k3", "node-k4").otherwise(F.concat(F.lit("node-"), "key")))
     return a, names
@@ -273,14 +284,25 @@ def frm_21(spark, sf):
     return _final(spark, sf)[1].select("id", fm.final_stage(F.col("kind")).alias("stage"))
 
 
-@query("frm_22_packets", """WITH p AS (SELECT *, seq % 2 = 0 AS processed, row_number() OVER (PARTITION BY scope, episode, seq % 2 = 0 ORDER BY seq) AS a, row_number() OVER (PARTITION BY scope, episode, seq % 2 = 0 ORDER BY seq DESC) AS z FROM f_msg)
-    SELECT scope, episode, string_agg(id, ',' ORDER BY seq) FILTER (NOT processed AND a <= 2) AS pending_ids, coalesce(string_agg(id, ',' ORDER BY seq) FILTER (processed AND z <= 1), '') AS context_ids,
-    coalesce(string_agg(concat('n', id), ',' ORDER BY seq) FILTER (seq % 3 <> 0), '') AS node_ids FROM p GROUP BY scope, episode HAVING count(*) FILTER (NOT processed) > 0""")
+@query("frm_22_packets", """WITH e AS (SELECT *, seq % 2 = 0 AS processed, min(seq) FILTER (seq % 2 = 1) OVER (PARTITION BY scope, episode) AS first FROM f_msg),
+    p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scope, episode ORDER BY seq) AS r FROM e WHERE NOT processed) WHERE r <= 2),
+    c0 AS (SELECT scope, episode, id, seq, speaker FROM (SELECT *, row_number() OVER (PARTITION BY scope, episode ORDER BY seq DESC) AS r FROM e WHERE processed) WHERE r <= 2
+      UNION SELECT f.scope, f.episode, x.id, x.seq, x.speaker FROM (SELECT DISTINCT scope, episode, min(seq) OVER (PARTITION BY scope, episode) AS s, first FROM e) f JOIN e x ON x.scope = f.scope AND x.seq = f.s - 2 AND x.processed AND x.seq < f.first),
+    c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scope, episode ORDER BY seq DESC) AS r FROM c0) WHERE r <= 2),
+    ho AS (SELECT DISTINCT scope, episode, speaker FROM (SELECT scope, episode, speaker FROM p UNION ALL SELECT scope, episode, speaker FROM c)),
+    nd AS (SELECT scope, episode, concat('n', id) AS id, seq FROM e WHERE seq % 3 <> 0 UNION SELECT h.scope, h.episode, concat('p', h.speaker), 0 FROM ho h WHERE h.speaker LIKE 'user%' OR EXISTS (SELECT 1 FROM e WHERE e.scope = h.scope AND e.episode = h.episode AND e.speaker = h.speaker AND e.turn = 0)),
+    ed AS (SELECT a.scope, a.episode, concat(x.id, '>', x.reply_to) AS id FROM e x JOIN nd a ON a.scope = x.scope AND a.id = concat('n', x.id) JOIN nd b ON b.scope = a.scope AND b.episode = a.episode AND b.id = concat('n', x.reply_to))
+    SELECT scope, episode, string_agg(id, ',' ORDER BY seq) AS pending_ids, coalesce((SELECT string_agg(id, ',' ORDER BY seq) FROM c WHERE c.scope = p.scope AND c.episode = p.episode), '') AS context_ids,
+    coalesce((SELECT string_agg(id, ',' ORDER BY seq, id) FROM nd WHERE nd.scope = p.scope AND nd.episode = p.episode), '') AS node_ids, coalesce((SELECT string_agg(id, ',' ORDER BY id) FROM ed WHERE ed.scope = p.scope AND ed.episode = p.episode), '') AS edge_ids FROM p GROUP BY scope, episode""")
 def frm_22(spark, sf):
-    """Input packets of the episodes with pending events."""
+    """Input packets of the episodes with pending events, with asked context, identities and edges."""
     m = view(spark, sf, "f_msg").withColumn("processed", F.col("seq") % 2 == 0)
-    nodes = m.select("scope", "episode", "seq", F.concat(F.lit("n"), "id").alias("id"), F.when(F.col("seq") % 3 == 0, "SUPERSEDED").otherwise("CURRENT").alias("status"))
-    return fm.formation_packets(m, nodes, 2, 1).select("scope", "episode", *[F.array_join(c, ",").alias(c) for c in ("pending_ids", "context_ids", "node_ids")])
+    own = m.select("scope", "episode", "seq", F.concat(F.lit("n"), "id").alias("id"), F.when(F.col("seq") % 3 == 0, "SUPERSEDED").otherwise("CURRENT").alias("status"), F.lit("TEMPORARY").alias("stage"), F.lit(None).cast("string").alias("speaker_id"))
+    known = F.col("speaker").startswith("user")
+    people = m.where(known | (F.col("turn") == 0)).select("scope", F.when(known, "").otherwise(F.col("episode")).alias("episode"), F.lit(0).cast(own.schema["seq"].dataType).alias("seq"), F.concat(F.lit("p"), "speaker").alias("id"), F.lit("PAST").alias("status"), F.when(known, "LONG_TERM").otherwise("TEMPORARY").alias("stage"), F.col("speaker").alias("speaker_id")).distinct()
+    edges = m.where("reply_to IS NOT NULL").select("scope", F.concat("id", F.lit(">"), "reply_to").alias("id"), F.concat(F.lit("n"), "id").alias("source"), F.concat(F.lit("n"), "reply_to").alias("target"))
+    before = m.groupBy("scope", "episode").agg((F.min("seq") - 2).alias("seq")).join(m.where("processed").select("scope", "seq", "id"), ["scope", "seq"]).select("scope", "episode", "id")
+    return fm.formation_packets(m, own.unionByName(people), edges, before, 2, 2).select("scope", "episode", *[F.array_join(c, ",").alias(c) for c in ("pending_ids", "context_ids", "node_ids", "edge_ids")])
 
 
 def _consolidation(spark, sf):
@@ -346,15 +368,17 @@ def frm_27(spark, sf):
 @query("frm_28_selective", f"""WITH {_E}, chosen AS (SELECT * FROM ev WHERE seq % 9 = 0), sub AS (SELECT DISTINCT concat('p', speaker) AS id FROM chosen),
     edge AS (SELECT DISTINCT concat('p', a.speaker) AS x, concat('p', b.speaker) AS y FROM ev a JOIN ev b ON b.event_id = a.reply_to), both_ AS (SELECT x, y FROM edge UNION SELECT y, x FROM edge)
     SELECT concat('m', event_id) AS id, 'temporary' AS role FROM chosen UNION ALL SELECT id, 'subject' FROM sub
-    UNION ALL SELECT DISTINCT y, 'bridge' FROM both_ WHERE x IN (SELECT id FROM sub) AND y NOT IN (SELECT id FROM sub) UNION ALL SELECT event_id, 'event' FROM chosen""")
+    UNION ALL SELECT DISTINCT y, 'bridge' FROM both_ WHERE x IN (SELECT id FROM sub) AND y NOT IN (SELECT id FROM sub) UNION ALL SELECT event_id, 'event' FROM chosen
+    UNION ALL SELECT DISTINCT id, 'context' FROM (SELECT reply_to AS id FROM chosen WHERE reply_to IS NOT NULL UNION ALL SELECT event_id FROM ev WHERE seq % 50 = 0 AND concat('p', speaker) IN (SELECT id FROM sub UNION ALL SELECT y FROM both_ WHERE x IN (SELECT id FROM sub))) WHERE id IN (SELECT event_id FROM ev) AND id NOT IN (SELECT event_id FROM chosen)""")
 def frm_28(spark, sf):
-    """Chosen temporaries with their subjects, bridges and cited events."""
+    """Chosen temporaries with their subjects, bridges, cited events, and these events' context."""
     e = _events(spark, sf)
     nodes = e.select(F.concat(F.lit("m"), "event_id").alias("id"), F.lit("MEMORY").alias("type"), F.concat(F.lit("p"), "speaker").alias("subject"), "seq")
     people = e.select(F.concat(F.lit("p"), "speaker").alias("id"), F.lit("PERSON").alias("type"), F.lit(None).cast("string").alias("subject"), F.lit(0).cast("bigint").alias("seq")).distinct()
     to = e.select(F.col("event_id").alias("reply_to"), F.concat(F.lit("p"), "speaker").alias("target"))
     edges = e.join(to, "reply_to").select(F.concat(F.lit("p"), "speaker").alias("source"), "target").distinct()
-    return fm.selective_context(nodes.where("seq % 9 = 0"), nodes.unionByName(people), edges, e.select(F.concat(F.lit("m"), "event_id").alias("key"), "event_id"))
+    evidence = e.select(F.concat(F.lit("m"), "event_id").alias("key"), "event_id").unionByName(e.where("seq % 50 = 0").select(F.concat(F.lit("p"), "speaker").alias("key"), "event_id"))
+    return fm.selective_context(nodes.where("seq % 9 = 0"), nodes.unionByName(people), edges, evidence, e.select(F.col("event_id").alias("id"), "reply_to"))
 
 
 @query("frm_29_versions", "SELECT scope, id, CASE WHEN seq % 8 = 0 THEN 'gone' ELSE 'changed' END AS change FROM f_msg WHERE seq % 8 = 0 OR (seq % 10 = 0 AND seq % 8 <> 0)")
@@ -365,11 +389,20 @@ def frm_29(spark, sf):
     return fm.changed_sources(m, now, ["scope", "id"], ["text", "reply_to"])
 
 
-@query("frm_30_close", "SELECT scope, episode, 'CLOSED' AS episode_status FROM f_msg GROUP BY scope, episode HAVING count(*) FILTER (seq % 7 = 0) = 0")
+@query("frm_30_close", """WITH g AS (SELECT scope, episode, min(conv_id) % 4 AS k, count(*) FILTER (seq % 7 = 0) AS busy FROM f_msg GROUP BY scope, episode)
+    SELECT scope, episode, CASE k WHEN 0 THEN 'CLOSED' WHEN 1 THEN 'OPEN' ELSE 'CONSOLIDATED' END AS episode_status, 'closed' AS outcome FROM g WHERE (k < 2 AND busy = 0 AND k = 0) OR k = 2
+    UNION ALL SELECT scope, episode, 'OPEN', 'reopened' FROM g WHERE k IN (1, 3) AND (k = 3 OR busy = 0) UNION ALL SELECT scope, episode, 'OPEN', 'refused' FROM g WHERE k < 2 AND busy > 0""")
 def frm_30(spark, sf):
-    """Episodes without unprocessed events are closed."""
+    """Episodes without unprocessed events are closed or sealed; what is sealed can be reopened."""
     m = view(spark, sf, "f_msg").withColumn("processed", F.col("seq") % 7 != 0)
-    return fm.legacy_close(m.select("scope", "episode").distinct(), m, m)[0].select("scope", "episode", "episode_status")
+    k = F.min("conv_id") % 4
+    status = F.when(k < 2, "OPEN").when(k == 2, "CONSOLIDATED").otherwise("SEALED")
+    episodes = m.groupBy("scope", "episode").agg(F.when(k % 2 == 0, "legacy").otherwise("consolidate").alias("lifecycle"), status.alias("episode_status"))
+    done, refused, _ = fm.close_episodes(episodes, m, m)
+    reopened, closed = fm.reopen_episodes(done)
+    parts = ((closed, "closed"), (reopened, "reopened"), (refused, "refused"))
+    out = [df.select("scope", "episode", "episode_status", F.lit(name).alias("outcome")) for df, name in parts]
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 @query("frm_31_identities", "SELECT scope, speaker AS speaker_id, count(*) AS n FROM f_msg WHERE seq % 3 = 0 GROUP BY ALL HAVING count(*) > 1")

@@ -53,7 +53,7 @@ def diffusion_sql(steps: int) -> str:
     parts = [_ARC_SQL, _SEED_SQL, _NORM_SQL, "s0 AS (SELECT qid, node, CAST(w0 AS DOUBLE) AS a FROM init)"]
     for k in range(1, steps + 1):
         parts += [
-            f"p{k} AS (SELECT qid, s.node AS source, target, a, a * e - {c.flow_floor} AS p FROM s{k - 1} s JOIN arcs ON arcs.source = s.node WHERE a * e - {c.flow_floor} > 0)",
+            f"p{k} AS (SELECT qid, s.node AS source, target, edge_id, arc_direction, a, a * e - {c.flow_floor} AS p FROM s{k - 1} s JOIN arcs ON arcs.source = s.node WHERE a * e - {c.flow_floor} > 0)",
             f"o{k} AS (SELECT qid, source, sum(p) AS total, least(min(a) * {c.max_outflow}, sum(p)) AS outflow FROM p{k} GROUP BY qid, source)",
             f"v{k} AS (SELECT p.qid, target AS node, outflow * p / total AS v FROM p{k} p JOIN o{k} o ON o.qid = p.qid AND o.source = p.source UNION ALL SELECT s.qid, node, a - coalesce(outflow, 0) FROM s{k - 1} s LEFT JOIN o{k} o ON o.qid = s.qid AND o.source = s.node)",
             f"r{k} AS (SELECT qid, node, sum(v) AS raw FROM v{k} GROUP BY qid, node)",
@@ -78,39 +78,46 @@ def grf_1(spark, sf):
     SELECT concat('s', s_suppkey) AS id, array_to_string(list_distinct_ordered, ',') AS evidence FROM (
       SELECT s_suppkey, list_filter(l, lambda x, i: list_position(l, x) = i) AS list_distinct_ordered FROM (
         SELECT s_suppkey, list_concat([concat('n', s_nationkey)], coalesce(m, [])) AS l FROM supplier LEFT JOIN (
-          SELECT l_suppkey, list(concat('n', l_orderkey % 25) ORDER BY l_orderkey, l_linenumber) AS m FROM lineitem WHERE l_orderkey % 40 = 0 GROUP BY 1) x ON l_suppkey = s_suppkey))""")
+          SELECT l_suppkey, list(concat('n', l_orderkey % 25) ORDER BY l_orderkey, l_linenumber) AS m FROM lineitem GROUP BY 1) x ON l_suppkey = s_suppkey))""")
 def grf_2(spark, sf):
     """Evidence of nodes with that of their mentions, in order, once each."""
     nodes = view(spark, sf, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"), F.array(F.concat(F.lit("n"), F.col("s_nationkey").cast("string"))).alias("evidence"))
-    m = view(spark, sf, "lineitem").where("l_orderkey % 40 = 0").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("node_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("run_id"), F.array(F.concat(F.lit("n"), (F.col("l_orderkey") % 25).cast("string"))).alias("evidence"))
+    m = view(spark, sf, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("node_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("run_id"), F.array(F.concat(F.lit("n"), (F.col("l_orderkey") % 25).cast("string"))).alias("evidence"))
     return graph.merge_mentions(nodes, m).select("id", F.array_join("evidence", ",").alias("evidence"))
 
 
-_VISIBLE = "SELECT * FROM f_edge WHERE write_status = 'COMMITTED' AND ((lifecycle = 'legacy' AND episode_status <> 'OPEN') OR episode = 'e2' OR consolidated)"
+_EDGE_VIEWS = ("f_edge", "f_write", "f_state", "f_pub")
+_VISIBLE = """SELECT e.* FROM f_edge e JOIN f_write w ON w.scope = e.scope AND w.write_id = e.write_id AND w.status = 'COMMITTED' LEFT JOIN f_state s ON s.scope = w.scope AND s.episode = w.episode
+    WHERE (s.lifecycle = 'legacy' AND s.episode_status <> 'OPEN') OR w.episode = 'e2' OR w.kind = 'consolidation'
+       OR e.id IN (SELECT edge_id FROM f_pub p JOIN f_write c ON c.scope = p.scope AND c.write_id = p.write_id WHERE c.kind = 'consolidation' AND c.status = 'COMMITTED')"""
 
 
-@query("grf_3_visible_edges", f"SELECT id, source, target, relation FROM ({_VISIBLE})", ("f_edge",))
+def _visible(spark, sf):
+    return graph.visible_edges(*[view(spark, sf, v) for v in _EDGE_VIEWS], episode="e2")
+
+
+@query("grf_3_visible_edges", f"SELECT id, source, target, relation FROM ({_VISIBLE})", _EDGE_VIEWS)
 def grf_3(spark, sf):
     """Edges that a caller of episode e2 sees."""
-    return graph.visible_edges(view(spark, sf, "f_edge"), "e2").select("id", "source", "target", "relation")
+    return _visible(spark, sf).select("id", "source", "target", "relation")
 
 
 _COMBINED = f"""SELECT CASE WHEN relation = 'CAUSAL' THEN source ELSE least(source, target) END AS source,
       CASE WHEN relation = 'CAUSAL' THEN target ELSE greatest(source, target) END AS target, relation,
-      max(strength) AS strength, min(id) AS id, count(DISTINCT id) AS n_records FROM ({_VISIBLE}) GROUP BY 1, 2, 3"""
+      max(strength) AS strength, min(id) AS id, count(DISTINCT id) AS n_records, array_to_string(list_sort(list_distinct(flatten(list(evidence)))), ',') AS evidence FROM ({_VISIBLE}) GROUP BY 1, 2, 3"""
 
 
-@query("grf_4_combined", _COMBINED.replace("max(strength)", "round(max(strength), 6)"), ("f_edge",))
+@query("grf_4_combined", _COMBINED.replace("max(strength)", "round(max(strength), 6)"), _EDGE_VIEWS)
 def grf_4(spark, sf):
-    """Parallel edges combined, after the visibility filter."""
-    out = graph.combine_parallel(graph.visible_edges(view(spark, sf, "f_edge"), "e2"))
-    return out.select("source", "target", "relation", F.round("strength", 6).alias("strength"), "id", F.size("record_ids").cast("bigint").alias("n_records"))
+    """Parallel edges combined, with their evidence, after the visibility filter."""
+    out = graph.combine_parallel(_visible(spark, sf))
+    return out.select("source", "target", "relation", F.round("strength", 6).alias("strength"), "id", F.size("record_ids").cast("bigint").alias("n_records"), F.array_join("evidence", ",").alias("evidence"))
 
 
-@query("grf_5_visible_graph", f"SELECT id, source, target FROM ({_COMBINED}) WHERE CAST(substr(source, 2) AS INT) % 3 <> 0 AND CAST(substr(target, 2) AS INT) % 3 <> 0", ("f_edge",))
+@query("grf_5_visible_graph", f"SELECT id, source, target FROM ({_COMBINED}) WHERE CAST(substr(source, 2) AS INT) % 3 <> 0 AND CAST(substr(target, 2) AS INT) % 3 <> 0", _EDGE_VIEWS)
 def grf_5(spark, sf):
     """Combined edges with both ends among the visible nodes."""
-    e = graph.combine_parallel(graph.visible_edges(view(spark, sf, "f_edge"), "e2"))
+    e = graph.combine_parallel(_visible(spark, sf))
     nodes = e.select(F.col("source").alias("id")).unionByName(e.select(F.col("target").alias("id"))).distinct().where(F.substring("id", 2, 9).cast("int") % 3 != 0)
     return graph.visible_graph(nodes, e).select("id", "source", "target")
 
@@ -136,17 +143,18 @@ def grf_8(spark, sf):
     return graph.normalize(m, ["scope"]).select("scope", "id", F.round("weight", 9).alias("weight"))
 
 
-@query("grf_9_frontier", f"""WITH {_ARC_SQL}, {_SEED_SQL} SELECT qid, count(DISTINCT source) AS n_sources, count(*) AS n_arcs, count(DISTINCT source) > 2 OR count(*) > 4 AS over_limit
-    FROM seeds JOIN arcs ON arcs.source = seeds.node GROUP BY qid""", ("f_graph",))
+@query("grf_9_frontier", f"""WITH {_ARC_SQL}, {_SEED_SQL}, r AS (SELECT qid, source, target, edge_id, arc_direction FROM seeds JOIN arcs ON arcs.source = seeds.node)
+    SELECT r.*, n > 2 OR k > 4000 AS over_limit FROM r JOIN (SELECT qid, count(DISTINCT source) AS n, count(*) AS k FROM r GROUP BY qid) c ON c.qid = r.qid""", ("f_graph",))
 def grf_9(spark, sf):
-    """What the seeds' neighbourhoods cost, against limits."""
-    return graph.frontier_arcs(_arcs(spark, sf), _seeds(spark, sf), 2, 4)
+    """All arcs of the seeds, and whether they are more than a read may take."""
+    arcs, counts = graph.frontier_arcs(_arcs(spark, sf), _seeds(spark, sf), 2, 4000)
+    return arcs.join(counts.select("qid", "over_limit"), "qid").select("qid", "source", "target", "edge_id", "arc_direction", "over_limit")
 
 
-@query("grf_10_fingerprint")
+@query("grf_10_fingerprint", "SELECT write_id, source, count(*) AS n, sha256(concat_ws(':', count(*), " + ", ".join(f"sum(CAST(concat('0x', substr(h, {1 + 8 * i}, 8)) AS BIGINT))" for i in range(4)) + ")) AS fingerprint FROM (SELECT *, sha256(concat_ws(chr(9), id, target, relation)) AS h FROM f_edge) GROUP BY write_id, source", ("f_edge",))
 def grf_10(spark, sf):
-    """A fingerprint of the edges of each episode."""
-    return graph.fingerprint(view(spark, sf, "f_edge"), ["id", "source", "target", "relation"], ["episode"])
+    """A fingerprint of the edges of each write and source."""
+    return graph.fingerprint(view(spark, sf, "f_edge"), ["id", "target", "relation"], ["write_id", "source"])
 
 
 _EPISODES = "ep AS (SELECT scope, episode, CASE WHEN min(conv_id) % 3 = 0 THEN 'OPEN' WHEN min(conv_id) % 3 = 1 THEN 'CLOSED' ELSE 'CONSOLIDATED' END AS episode_status FROM f_msg GROUP BY ALL)"
@@ -179,17 +187,30 @@ def rcl_13(spark, sf):
     return _trace(spark, sf).where("step = 3 AND a >= 1e-6").select("qid", "node", F.round("a", 8).alias("a"))
 
 
-@query("rcl_14_trace", diffusion_sql(3) + " SELECT * FROM (" + " UNION ALL ".join(f"SELECT qid, {k} AS step, count(raw) AS reached, count(*) FILTER (a >= 0.004) AS emerged, round(max(competed), 6) AS top FROM t{k} GROUP BY qid" for k in (1, 2, 3)) + ")", ("f_graph",))
+@query("rcl_14_trace", diffusion_sql(3) + " SELECT t.*, n_flows, sent FROM (" + " UNION ALL ".join(f"SELECT qid, {k} AS step, count(raw) AS reached, string_agg(node, ',' ORDER BY node) FILTER (a >= 0.004) AS emerged, round(max(competed), 6) AS top FROM t{k} GROUP BY qid" for k in (1, 2, 3))
+    + ") t JOIN (" + " UNION ALL ".join(f"SELECT qid, {k} AS step, count(*) AS n_flows, round(sum(d), 6) AS sent FROM (SELECT p.qid, outflow * p / total AS d FROM p{k} p JOIN o{k} o ON o.qid = p.qid AND o.source = p.source) GROUP BY qid" for k in (1, 2, 3)) + ") f ON f.qid = t.qid AND f.step = t.step", ("f_graph",))
 def rcl_14(spark, sf):
-    """Per step what the diffusion reached and what emerged."""
-    t = _trace(spark, sf).where("step > 0")
-    return t.groupBy("qid", "step").agg(F.count("raw").alias("reached"), F.count_if(F.col("a") >= CONFIG.threshold).alias("emerged"), F.round(F.max("competed"), 6).alias("top"))
+    """Per step what the diffusion reached, what emerged, and what flowed."""
+    trace = _trace(spark, sf)
+    t = trace.where("step > 0").groupBy("qid", "step").agg(F.count("raw").alias("reached"), F.round(F.max("competed"), 6).alias("top"))
+    names = dynamics.emerged(trace, CONFIG).groupBy("qid", "step").agg(F.array_join(F.array_sort(F.collect_list("node")), ",").alias("emerged"))
+    flows = dynamics.diffusion_flows(_arcs(spark, sf), trace, CONFIG).groupBy("qid", "step").agg(F.count("*").alias("n_flows"), F.round(F.sum("amount"), 6).alias("sent"))
+    return t.join(names, ["qid", "step"], "left").join(flows, ["qid", "step"])
+
+
+def _paths_sql() -> str:
+    parts = ["k0 AS (SELECT qid, node, 0 AS step, '' AS path FROM s0)"]
+    for k in (1, 2, 3):
+        parts.append(f"f{k} AS (SELECT p.qid, p.source, p.target AS node, edge_id, row_number() OVER (PARTITION BY p.qid, p.target ORDER BY outflow * p / total DESC, p.source, edge_id, arc_direction) AS r FROM p{k} p JOIN o{k} o ON o.qid = p.qid AND o.source = p.source WHERE NOT EXISTS (SELECT 1 FROM k{k - 1} x WHERE x.qid = p.qid AND x.node = p.target))")
+        parts.append(f"k{k} AS (SELECT * FROM k{k - 1} UNION ALL SELECT f.qid, f.node, {k}, concat(x.path, '/', edge_id) FROM f{k} f JOIN k{k - 1} x ON x.qid = f.qid AND x.node = f.source WHERE r = 1)")
+    return diffusion_sql(3) + ", " + ", ".join(parts)
 
 
-@query("rcl_15_paths")
+@query("rcl_15_paths", _paths_sql() + " SELECT qid, node, CAST(step AS INTEGER) AS step, path FROM k3", ("f_graph",))
 def rcl_15(spark, sf):
     """The path by which each node was first reached."""
-    return dynamics.discovery_paths(_arcs(spark, sf), _trace(spark, sf), CONFIG)
+    p = dynamics.discovery_paths(_arcs(spark, sf), _trace(spark, sf), CONFIG)
+    return p.select("qid", "node", "step", F.array_join(F.transform("path", lambda e: F.concat(F.lit("/"), e)), "").alias("path"))
 
 
 @query("rcl_16_conservation", diffusion_sql(3) + " SELECT * FROM (" + " UNION ALL ".join(f"SELECT qid, {k} AS step, abs(sum(raw) - 1) < 1e-10 AND abs(sum(a) - 1) < 1e-10 AS conserved FROM t{k} GROUP BY qid" for k in (1, 2, 3)) + ")", ("f_graph",))
@@ -198,13 +219,15 @@ def rcl_16(spark, sf):
     return dynamics.conservation(_trace(spark, sf)).select("qid", "step", "conserved")
 
 
-_BEST = "WITH " + ", ".join([_ARC_SQL, _SEED_SQL, _NORM_SQL, "b0 AS (SELECT qid, node, CAST(w0 AS DOUBLE) AS score FROM init)"] + [f"b{k} AS (SELECT qid, target AS node, max(score * e) AS score FROM b{k - 1} b JOIN arcs ON arcs.source = b.node GROUP BY 1, 2)" for k in (1, 2, 3)])
+_BEST = "WITH " + ", ".join([_ARC_SQL, _SEED_SQL, _NORM_SQL, "b0 AS (SELECT qid, node, CAST(w0 AS DOUBLE) AS score, '' AS path FROM init)"] + [
+    f"b{k} AS (SELECT qid, node, score, path FROM (SELECT qid, target AS node, score * e AS score, concat(path, '/', edge_id) AS path, row_number() OVER (PARTITION BY qid, target ORDER BY score * e DESC, b.node, edge_id, arc_direction) AS r FROM b{k - 1} b JOIN arcs ON arcs.source = b.node) WHERE r = 1)" for k in (1, 2, 3)])
 
 
-@query("rcl_17_best_paths", _BEST + " SELECT qid, node, round(max(score), 9) AS score FROM (" + " UNION ALL ".join(f"SELECT * FROM b{k}" for k in range(4)) + ") GROUP BY qid, node", ("f_graph",))
+@query("rcl_17_best_paths", _BEST + " SELECT qid, node, round(score, 9) AS score, path FROM (SELECT *, row_number() OVER (PARTITION BY qid, node ORDER BY score DESC, layer) AS r FROM (" + " UNION ALL ".join(f"SELECT *, {k} AS layer FROM b{k}" for k in range(4)) + ")) WHERE r = 1", ("f_graph",))
 def rcl_17(spark, sf):
-    """Best-path scores within three steps."""
-    return dynamics.best_paths(_arcs(spark, sf), _seeds(spark, sf), 3).select("qid", "node", F.round("score", 9).alias("score"))
+    """Best-path scores within three steps, with their paths."""
+    best = dynamics.best_paths(_arcs(spark, sf), _seeds(spark, sf), 3)
+    return best.select("qid", "node", F.round("score", 9).alias("score"), F.array_join(F.transform("path", lambda e: F.concat(F.lit("/"), e)), "").alias("path"))
 
 
 @query("rcl_18_counters", diffusion_sql(3) + """, deg AS (SELECT source, count(*) AS d FROM arcs GROUP BY source), act AS (SELECT * FROM s0 UNION ALL SELECT * FROM s1 UNION ALL SELECT * FROM s2)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 from convmem.fixtures import sql_with, view
 from convmem.operators import fifo, intake
+from convmem.plans.scratch import shared_dir
 from convmem.sources import tables
 
 QUERIES: dict = {}
@@ -134,6 +137,19 @@ def ing_11(spark, sf):
     return intake.size_guard(view(spark, sf, "f_msg"), ["scope", "episode"], 4)
 
 
+@query("src_1_messages", "SELECT scope, id, speaker, text, reply_to FROM f_msg", ("f_msg",))
+def src_1(spark, sf):
+    """Messages written as lines and as arrays into one folder, and read back whole."""
+    m = view(spark, sf, "f_msg")
+    event = F.struct("id", "speaker", F.col("t").cast("string").alias("time"), "text", F.col("reply_to").alias("replyTo"))
+    wrapped = m.select(F.struct("scope", event.alias("event")).alias("m"), "seq")
+    path = f"{shared_dir(spark)}/convmem-messages-{uuid.uuid4().hex}"
+    wrapped.where("m.scope < 'g3'").select(F.to_json("m").alias("value")).write.mode("append").text(path)
+    arrays = wrapped.where("m.scope >= 'g3'").groupBy("m.scope", F.floor(F.col("seq") / 500)).agg(F.collect_list("m").alias("l"))
+    arrays.select(F.to_json("l").alias("value")).write.mode("append").option("maxRecordsPerFile", 1).text(path)
+    return tables.read_messages(spark, path).select("scope", "id", "speaker", "text", "reply_to")
+
+
 @query("src_2_scope_scan", "SELECT id, seq, speaker, t FROM f_msg WHERE scope = 'g3'", ("f_msg",))
 def src_2(spark, sf):
     """All messages of one scope."""

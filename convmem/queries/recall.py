@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from convmem.fixtures import sql_with, view
 from convmem.functions import hooks
-from convmem.operators import lexical, recall, vectors
+from convmem.operators import graph, lexical, recall, vectors
+from convmem.plans import dynamics, recall as plan
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -25,25 +26,24 @@ def query(name: str, sql: str | None = None, views: tuple[str, ...] = ("f_node",
 _DOT = "list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE)))"
 _LEN = "sqrt(list_sum(list_transform({0}.embedding, lambda z: CAST(z AS DOUBLE) * CAST(z AS DOUBLE))))"
 _COS = f"{_DOT} / ({_LEN.format('a')} * {_LEN.format('b')})"
-#: Five queries (seq < 5) against all other nodes; cue c of query q is the vector with seq 2 * q + c.
-_SIMS = f"""SELECT 'q' || (a.seq // 2) AS qid, CAST(a.seq % 2 AS INTEGER) AS cue, b.id, {_COS} AS score FROM f_node a JOIN f_node b ON b.seq >= 10 WHERE a.seq < 6"""
-_CUES = "cues(qid, cue, weight) AS (SELECT 'q' || i, c, CASE WHEN c = 0 THEN 0.7 ELSE 0.3 END FROM range(3) t(i), range(2) u(c))"
+#: The queries are the rows whose number is divisible by 100, against all rows; cue 0 of a query is its
+#: own vector, cue 1 the next row's.
+_SIMS = f"""SELECT concat('q', a.seq - a.seq % 100) AS qid, CAST(a.seq % 100 AS INTEGER) AS cue, b.id, {_COS} AS score FROM f_node a, f_node b WHERE a.seq % 100 < 2"""
+_CUES = "cues(qid, cue, weight) AS (SELECT concat('q', seq - seq % 100), CAST(seq % 100 AS INTEGER), CASE WHEN seq % 100 = 0 THEN 0.7 ELSE 0.3 END FROM f_node WHERE seq % 100 < 2)"
 
 
 def _nodes(spark, sf) -> DataFrame:
     return view(spark, sf, "f_node")
 
 
-def _similarities(spark, sf, k: int = 1 << 20) -> DataFrame:
-    n = _nodes(spark, sf)
-    q = n.where("seq < 6").select(F.concat_ws("|", (F.floor(F.col("seq") / 2)).cast("string"), (F.col("seq") % 2).cast("string")).alias("qid"), F.col("embedding").alias("vector"))
-    found = vectors.cosine_topk(q, n.where("seq >= 10").select("id", F.col("embedding").alias("vector")), k)
-    return found.select(F.concat(F.lit("q"), F.split_part("qid", F.lit("|"), F.lit(1))).alias("qid"), F.split_part("qid", F.lit("|"), F.lit(2)).cast("int").alias("cue"), "id", "score", "rank")
+def _cues(spark, sf) -> DataFrame:
+    q = _nodes(spark, sf).where("seq % 100 < 2")
+    first = F.col("seq") % 100 == 0
+    return q.select(F.concat(F.lit("q"), (F.col("seq") - F.col("seq") % 100).cast("string")).alias("qid"), (F.col("seq") % 100).cast("int").alias("cue"), F.when(first, 0.7).otherwise(0.3).alias("weight"), F.col("embedding").alias("vector"), "id")
 
 
-def _cues(spark, sf) -> DataFrame:
-    q = _nodes(spark, sf).where("seq < 6")
-    return q.select(F.concat(F.lit("q"), F.floor(F.col("seq") / 2).cast("string")).alias("qid"), (F.col("seq") % 2).cast("int").alias("cue"), F.when(F.col("seq") % 2 == 0, 0.7).otherwise(0.3).alias("weight"))
+def _similarities(spark, sf, k: int | None = None) -> DataFrame:
+    return plan.similarities(_cues(spark, sf), _nodes(spark, sf).select("id", F.col("embedding").alias("vector")), k)
 
 
 @query("vec_1_sync", "SELECT scope, count(*) AS n FROM f_node WHERE seq > CASE scope WHEN 's0' THEN 100 ELSE -1 END GROUP BY scope")
@@ -61,33 +61,39 @@ def vec_2(spark, sf):
     return u.select("id", F.round(F.element_at("u", 1), 6).alias("x1"), F.round(F.element_at("u", 64), 6).alias("x64"))
 
 
-@query("vec_3_status", "SELECT scope, max(seq) AS max_seq, count(*) AS n_source, max(seq) FILTER (seq % 10 <> 9) AS head, count(*) FILTER (seq % 10 <> 9) AS n_vectors, false AS complete FROM f_node GROUP BY scope")
+@query("vec_3_status", "SELECT scope, max(seq) AS max_seq, count(*) AS n_source, max(seq) FILTER (seq % 10 <> 9) AS head, count(*) FILTER (seq % 10 <> 9) AS n_vectors, bool_and(seq % 10 <> 9 OR scope = 's0') AS complete FROM f_node WHERE scope <> 's0' OR seq % 10 <> 9 GROUP BY scope")
 def vec_3(spark, sf):
     """How far the index of each scope is."""
-    n = _nodes(spark, sf)
+    n = _nodes(spark, sf).where("scope <> 's0' OR seq % 10 <> 9")
     return vectors.index_status(n, n.where("seq % 10 <> 9"), ["scope"])
 
 
 @query("vec_4_topk", f"""SELECT qid, id, rank, round(score, 6) AS score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, id) AS INTEGER) AS rank FROM (
-    SELECT a.id AS qid, b.id, {_COS} AS score FROM f_node a JOIN f_node b ON b.seq >= 5 AND b.type = 'MEMORY' AND b.status = 'CURRENT' WHERE a.seq < 5)) WHERE rank <= 10""")
+    SELECT a.id AS qid, b.id, {_COS} AS score FROM f_node a JOIN f_node b ON b.type = 'MEMORY' AND b.status = 'CURRENT' WHERE a.seq % 100 = 0)) WHERE rank <= 10""")
 def vec_4(spark, sf):
-    """The ten most similar current memories of five queries."""
+    """The ten most similar current memories of each query."""
     n = _nodes(spark, sf)
-    q = n.where("seq < 5").select(F.col("id").alias("qid"), F.col("embedding").alias("vector"))
-    found = vectors.cosine_topk(q, n.where("seq >= 5 AND type = 'MEMORY' AND status = 'CURRENT'").select("id", F.col("embedding").alias("vector")), 10)
+    q = n.where("seq % 100 = 0").select(F.col("id").alias("qid"), F.col("embedding").alias("vector"))
+    found = vectors.cosine_topk(q, n.where("type = 'MEMORY' AND status = 'CURRENT'").select("id", F.col("embedding").alias("vector")), 10)
     return found.select("qid", "id", "rank", F.round("score", 6).alias("score"))
 
 
-@query("vec_5_multi_cue", f"SELECT qid, cue, id, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid, cue ORDER BY round(score, 12) DESC, id) AS INTEGER) AS rank FROM ({_SIMS})) WHERE rank <= 20")
+@query("vec_5_multi_cue", f"SELECT qid, cue, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid, cue ORDER BY round(score, 12) DESC, id) AS rank FROM ({_SIMS})) WHERE rank <= 20")
 def vec_5(spark, sf):
     """Rankings of several cues a query."""
-    return _similarities(spark, sf, 20).select("qid", "cue", "id", "rank")
+    return _similarities(spark, sf, 20).select("qid", "cue", "id", F.round("score", 6).alias("score"))
 
 
-@query("vec_6_integrity", "SELECT scope, count(*) AS n, CAST(1 AS BIGINT) AS dimensions, CAST(0 AS BIGINT) AS not_finite, true AS sound FROM f_node GROUP BY scope")
+@query("vec_6_integrity", """SELECT scope, count(*) AS n, count(DISTINCT len(v)) AS dimensions, count(*) FILTER (list_bool_or(list_transform(v, lambda x: isnan(x)))) AS not_finite, count(*) FILTER (list_bool_and(list_transform(v, lambda x: x = 0))) AS zero,
+    scope = 's0/2' OR scope = 's1/2' AS sound FROM (SELECT concat(scope, '/', seq % 3) AS scope, CASE WHEN seq % 3 = 0 AND seq % 5 = 0 THEN list_transform(embedding, lambda x: CAST('NaN' AS DOUBLE)) WHEN seq % 3 = 0 AND seq % 7 = 0 THEN list_transform(embedding, lambda x: CAST(0 AS DOUBLE))
+      WHEN seq % 3 = 1 AND seq % 4 = 1 THEN embedding[1:63] ELSE embedding END AS v FROM f_node) GROUP BY scope""")
 def vec_6(spark, sf):
-    """Whether stored vectors are sound."""
-    return vectors.integrity(_nodes(spark, sf), ["scope"], "embedding").select("scope", "n", "dimensions", "not_finite", "sound")
+    """Whether stored vectors are sound, where some are broken, null in direction or short."""
+    n = _nodes(spark, sf).withColumn("scope", F.concat("scope", F.lit("/"), (F.col("seq") % 3).cast("string")))
+    v = F.col("embedding").cast("array<double>")
+    spoiled = F.when((F.col("seq") % 3 == 0) & (F.col("seq") % 5 == 0), F.transform(v, lambda x: F.lit(float("nan")))).when((F.col("seq") % 3 == 0) & (F.col("seq") % 7 == 0), F.transform(v, lambda x: F.lit(0.0)))
+    spoiled = spoiled.when((F.col("seq") % 3 == 1) & (F.col("seq") % 4 == 1), F.slice(v, 1, 63)).otherwise(v)
+    return vectors.integrity(n.withColumn("embedding", spoiled), ["scope"], "embedding").select("scope", "n", "dimensions", "not_finite", "zero", "sound")
 
 
 @query("vec_7_cache", "SELECT scope, count(*) AS n FROM f_msg WHERE seq % 3 <> 0 GROUP BY scope", ("f_msg",))
@@ -109,20 +115,20 @@ def lex_1(spark, sf):
     return lexical.token_counts(view(spark, sf, "benchmark"), "item_id")
 
 
-_LEXICAL = f"""WITH texts AS (SELECT concat('q', item_id) AS k, text FROM benchmark WHERE item_id < 10 UNION ALL SELECT concat('d', doc_id), text FROM documents), {_TOK},
+_LEXICAL = f"""WITH texts AS (SELECT concat('q', item_id) AS k, text FROM benchmark UNION ALL SELECT concat('d', doc_id), text FROM documents), {_TOK},
     hit AS (SELECT q.k AS qid, d.k AS id, sum(q.n * d.n) AS dot FROM cnt q JOIN cnt d ON d.token = q.token WHERE q.k LIKE 'q%' AND d.k LIKE 'd%' GROUP BY ALL),
     lex AS (SELECT qid, id, dot / (a.v * b.v) AS score FROM hit JOIN nrm a ON a.k = qid JOIN nrm b ON b.k = id WHERE dot / (a.v * b.v) >= 0.05)"""
 
 
 def _lexical(spark, sf, k=None):
-    q = view(spark, sf, "benchmark").where("item_id < 10").select(F.concat(F.lit("q"), F.col("item_id").cast("string")).alias("qid"), "text")
+    q = view(spark, sf, "benchmark").select(F.concat(F.lit("q"), F.col("item_id").cast("string")).alias("qid"), "text")
     d = view(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "text")
     return lexical.search(q, d, "qid", "id", 0.05, k)
 
 
 @query("lex_2_search", _LEXICAL + " SELECT qid, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, id) AS r FROM lex) WHERE r <= 20", ())
 def lex_2(spark, sf):
-    """The twenty documents lexically nearest to ten texts."""
+    """The twenty documents lexically nearest to each benchmark text."""
     return _lexical(spark, sf, 20).select("qid", "id", F.round("score", 6).alias("score"))
 
 
@@ -177,7 +183,7 @@ def rcl_4(spark, sf):
 
 
 @query("rcl_5_evidence_views", """WITH m AS (SELECT concat('m', id) AS id, speaker AS subject, substr(text, 1, 30) AS label, id AS ev, speaker, reply_to FROM f_msg),
-    al AS (SELECT subject, string_agg(line, chr(10) ORDER BY seq, label) AS h FROM (SELECT DISTINCT speaker AS subject, conv_id % 2 AS seq, concat('aka', conv_id % 2) AS label, concat('别名关联线索（不自动认定身份）：', 'aka', conv_id % 2, '；原话：', 'x') AS line FROM f_msg WHERE conv_id < 20) GROUP BY subject)
+    al AS (SELECT subject, string_agg(line, chr(10) ORDER BY seq, label) AS h FROM (SELECT DISTINCT speaker AS subject, conv_id % 2 AS seq, concat('aka', conv_id % 2) AS label, concat('别名关联线索（不自动认定身份）：', 'aka', conv_id % 2, '；原话：', 'x') AS line FROM f_msg) GROUP BY subject)
     SELECT m.id, left(concat_ws(chr(10), m.label, al.h, concat(m.speaker, ' 原话：', substr(m.label, 1, 5)), CASE WHEN t.id IS NOT NULL THEN concat(t.speaker, ' 原话：', 're') END), 512) AS label FROM m LEFT JOIN al ON al.subject = m.subject LEFT JOIN f_msg t ON t.id = m.reply_to""", ("f_msg",))
 def rcl_5(spark, sf):
     """Evidence views of memories: label, alias hints, citations."""
@@ -185,7 +191,7 @@ def rcl_5(spark, sf):
     memories = m.select(F.concat(F.lit("m"), "id").alias("id"), F.col("speaker").alias("subject"), F.substring("text", 1, 30).alias("label"))
     own = m.select(F.concat(F.lit("m"), "id").alias("node_id"), F.lit(1).alias("pos"), F.col("id").alias("event_id"), F.substring("text", 1, 5).alias("quote"))
     to = m.where("reply_to IS NOT NULL").select(F.concat(F.lit("m"), "id").alias("node_id"), F.lit(2).alias("pos"), F.col("reply_to").alias("event_id"), F.lit("re").alias("quote"))
-    aliases = m.where("conv_id < 20").select(F.col("speaker").alias("subject"), (F.col("conv_id") % 2).alias("seq"), F.concat(F.lit("aka"), (F.col("conv_id") % 2).cast("string")).alias("label"), F.lit("x").alias("quotes"))
+    aliases = m.select(F.col("speaker").alias("subject"), (F.col("conv_id") % 2).alias("seq"), F.concat(F.lit("aka"), (F.col("conv_id") % 2).cast("string")).alias("label"), F.lit("x").alias("quotes"))
     return recall.evidence_views(memories, own.unionByName(to), m, aliases).select("id", "label")
 
 
@@ -193,16 +199,16 @@ def rcl_5(spark, sf):
     SELECT qid, id, round(sum(v), 8) AS score FROM r GROUP BY qid, id""")
 def rcl_6(spark, sf):
     """Weighted reciprocal-rank fusion over cues."""
-    s = _similarities(spark, sf).withColumn("score", F.round("score", 12)).join(_cues(spark, sf), ["qid", "cue"])
+    s = _similarities(spark, sf).join(_cues(spark, sf).select("qid", "cue", "weight"), ["qid", "cue"])
     return recall.fuse(s).select("qid", "id", F.round("score", 8).alias("score"))
 
 
-_NAMED = "named AS (SELECT DISTINCT c.scope AS qid, c.seq AS cue, s.speaker FROM (SELECT scope, seq, concat('ask ', speaker, CASE WHEN seq % 3 = 0 THEN '0' ELSE '?' END) AS text FROM f_msg WHERE seq <= 6) c JOIN (SELECT DISTINCT speaker FROM f_msg) s ON regexp_matches(concat(' ', c.text, ' '), concat('[^A-Za-z0-9_]', s.speaker, '[^A-Za-z0-9_]')))"
+_NAMED = "named AS (SELECT DISTINCT c.scope AS qid, c.seq AS cue, s.speaker FROM (SELECT scope, seq, concat('ask ', speaker, CASE WHEN seq % 3 = 0 THEN '0' ELSE '?' END) AS text FROM f_msg) c JOIN (SELECT DISTINCT speaker FROM f_msg) s ON regexp_matches(concat(' ', c.text, ' '), concat('[^A-Za-z0-9_]', s.speaker, '[^A-Za-z0-9_]')))"
 
 
 def _named(spark, sf):
     m = view(spark, sf, "f_msg")
-    cues = m.where("seq <= 6").select(F.col("scope").alias("qid"), F.col("seq").alias("cue"), F.concat(F.lit("ask "), "speaker", F.when(F.col("seq") % 3 == 0, "0").otherwise("?")).alias("text"))
+    cues = m.select(F.col("scope").alias("qid"), F.col("seq").alias("cue"), F.concat(F.lit("ask "), "speaker", F.when(F.col("seq") % 3 == 0, "0").otherwise("?")).alias("text"))
     return recall.named_speakers(cues, m)
 
 
@@ -244,17 +250,15 @@ def rcl_11(spark, sf):
     return recall.gate_affinity(_similarities(spark, sf), _cues(spark, sf), "maxCue").select("qid", "id", F.round("affinity", 6).alias("affinity"))
 
 
-_PAIRS = "arcs AS (SELECT concat('v', vec_id) AS source, concat('v', vec_id + 7) AS target, 0.5 AS effective FROM embeddings WHERE vec_id >= 10 AND vec_id + 7 IN (SELECT vec_id FROM embeddings))"
-
-
-@query("rcl_12_gate", f"""WITH s AS ({_SIMS}), aff AS (SELECT qid, id, score AS affinity FROM s WHERE cue = 0), {_PAIRS}, g AS (SELECT a.qid, arcs.*, greatest(0, coalesce(b.affinity, 0)) AS rt, a.affinity AS rs, n.type FROM arcs JOIN aff a ON a.id = arcs.source LEFT JOIN aff b ON b.id = arcs.target AND b.qid = a.qid JOIN f_node n ON n.id = arcs.target)
-    SELECT qid, source, target, round(0.5 * greatest(0.02, pow(least(1, 0.25 + CASE WHEN type = 'MEMORY' THEN rt ELSE greatest(rt, rs) END), 2)), 6) AS effective FROM g""")
+@query("rcl_12_gate", f"""WITH s AS ({_SIMS}), aff AS (SELECT qid, id, score AS affinity FROM s WHERE cue = 0 AND id NOT LIKE '%7'), arcs AS (SELECT DISTINCT a.qid, l.source, l.target, l.strength FROM f_link l, (SELECT DISTINCT qid FROM s) a),
+    g AS (SELECT arcs.*, greatest(0, coalesce(t.affinity, 0)) AS rt, coalesce(f.affinity, 0) AS rs, n.type FROM arcs LEFT JOIN aff f ON f.id = arcs.source AND f.qid = arcs.qid LEFT JOIN aff t ON t.id = arcs.target AND t.qid = arcs.qid LEFT JOIN f_node n ON n.id = arcs.target AND n.id NOT LIKE '%3')
+    SELECT qid, source, target, round(strength * greatest(0.02, pow(least(1, 0.25 + CASE WHEN type = 'MEMORY' THEN rt ELSE greatest(rt, rs) END), 2)), 6) AS effective FROM g""", ("f_node", "f_link"))
 def rcl_12(spark, sf):
-    """Arcs gated by the affinity of their ends."""
-    n = _nodes(spark, sf)
-    there = n.select(F.col("seq").alias("_s"))
-    arcs = n.where("seq >= 10").select(F.col("id").alias("source"), (F.col("seq") + 7).alias("_s")).join(there, "_s").select("source", F.concat(F.lit("v"), F.col("_s").cast("string")).alias("target"), F.lit(0.5).alias("effective"))
-    out = recall.gated_arcs(arcs, recall.gate_affinity(_similarities(spark, sf), _cues(spark, sf)), n, 2.0)
+    """Arcs gated by the affinity of their ends, where some ends have none and some are unknown."""
+    ids = [r["qid"] for r in _cues(spark, sf).select("qid").distinct().collect()]  # the stated queries
+    arcs = view(spark, sf, "f_link").select(F.explode(F.array(*[F.lit(q) for q in ids])).alias("qid"), "source", "target", F.col("strength").alias("effective")).distinct()
+    affinity = recall.gate_affinity(_similarities(spark, sf), _cues(spark, sf)).where("id NOT LIKE '%7'")
+    out = recall.gated_arcs(arcs, affinity, _nodes(spark, sf).where("id NOT LIKE '%3'"), 2.0)
     return out.select("qid", "source", "target", F.round("effective", 6).alias("effective"))
 
 
@@ -309,11 +313,22 @@ def rcl_22(spark, sf):
     return recall.greedy_budget(_items(spark, sf), 5, 300).select("arm", "qid", F.array_join("ids", ",").alias("ids"), "used")
 
 
-@query("rcl_23_mmr")
+def _mmr_sql(steps: int) -> str:
+    """The selection, unrolled: m{k} has the items with what the k chosen before leave of their value."""
+    sim = "list_sum(list_transform(list_zip(x.u, y.u), lambda z: z[1] * z[2]))"
+    parts = [_ARMS, f"it AS (SELECT a.arm, a.qid, a.id, a.score, 40 + CAST(substr(a.id, 2) AS INT) % 50 AS size, list_transform(f_node.embedding, lambda z: CAST(z AS DOUBLE) / {_LEN.format('f_node')}) AS u FROM arms a JOIN f_node ON f_node.id = a.id)",
+             "m0 AS (SELECT *, CAST(0 AS DOUBLE) AS red, 0 AS used, NULL::INT AS position, NULL::DOUBLE AS value FROM it)"]
+    for k in range(1, steps + 1):
+        parts.append(f"c{k} AS (SELECT * FROM (SELECT arm, qid, id, size, u, used, 0.65 / (1 + exp(-greatest(-30, least(30, score)))) - 0.35 * red AS v, row_number() OVER (PARTITION BY arm, qid ORDER BY round(0.65 / (1 + exp(-greatest(-30, least(30, score)))) - 0.35 * red, 12) DESC, id) AS r FROM m{k - 1} WHERE position IS NULL AND used + size <= 300) WHERE r = 1)")
+        parts.append(f"m{k} AS (SELECT x.arm, x.qid, x.id, x.score, x.size, x.u, CASE WHEN y.id IS NULL THEN x.red ELSE greatest(x.red, greatest(0, least(1, {sim}))) END AS red, x.used + coalesce(y.size, 0) AS used, CASE WHEN x.id = y.id THEN {k} ELSE x.position END AS position, CASE WHEN x.id = y.id THEN y.v ELSE x.value END AS value FROM m{k - 1} x LEFT JOIN c{k} y ON y.arm = x.arm AND y.qid = x.qid)")
+    return "WITH " + ", ".join(parts) + f" SELECT arm, qid, id, position, round(value, 6) AS value FROM m{steps} WHERE position IS NOT NULL"
+
+
+@query("rcl_23_mmr", _mmr_sql(4))
 def rcl_23(spark, sf):
     """Diverse selection within a budget."""
     items = _items(spark, sf).join(_nodes(spark, sf).select("id", F.col("embedding").alias("vector")), "id")
-    return recall.mmr_select(items, 5, 300, 0.35)
+    return recall.mmr_select(items, 4, 300, 0.35).select("arm", "qid", "id", "position", F.round("value", 6).alias("value"))
 
 
 @query("rcl_24_report", _WALK + " SELECT a.arm, a.qid, count(*) AS candidates, count(*) FILTER (round(score, 9) >= 0.1) AS accepted, min(n) AS selected, min(used) AS characters FROM arms a JOIN z ON z.arm = a.arm AND z.qid = a.qid GROUP BY a.arm, a.qid")
@@ -324,11 +339,11 @@ def rcl_24(spark, sf):
     return recall.arm_report(c, recall.greedy_budget(items, 5, 300))
 
 
-@query("rcl_25_truncation", f"WITH {_ARMS} SELECT arm, qid, id, CAST(substr(id, 2) AS INT) % 3 = 0 OR CAST(substr(id, 2) AS INT) % 7 = 0 OR qid = 'q1' AS truncated FROM arms")
+@query("rcl_25_truncation", f"WITH {_ARMS} SELECT arm, qid, id, CAST(substr(id, 2) AS INT) % 3 = 0 OR CAST(substr(id, 2) AS INT) % 7 = 0 OR qid = 'q100' AS truncated FROM arms")
 def rcl_25(spark, sf):
     """Results with any clipped input."""
     a, n = _arms(spark, sf), _nodes(spark, sf)
-    queries = a.select("qid").distinct().withColumn("truncated", F.col("qid") == "q1")
+    queries = a.select("qid").distinct().withColumn("truncated", F.col("qid") == "q100")
     checks = a.select("qid", "id").distinct().withColumn("truncated", F.lit(False))
     out = recall.truncation(a, n.select("id", (F.col("seq") % 3 == 0).alias("clipped")), n.select("id", (F.col("seq") % 7 == 0).alias("truncated")), queries, checks)
     return out.select("arm", "qid", "id", "truncated")
@@ -348,3 +363,82 @@ def udf_2(spark, sf):
     pairs = b.select("item_id", F.col("text").alias("query")).join(b.select((F.col("item_id") - 1).alias("item_id"), "text"), "item_id")
     scored = hooks.rerank(pairs.select("query", "text"))
     return pairs.join(scored, ["query", "text"]).select("item_id", F.round("score", 6).alias("score"))
+
+
+STATE_DYNAMICS = dynamics.Dynamics(flow_floor=0.0001, max_outflow=0.8, gamma=1.05, anchor=0.04, threshold=0.002, steps=2)
+_BUDGET = plan.Budget(checks=8, limit=3, characters=420, seed_minimum=0.05)
+
+
+def _state_sql() -> str:
+    """The whole read of recall_state: similarities, seeds, gated steps, cut, lexical scores and budget."""
+    c = STATE_DYNAMICS
+    parts = [
+        f"sims AS (SELECT qid, cue, id, round(score, 12) AS score FROM ({_SIMS}))",
+        "cue AS (SELECT concat('q', n.seq - n.seq % 100) AS qid, CAST(n.seq % 100 AS INTEGER) AS cue, l.label AS text FROM f_node n JOIN f_label l ON l.id = n.id WHERE n.seq % 100 < 2)",
+        "spk AS (SELECT c.qid, c.cue, s.speaker FROM cue c, (SELECT DISTINCT speaker FROM f_label) s WHERE regexp_matches(concat(' ', c.text, ' '), concat('[^A-Za-z0-9_]', s.speaker, '[^A-Za-z0-9_]')))",
+        "heard AS (SELECT s.* FROM sims s WHERE NOT EXISTS (SELECT 1 FROM spk WHERE spk.qid = s.qid AND spk.cue = s.cue) OR EXISTS (SELECT 1 FROM spk JOIN f_label l ON l.speaker = spk.speaker WHERE spk.qid = s.qid AND spk.cue = s.cue AND l.id = s.id))",
+        "gr AS (SELECT h.*, row_number() OVER (PARTITION BY qid, cue ORDER BY score DESC, h.id) AS r FROM heard h JOIN f_node n ON n.id = h.id WHERE n.status = 'CURRENT')",
+        f"sq AS (SELECT qid, cue, id, pow(greatest(1e-6, score - {_BUDGET.seed_minimum}), 2) AS s FROM gr WHERE r <= 3 AND score >= {_BUDGET.seed_minimum})",
+        "sh AS (SELECT qid, id, sum(s / t * CASE WHEN cue = 0 THEN 0.1 ELSE 0.9 END) AS w FROM (SELECT *, sum(s) OVER (PARTITION BY qid, cue) AS t FROM sq) GROUP BY qid, id)",
+        "init AS (SELECT qid, id AS node, w / sum(w) OVER (PARTITION BY qid) AS w0 FROM sh)",
+        "aff AS (SELECT qid, id, score AS affinity FROM sims WHERE cue = 0)",
+        """base AS (SELECT source, target, id AS edge_id, 'forward' AS arc_direction, strength * CASE relation WHEN 'SIMILARITY' THEN 0.4 ELSE 0.3 END AS e FROM f_link
+          UNION ALL SELECT target, source, id, 'reverse', strength * CASE relation WHEN 'SIMILARITY' THEN 0.4 ELSE 0.3 END FROM f_link)""",
+        """arcs AS (SELECT q.qid, b.source, b.target, b.edge_id, b.arc_direction, e * greatest(0.02, pow(least(1, 0.25 + CASE WHEN n.type = 'MEMORY' THEN greatest(0, coalesce(t.affinity, 0)) ELSE greatest(0, coalesce(t.affinity, 0), coalesce(f.affinity, 0)) END), 2)) AS e
+          FROM base b, (SELECT DISTINCT qid FROM sims) q LEFT JOIN f_node n ON n.id = b.target LEFT JOIN aff t ON t.qid = q.qid AND t.id = b.target LEFT JOIN aff f ON f.qid = q.qid AND f.id = b.source)""",
+        "s0 AS (SELECT qid, node, w0 AS a FROM init)", "b0 AS (SELECT qid, node, w0 AS score FROM init)",
+    ]
+    for k in range(1, c.steps + 1):
+        parts += [
+            f"p{k} AS (SELECT s.qid, s.node AS source, target, a, a * e - {c.flow_floor} AS p FROM s{k - 1} s JOIN arcs ON arcs.qid = s.qid AND arcs.source = s.node WHERE a * e - {c.flow_floor} > 0)",
+            f"o{k} AS (SELECT qid, source, sum(p) AS total, least(min(a) * {c.max_outflow}, sum(p)) AS outflow FROM p{k} GROUP BY qid, source)",
+            f"v{k} AS (SELECT p.qid, target AS node, outflow * p / total AS v FROM p{k} p JOIN o{k} o ON o.qid = p.qid AND o.source = p.source UNION ALL SELECT s.qid, node, a - coalesce(outflow, 0) FROM s{k - 1} s LEFT JOIN o{k} o ON o.qid = s.qid AND o.source = s.node)",
+            f"r{k} AS (SELECT qid, node, sum(v) AS raw FROM v{k} GROUP BY qid, node)",
+            f"c{k} AS (SELECT qid, node, CASE WHEN raw > 0 THEN pow(raw, {c.gamma}) ELSE 0 END / sum(CASE WHEN raw > 0 THEN pow(raw, {c.gamma}) ELSE 0 END) OVER (PARTITION BY qid) AS competed FROM r{k})",
+            f"s{k} AS (SELECT * FROM (SELECT coalesce(c.qid, i.qid) AS qid, coalesce(c.node, i.node) AS node, {1 - c.anchor} * coalesce(competed, 0) + {c.anchor} * coalesce(w0, 0) AS a FROM c{k} c FULL JOIN init i ON i.qid = c.qid AND i.node = c.node) WHERE a > 0)",
+            f"b{k} AS (SELECT b.qid, target AS node, max(score * e) AS score FROM b{k - 1} b JOIN arcs ON arcs.qid = b.qid AND arcs.source = b.node GROUP BY 1, 2)",
+        ]
+    parts += [
+        "fus AS (SELECT qid, id, sum(CASE WHEN cue = 0 THEN 0.5 ELSE 0.5 * 0.9 END / (60 + r)) AS score FROM (SELECT h.qid, h.cue, h.id, row_number() OVER (PARTITION BY h.qid, h.cue ORDER BY h.score DESC, h.id) AS r FROM heard h JOIN f_node n ON n.id = h.id WHERE n.type = 'MEMORY' AND n.status = 'CURRENT') GROUP BY qid, id)",
+        "al AS (SELECT 'formed_multiquery' AS arm, qid, id, score FROM fus UNION ALL SELECT 'graph_expansion', qid, node, max(score) FROM (" + " UNION ALL ".join(f"SELECT * FROM b{k}" for k in range(c.steps + 1)) + f") GROUP BY qid, node UNION ALL SELECT 'attention_diffusion', qid, node, a FROM s{c.steps} WHERE round(a, 12) >= {c.threshold})",
+        f"ck AS (SELECT * FROM (SELECT al.*, row_number() OVER (PARTITION BY arm, qid ORDER BY round(score, 12) DESC, al.id) AS r FROM al JOIN f_node n ON n.id = al.id WHERE n.type = 'MEMORY' AND n.status = 'CURRENT') WHERE r <= {_BUDGET.checks})",
+        f"texts AS (SELECT concat('n', id) AS k, label AS text FROM f_label)", _TOK,
+        "ids AS (SELECT concat('q', n.seq) AS qid, concat('n', n.id) AS k FROM f_node n WHERE n.seq % 100 = 0)",
+        "dots AS (SELECT ids.qid, b.k, sum(a.n * b.n) AS dot, min(ids.k) AS qk FROM ids JOIN cnt a ON a.k = ids.k JOIN cnt b ON b.token = a.token GROUP BY ids.qid, b.k)",
+        "sc AS (SELECT ck.arm, ck.qid, ck.id, round(coalesce(dot / (x.v * y.v), 0), 9) AS rerank, length(l.label) AS size FROM ck JOIN f_label l ON l.id = ck.id LEFT JOIN dots ON dots.qid = ck.qid AND dots.k = concat('n', ck.id) LEFT JOIN nrm x ON x.k = dots.qk LEFT JOIN nrm y ON y.k = dots.k)",
+        "i AS (SELECT *, row_number() OVER (PARTITION BY arm, qid ORDER BY rerank DESC, id) AS k FROM sc)",
+        f"""w AS (SELECT arm, qid, 0 AS k, CAST('' AS VARCHAR) AS ids, 0 AS n, 0 AS used FROM i GROUP BY arm, qid UNION ALL
+          SELECT w.arm, w.qid, i.k, CASE WHEN n < {_BUDGET.limit} AND used + size <= {_BUDGET.characters} THEN concat(ids, CASE WHEN n > 0 THEN ',' ELSE '' END, id) ELSE ids END, n + CAST(n < {_BUDGET.limit} AND used + size <= {_BUDGET.characters} AS INT), used + CASE WHEN n < {_BUDGET.limit} AND used + size <= {_BUDGET.characters} THEN size ELSE 0 END
+          FROM w JOIN i ON i.arm = w.arm AND i.qid = w.qid AND i.k = w.k + 1)""",
+    ]
+    labelled = "nd AS (SELECT n.* FROM f_node n JOIN f_label l ON l.id = n.id), "
+    return "RECURSIVE WITH " + labelled + ", ".join(parts).replace("f_node", "nd") + " SELECT arm, qid, max_by(ids, k) AS ids, CAST(max_by(used, k) AS BIGINT) AS used FROM w GROUP BY arm, qid"
+
+
+def _recalled(spark, sf) -> plan.Recalled:
+    labels = view(spark, sf, "f_label")
+    nodes = _nodes(spark, sf).join(labels, "id").select("id", "type", "status", F.col("embedding").alias("vector"), "label")
+    cues = _cues(spark, sf).join(labels, "id").select("qid", "cue", F.col("label").alias("text"), F.lit(0.9).alias("weight"), "vector")
+    arcs = graph.arcs(view(spark, sf, "f_link"), {"CAUSAL": 0.3, "SIMILARITY": 0.4, "OPPOSITION": 0.3}, "both")
+    states = cues.where("cue = 0").select("qid", "text", "vector")
+    return plan.recall_state(states, cues.where("cue > 0"), nodes, arcs, labels.select("id", "speaker"), budget=_BUDGET, dynamics=STATE_DYNAMICS)
+
+
+@query("ctx_4_state_recall", _state_sql(), ("f_node", "f_link", "f_label"))
+def ctx_4(spark, sf):
+    """Recall for current states, from cues to what each memory arm returns."""
+    return _recalled(spark, sf).selected.select("arm", "qid", F.array_join("ids", ",").alias("ids"), "used")
+
+
+@query("rcl_20_all_arms")
+def rcl_all_arms(spark, sf):
+    """All six arms from cues to chosen evidence, with raw events and windows beside the memories."""
+    labels = view(spark, sf, "f_label")
+    every = _nodes(spark, sf).join(labels, "id").select("id", "seq", "type", "status", F.col("embedding").alias("vector"), "label")
+    cues = _cues(spark, sf).join(labels, "id").select("qid", "cue", F.col("label").alias("text"), "weight", "vector")
+    arcs = graph.arcs(view(spark, sf, "f_link"), {"CAUSAL": 0.3, "SIMILARITY": 0.4, "OPPOSITION": 0.3}, "both")
+    raw = every.where("seq % 2 = 0").select(F.concat(F.lit("event:"), "id").alias("id"), "vector", "label")
+    windows = every.where("seq % 2 = 1").select(F.concat(F.lit("window:"), "id").alias("id"), "vector", F.concat("label", F.lit("\n"), "label").alias("label"))
+    options = recall.RecallOptions(return_diversity=0.35)
+    out = plan.recall_arms(cues, every.drop("seq"), arcs, raw, windows, options=options, budget=_BUDGET, dynamics=STATE_DYNAMICS)
+    return out.selected.select("arm", "qid", F.array_join("ids", ",").alias("ids"), "used")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from convmem.fixtures import sql_with, view
 from convmem.functions import hooks
-from convmem.functions.text import bigrams, clean_text, seeded_order
+from convmem.functions.text import bigrams, clean_text
 from convmem.operators import context, fifo, intake, segment
 from convmem.plans.scratch import shared_dir
 from convmem.streaming import jobs
@@ -67,34 +67,42 @@ def seg_4(spark, sf):
     return segment.gram_weights(segment.episode_views(_msg(spark, sf))).select("scope", "gram", "df", F.round("weight", 8).alias("weight"))
 
 
-_SCORES = f"""{_IDF}, tg AS (SELECT * FROM f_msg WHERE seq % 10 = 0), q0 AS (SELECT scope, id AS target, unnest({_BIGRAMS.format('lower(text)')}) AS gram FROM tg),
-    q AS (SELECT q0.*, coalesce(weight, ln(1 + n)) AS weight FROM q0 JOIN nn ON nn.scope = q0.scope LEFT JOIN idf ON idf.scope = q0.scope AND idf.gram = q0.gram), tot AS (SELECT scope, target, sum(weight) AS total FROM q GROUP BY ALL),
-    vg AS (SELECT scope, episode, seq, unnest({_BIGRAMS.format('lower(text)')}) AS gram FROM views), pv AS (SELECT q.scope, target, episode, vg.seq, sum(weight) AS s FROM q JOIN vg ON vg.scope = q.scope AND vg.gram = q.gram GROUP BY ALL),
-    parts AS (SELECT pv.scope, pv.target, episode, max(s) / min(total) AS part FROM pv JOIN tot ON tot.scope = pv.scope AND tot.target = pv.target GROUP BY ALL
-      UNION ALL SELECT DISTINCT tg.scope, tg.id, v.episode, 0.08 FROM tg JOIN views v ON v.scope = tg.scope AND v.speaker = tg.speaker
-      UNION ALL SELECT tg.scope, tg.id, m.episode, 1000 FROM tg JOIN f_msg m ON m.scope = tg.scope AND m.id = tg.reply_to),
-    scores AS (SELECT p.scope, target, p.episode, sum(part) AS score, min(l.last_seq) AS last_seq FROM parts p JOIN (SELECT scope, episode, max(seq) AS last_seq FROM f_msg GROUP BY ALL) l ON l.scope = p.scope AND l.episode = p.episode GROUP BY ALL)"""
+#: Longer limits than the defaults, so that topics of several conversations are open at a time.
+TTL, SPAN, MOST = 100_000, 200_000, 24
+_SCORES = f"""pm AS (SELECT tg.scope, tg.id AS target, tg.seq AS tseq, tg.t AS tt, tg.speaker AS who, tg.reply_to AS rep, m.episode, m.seq, m.id, m.t, m.speaker, m.text,
+        row_number() OVER (PARTITION BY tg.id, m.episode ORDER BY m.seq) AS a, row_number() OVER (PARTITION BY tg.id, m.episode ORDER BY m.seq DESC) AS z FROM f_msg tg JOIN f_msg m ON m.scope = tg.scope AND m.seq < tg.seq),
+    ep AS (SELECT scope, target, episode, max(seq) AS last_seq, bool_or(id = rep) AS replied, bool_or(speaker = who AND (a = 1 OR z <= 3)) AS author FROM pm GROUP BY ALL HAVING min(tt) - max(t) < {TTL} AND min(tt) - min(t) < {SPAN} AND count(*) < {MOST}),
+    nn AS (SELECT target, count(*) AS n FROM ep GROUP BY target), q AS (SELECT id AS target, unnest({_BIGRAMS.format('lower(text)')}) AS gram FROM f_msg),
+    vg AS (SELECT pm.target, pm.episode, pm.seq, unnest({_BIGRAMS.format('lower(pm.text)')}) AS gram FROM pm JOIN ep ON ep.target = pm.target AND ep.episode = pm.episode WHERE a = 1 OR z <= 3),
+    fr AS (SELECT target, gram, count(DISTINCT episode) AS df FROM vg GROUP BY ALL), wt AS (SELECT q.target, q.gram, ln(1 + n / (1 + coalesce(df, 0))) AS weight FROM q JOIN nn ON nn.target = q.target LEFT JOIN fr ON fr.target = q.target AND fr.gram = q.gram),
+    tot AS (SELECT target, sum(weight) AS total FROM wt GROUP BY target), pv AS (SELECT target, episode, max(s) AS s FROM (SELECT vg.target, vg.episode, vg.seq, sum(weight) AS s FROM vg JOIN wt ON wt.target = vg.target AND wt.gram = vg.gram GROUP BY ALL) GROUP BY ALL),
+    scores AS (SELECT ep.scope, ep.target, ep.episode, coalesce(s / total, 0) + CASE WHEN author THEN 0.08 ELSE 0 END + CASE WHEN replied THEN 1000 ELSE 0 END AS score, last_seq FROM ep LEFT JOIN pv ON pv.target = ep.target AND pv.episode = ep.episode LEFT JOIN tot ON tot.target = ep.target)"""
 
 
 def _scores(spark, sf):
     m = _msg(spark, sf)
-    return segment.topic_scores(m.where("seq % 10 = 0"), m)
+    return segment.topic_scores(m, m, TTL, SPAN, MOST)
 
 
 @query("seg_5_scores", f"WITH {_SCORES} SELECT scope, target, episode, round(score, 6) AS score, last_seq FROM scores")
 def seg_5(spark, sf):
-    """Topic scores of every tenth message."""
+    """Scores of every message against the topics that are open just before it."""
     return _scores(spark, sf).select("scope", "target", "episode", F.round("score", 6).alias("score"), "last_seq")
 
 
 _CAND = f"""{_SCORES}, rk AS (SELECT *, row_number() OVER (PARTITION BY scope, target ORDER BY round(score, 12) DESC, last_seq DESC, episode DESC) AS s, row_number() OVER (PARTITION BY scope, target ORDER BY last_seq DESC, episode DESC) AS t FROM scores),
-    cand AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY scope, target ORDER BY CASE WHEN s <= 6 THEN 1 WHEN t <= 2 THEN 2 ELSE 3 END, CASE WHEN s > 6 AND t <= 2 THEN t ELSE s END) AS INTEGER) AS position FROM rk) WHERE position <= 8)"""
+    cand AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY scope, target ORDER BY CASE WHEN s <= 3 THEN 1 WHEN t <= 2 THEN 2 ELSE 3 END, CASE WHEN s > 3 AND t <= 2 THEN t ELSE s END) AS INTEGER) AS position FROM rk) WHERE position <= 4)"""
+
+
+def _candidates(spark, sf):
+    """Half the default numbers, so that some topics are left out."""
+    return segment.choose_candidates(_scores(spark, sf), 3, 2, 4)
 
 
 @query("seg_6_candidates", f"WITH {_CAND} SELECT scope, target, episode, position FROM cand")
 def seg_6(spark, sf):
     """The candidates that a router sees."""
-    return segment.choose_candidates(_scores(spark, sf)).select("scope", "target", "episode", "position")
+    return _candidates(spark, sf).select("scope", "target", "episode", "position")
 
 
 @query("seg_7_packets", """WITH p AS (SELECT *, row_number() OVER (PARTITION BY scope, episode ORDER BY seq) AS a, row_number() OVER (PARTITION BY scope, episode ORDER BY seq DESC) AS z FROM f_msg)
@@ -119,15 +127,37 @@ def seg_8(spark, sf):
     return segment.packet_violations(p).select("target", F.array_join("violations", ",").alias("violations"))
 
 
-@query("seg_9_features")
-def seg_9(spark, sf):
-    """Router feature rows, with an order of the options that depends on the content alone."""
+_SAID = "concat('P', k, ': ', {0})"
+_FEATURES = f"""WITH {_CAND}, cm AS (SELECT pm.*, c.position FROM pm JOIN cand c ON c.target = pm.target AND c.episode = pm.episode),
+    ctx AS (SELECT target, seq, id, speaker, text FROM pm WHERE tseq - seq <= 8 AND target IN (SELECT target FROM cand)),
+    seen AS (SELECT target, seq AS pos, 0 AS part, id, speaker, text FROM ctx UNION ALL SELECT target, position * 10, 1, id, speaker, text FROM cm WHERE a = 1 UNION ALL SELECT target, position * 10 + 3 - z, 1, id, speaker, text FROM cm WHERE z <= 2
+        UNION ALL SELECT id, 0, 2, NULL, speaker, NULL FROM f_msg WHERE id IN (SELECT target FROM cand)),
+    al AS (SELECT target, speaker, row_number() OVER (PARTITION BY target ORDER BY min(row(part, pos))) AS k FROM seen GROUP BY target, speaker),
+    ln AS (SELECT c.target, string_agg({_SAID.format('text')}, chr(10) ORDER BY seq) AS lines FROM ctx c JOIN al ON al.target = c.target AND al.speaker = c.speaker GROUP BY c.target),
+    sn AS (SELECT c.target, position, string_agg({_SAID.format('left(text, 40)')}, ' ; ' ORDER BY seq) AS shown FROM cm c JOIN al ON al.target = c.target AND al.speaker = c.speaker WHERE z <= 2 GROUP BY ALL),
+    tp AS (SELECT c.target, c.position, concat(CASE WHEN replied THEN '{segment.REPLY_TAG}' ELSE '' END, ': ', shown) AS x FROM cand c JOIN ep ON ep.target = c.target AND ep.episode = c.episode JOIN sn ON sn.target = c.target AND sn.position = c.position),
+    tl AS (SELECT target, string_agg(concat('{segment.TOPIC_LINE}', position, x), chr(10) ORDER BY position) AS topics, string_agg(concat('{segment.TOPIC_CHOICE}', x), '|' ORDER BY position) AS choices FROM tp GROUP BY target),
+    rp AS (SELECT DISTINCT s.target, concat('{segment.REPLY_HEAD.strip()} ', {_SAID.format('left(s.text, 80)')}) AS quoted FROM seen s JOIN f_msg m ON m.id = s.target AND s.id = m.reply_to JOIN al ON al.target = s.target AND al.speaker = s.speaker),
+    tg AS (SELECT m.id AS target, concat(CASE WHEN reply_to IS NULL THEN '' ELSE concat(chr(10), coalesce(quoted, '{segment.REPLY_MISSING.strip()}')) END, chr(10), '{segment.TARGET_HEAD.strip()} ', {_SAID.format('text')}) AS x FROM f_msg m JOIN al ON al.target = m.id AND al.speaker = m.speaker LEFT JOIN rp ON rp.target = m.id)
+    SELECT tl.target, concat('{segment.CONTEXT_HEAD.strip()}', chr(10), lines, chr(10), '{segment.TOPICS_HEAD.strip()}', chr(10), topics, tg.x) AS boundary_state, concat('{segment.CONTEXT_HEAD.strip()}', chr(10), lines, tg.x) AS ranking_state, choices
+    FROM tl JOIN tg ON tg.target = tl.target JOIN ln ON ln.target = tl.target"""
+
+
+def _features(spark, sf):
     m = _msg(spark, sf)
-    a = m.select("scope", F.col("id").alias("target"), F.explode(F.sequence(F.col("seq") - 8, F.col("seq") - 1)).alias("seq"))
-    lines = a.join(m.select("scope", "seq", "speaker", "text"), ["scope", "seq"]).select("target", F.col("seq").alias("pos"), "speaker", "text")
-    packets = segment.candidate_packets(m, m).select("scope", "episode", "summary")
-    candidates = segment.choose_candidates(_scores(spark, sf)).join(packets, ["scope", "episode"]).select("target", "position", "summary")
-    return segment.router_features(lines, candidates).withColumn("option_order", seeded_order(F.concat_ws("\n", "context_text", "topics"), F.lit(8)))
+    said = F.struct("id", "speaker", "text")
+    ahead = m.select("scope", "seq", F.struct("id", "speaker", "text").alias("m"))
+    lines = m.select("scope", F.col("id").alias("target"), F.explode(F.sequence(F.col("seq") - 8, F.col("seq") - 1)).alias("seq")).join(ahead, ["scope", "seq"]).select("target", F.col("seq").alias("pos"), "m.id", "m.speaker", "m.text")
+    own = Window.partitionBy("scope", "episode").orderBy("seq")
+    state = m.select("scope", "episode", F.col("seq").alias("last_seq"), F.collect_list("id").over(own).alias("member_ids"), F.array(F.first(said).over(own)).alias("first"), F.array_compact(F.array(F.lag(said).over(own), said)).alias("recent"))
+    candidates = _candidates(spark, sf).join(state, ["scope", "episode", "last_seq"])
+    return segment.router_features(m.select(F.col("id").alias("target"), "speaker", "text", "reply_to"), lines, candidates)
+
+
+@query("seg_9_features", _FEATURES)
+def seg_9(spark, sf):
+    """What a router reads of each message that has candidates."""
+    return _features(spark, sf).select("target", "boundary_state", "ranking_state", F.array_join("choices", "|").alias("choices"))
 
 
 _DECIDE = f"""{_CAND}, best AS (SELECT scope, target, max(score) AS top, count(*) AS n FROM cand GROUP BY ALL), pick AS (SELECT c.scope, c.target, arg_min(c.episode, c.position) AS episode, min(b.top) AS top FROM cand c JOIN best b ON b.target = c.target AND b.scope = c.scope AND round(c.score, 12) = round(b.top, 12) GROUP BY ALL),
@@ -135,7 +165,7 @@ _DECIDE = f"""{_CAND}, best AS (SELECT scope, target, max(score) AS top, count(*
 
 
 def _decisions(spark, sf):
-    c = segment.choose_candidates(_scores(spark, sf)).withColumn("score", F.round("score", 12))
+    c = _candidates(spark, sf).withColumn("score", F.round("score", 12))
     return segment.decide(hooks.route_scores(c), c), c
 
 
@@ -145,6 +175,13 @@ def seg_10(spark, sf):
     return _decisions(spark, sf)[0]
 
 
+@query("udf_3_route", f"WITH {_CAND} SELECT target, round(1 / (1 + exp((max(round(score, 12)) - 0.5) * 8)), 6) AS p_new, count(*) AS n_scores FROM cand GROUP BY target")
+def udf_3(spark, sf):
+    """What the default router says of each message: the chance of a new topic, and scores."""
+    c = _candidates(spark, sf).withColumn("score", F.round("score", 12))
+    return hooks.route_scores(c).select("target", F.round("p_new", 6).alias("p_new"), F.map_keys("scores").alias("_k")).select("target", "p_new", F.size("_k").cast("bigint").alias("n_scores"))
+
+
 @query("seg_11_decision_check", f"WITH {_DECIDE} SELECT target, 'not_a_candidate' AS problem FROM dec WHERE decision = 'CONTINUE' AND target LIKE '%1'")
 def seg_11(spark, sf):
     """Decisions for topics that were no candidates."""
@@ -153,17 +190,10 @@ def seg_11(spark, sf):
     return segment.decision_errors(wrong, c)
 
 
-def _overlap(text: str, others: list[str]) -> tuple[float, list[float]]:
-    """A score for topics by shared words, for use where no model is given."""
-    words = set(text.lower().split())
-    scores = [len(words & set(o.lower().split())) / max(1, len(words)) for o in others]
-    return (0.0 if max(scores) >= 0.15 else 1.0), scores
-
-
 @query("seg_12_assign")
 def seg_12(spark, sf):
-    """Topics assigned one message after the other within each scope."""
-    return segment.assign_topics(_msg(spark, sf), _overlap)
+    """Topics assigned one message after the other within each stretch of a scope."""
+    return segment.assign_topics(_msg(spark, sf), segment.default_route, 30_000, SPAN, MOST)
 
 
 _LIFE = """RECURSIVE WITH w AS (SELECT scope, n, t AS f, t AS l, 1 AS k, 1 AS topic, CAST(NULL AS VARCHAR) AS why FROM f_life WHERE n = 1 UNION ALL
@@ -284,15 +314,19 @@ def ctx_10(spark, sf):
     return context.pack_context(states, memories, 200).select("qid", F.array_join("ids", ",").alias("ids"), "used", "over_state")
 
 
-def _stream(spark, sf, rows: DataFrame) -> DataFrame:
-    """Rows written as JSON files and read back as a stream, two files a batch."""
-    path = f"{shared_dir(spark)}/convmem-stream-{uuid.uuid4().hex}"
-    rows.write.json(path)
-    return jobs.message_stream(spark, path, files_per_batch=2)
-
-
-def _now(spark, stream: DataFrame, name: str) -> DataFrame:
-    return jobs.collect_now(stream, name, f"{shared_dir(spark)}/convmem-{name}-{uuid.uuid4().hex}")
+def _run(spark, rows: DataFrame, job, name: str, parts: int = 3) -> DataFrame:
+    """What a stream puts out over rows that arrive in `parts` steps. Two steps are there when it first
+    runs, one a micro-batch; the last is read after a restart from the checkpoint."""
+    base = f"{shared_dir(spark)}/convmem-{name}-{uuid.uuid4().hex}"
+    cuts = rows.approxQuantile("arrival", [i / parts for i in range(1, parts)], 0.01)
+    step = sum((F.when(F.col("arrival") > c, 1).otherwise(0) for c in cuts), F.lit(0))
+    files = 4
+    out = None
+    for i in range(parts):
+        rows.where(step == i).repartition(files, "scope").write.mode("append").json(f"{base}/in")
+        if i >= parts - 2:
+            out = jobs.collect_now(job(jobs.message_stream(spark, f"{base}/in", files_per_batch=files)), name, base)
+    return out
 
 
 def _rows(spark, sf):
@@ -303,35 +337,35 @@ def _rows(spark, sf):
 @query("str_1_intake", "SELECT scope, id, seq AS arrival FROM f_msg")
 def str_1(spark, sf):
     """Messages taken in from files as they appear."""
-    return _now(spark, _stream(spark, sf, _rows(spark, sf)).select("scope", "id", "arrival"), "intake")
+    return _run(spark, _rows(spark, sf), lambda m: m.select("scope", "id", "arrival"), "intake")
 
 
 @query("str_2_dedup", "SELECT scope, id, arrival, CASE WHEN arrival = first_value(arrival) OVER w THEN 'first' WHEN text = first_value(text) OVER w THEN 'duplicate' ELSE 'conflict' END AS outcome FROM f_dup WINDOW w AS (PARTITION BY scope, id ORDER BY arrival)", ("f_dup",))
 def str_2(spark, sf):
     """Stateful dedup of a stream, equal to the batch operator."""
     d = view(spark, sf, "f_dup").select("scope", "id", "arrival", F.lit(0).cast("bigint").alias("t"), F.lit("").alias("speaker"), "text", F.lit("").alias("episode"))
-    return _now(spark, jobs.dedup_stream(_stream(spark, sf, d.coalesce(1))), "dedup")
+    return _run(spark, d, jobs.dedup_stream, "dedup")
 
 
 @query("str_3_late", "SELECT scope, id, arrival, coalesce(t2 < max(t2) OVER (PARTITION BY scope ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS late FROM (SELECT scope, id, seq AS arrival, t - CASE WHEN seq % 7 = 0 THEN 1500 ELSE 0 END AS t2 FROM f_msg)")
 def str_3(spark, sf):
     """Late rows of a stream against each scope's clock."""
     r = _rows(spark, sf).withColumn("t", F.col("t") - F.when(F.col("arrival") % 7 == 0, 1500).otherwise(0))
-    return _now(spark, jobs.late_stream(_stream(spark, sf, r.coalesce(1))), "late")
+    return _run(spark, r, jobs.late_stream, "late")
 
 
 @query("str_4_lifecycle", _LIFE + " , g AS (SELECT scope, topic, min(f) AS first_t, max(l) AS last_t, max(k) AS n FROM w GROUP BY ALL) SELECT g.scope, CAST(g.topic AS BIGINT) AS topic, first_t, last_t, CAST(g.n AS BIGINT) AS n, x.why AS reason FROM g JOIN w x ON x.scope = g.scope AND x.topic = g.topic + 1 AND x.why IS NOT NULL", ("f_life",))
 def str_4(spark, sf):
     """Topics that a stream closes, equal to the batch operator."""
     r = view(spark, sf, "f_life").select("scope", F.col("event_id").cast("string").alias("id"), F.col("n").cast("bigint").alias("arrival"), "t", F.lit("").alias("speaker"), F.lit("").alias("text"), F.lit("").alias("episode"))
-    return _now(spark, jobs.lifecycle_stream(_stream(spark, sf, r.coalesce(1)), 60, 240, 6), "lifecycle")
+    return _run(spark, r, lambda m: jobs.lifecycle_stream(m, 60, 240, 6), "lifecycle")
 
 
 @query("str_5_evictions", """WITH p AS (SELECT scope, episode, id, row_number() OVER (PARTITION BY scope, episode ORDER BY seq) AS position, count(*) OVER (PARTITION BY scope, episode) AS n FROM f_msg)
     SELECT scope, episode, (position - 1) // 2 + 1 AS eviction, string_agg(id, ',' ORDER BY position) AS ids FROM p WHERE 4 + ((position - 1) // 2) * 2 <= n GROUP BY ALL""")
 def str_5(spark, sf):
     """Evictions that a stream emits, equal to the closed form."""
-    out = _now(spark, jobs.eviction_stream(_stream(spark, sf, _rows(spark, sf).coalesce(1)), 3, 2), "evictions")
+    out = _run(spark, _rows(spark, sf), lambda m: jobs.eviction_stream(m, 3, 2), "evictions")
     return out.select("scope", "episode", "eviction", F.array_join("ids", ",").alias("ids"))
 
 
@@ -340,8 +374,9 @@ def str_6(spark, sf):
     """Vectors appended by a stream, each message once."""
     base = f"{shared_dir(spark)}/convmem-vectors-{uuid.uuid4().hex}"
     r = _rows(spark, sf)
-    stream = _stream(spark, sf, r.unionByName(r.where("arrival % 4 = 0")))
-    jobs.sync_vectors(stream, f"{base}/out", hooks.embed, f"{base}/state").awaitTermination()
+    for part in (r.where("arrival % 2 = 0"), r.where("arrival % 2 = 1 OR arrival % 4 = 0")):
+        part.repartition(4, "scope").write.mode("append").json(f"{base}/in")
+        jobs.sync_vectors(jobs.message_stream(spark, f"{base}/in", files_per_batch=2), f"{base}/out", hooks.embed, f"{base}/state").awaitTermination()
     return spark.read.parquet(f"{base}/out").groupBy("scope").agg(F.count("*").alias("n"))
 
 

@@ -68,9 +68,10 @@ def export_scope(tables: dict[str, DataFrame], scope: str, json_columns: dict[st
 
 def as_of(rows: DataFrame, key: list[str], revision: int) -> DataFrame:
     """Rows as of a revision: the newest row of each key written up to it; deleted ones (deleted is
-    true) are gone. The newest is a combining maximum over (rev, row), not a sort."""
+    true) are gone. The newest is a combining maximum over (rev, row), so of rows with one revision the
+    one with the largest columns, in their order, counts."""
     columns = [c for c in rows.columns if c not in key]
-    newest = rows.where(F.col("rev") <= revision).groupBy(*key).agg(F.max_by(F.struct(*columns), "rev").alias("_r"))
+    newest = rows.where(F.col("rev") <= revision).groupBy(*key).agg(F.max_by(F.struct(*columns), F.struct("rev", *columns)).alias("_r"))
     out = newest.select(*key, "_r.*")
     return out.where("NOT coalesce(deleted, false)").drop("deleted") if "deleted" in rows.columns else out
 

@@ -10,7 +10,7 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -29,19 +29,31 @@ def _ordered(frames: Iterator[pd.DataFrame], by: str = "arrival") -> pd.DataFram
     return pd.concat(list(frames)).sort_values(by, kind="stable")
 
 
-def _stateful(messages: DataFrame, key: list[str], output: str, state: str, step: Callable) -> DataFrame:
+def _stateful(messages: DataFrame, key: list[str], output: str, state: str, step: Callable, horizon: int | None = None) -> DataFrame:
+    """step over each key's rows and state. horizon: seconds of event time after a key's last row at which
+    its state is dropped (rows that come later than that are dropped by the watermark); None keeps
+    states for ever."""
     def run(k: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
         rows = _ordered(frames)
         out, value = step(k, rows, held.get if held.exists else None)
         held.update(value)
+        if horizon is not None:
+            held.setTimeoutTimestamp(max(1000 * (int(rows["t"].max()) + horizon), held.getCurrentWatermarkMs() + 1))
         yield out
 
-    return messages.groupBy(*key).applyInPandasWithState(run, output, state, "append", GroupStateTimeout.NoTimeout)
+    if horizon is None:
+        return messages.groupBy(*key).applyInPandasWithState(run, output, state, "append", GroupStateTimeout.NoTimeout)
+    timed = messages.withColumn("_ts", F.timestamp_seconds("t")).withWatermark("_ts", f"{horizon} seconds")
+    return timed.groupBy(*key).applyInPandasWithState(run, output, state, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def dedup_stream(messages: DataFrame) -> DataFrame:
+def dedup_stream(messages: DataFrame, horizon: int | None = None) -> DataFrame:
     """(scope, id, arrival, outcome): first, duplicate or conflict against the first text of a scope's
-    id. State: one hash for each (scope, id)."""
+    id. State: one hash for each (scope, id), for ever or until `horizon` seconds of event time after
+    the id was last seen."""
 
     def step(key: tuple, rows: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
         known = state[0] if state else None
@@ -52,7 +64,7 @@ def dedup_stream(messages: DataFrame) -> DataFrame:
             known = known or digest
         return pd.DataFrame({"scope": rows["scope"], "id": rows["id"], "arrival": rows["arrival"], "outcome": outcomes}), (known,)
 
-    return _stateful(messages, ["scope", "id"], "scope string, id string, arrival bigint, outcome string", "hash string", step)
+    return _stateful(messages, ["scope", "id"], "scope string, id string, arrival bigint, outcome string", "hash string", step, horizon)
 
 
 def late_stream(messages: DataFrame) -> DataFrame:
@@ -94,9 +106,10 @@ def lifecycle_stream(messages: DataFrame, ttl: int = 900, span: int = 3600, most
     return _stateful(messages, ["scope"], "scope string, topic bigint, first_t bigint, last_t bigint, n bigint, reason string", "topic bigint, first bigint, last bigint, n bigint", step)
 
 
-def eviction_stream(messages: DataFrame, capacity: int = 12, batch: int = 6) -> DataFrame:
+def eviction_stream(messages: DataFrame, capacity: int = 12, batch: int = 6, horizon: int | None = None) -> DataFrame:
     """(scope, episode, eviction, ids): the oldest `batch` events of an episode whenever one more than
-    `capacity` are held. State: the ids in the context, at most `capacity` of them."""
+    `capacity` are held. State: the ids in the context, at most `capacity` of them, for ever or until
+    `horizon` seconds of event time after the episode's last event."""
 
     def step(key: tuple, rows: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
         held, count = (list(state[0]), state[1]) if state else ([], 0)
@@ -109,23 +122,27 @@ def eviction_stream(messages: DataFrame, capacity: int = 12, batch: int = 6) ->
                 held = held[batch:]
         return pd.DataFrame(out, columns=["scope", "episode", "eviction", "ids"]), (held, count)
 
-    return _stateful(messages, ["scope", "episode"], "scope string, episode string, eviction bigint, ids array<string>", "ids array<string>, n bigint", step)
+    return _stateful(messages, ["scope", "episode"], "scope string, episode string, eviction bigint, ids array<string>", "ids array<string>, n bigint", step, horizon)
 
 
-def sync_vectors(messages: DataFrame, path: str, embed: Callable[[DataFrame], DataFrame], checkpoint: str) -> StreamingQuery:
-    """Embeds new messages batch by batch and appends those whose (scope, id) has no vector yet."""
+def sync_vectors(messages: DataFrame, path: str, embed: Callable[[DataFrame], DataFrame], checkpoint: str, scopes_listed: int = 1_000) -> StreamingQuery:
+    """Embeds new messages batch by batch and appends those whose (scope, id) has no vector yet. The table
+    is partitioned by scope, and a batch reads the partitions of its own scopes (all of them only where
+    it has more than `scopes_listed`)."""
 
     def each(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         new = batch.dropDuplicates(["scope", "id"])
+        named = [r["scope"] for r in new.select("scope").distinct().limit(scopes_listed + 1).collect()]  # bounded
         try:
-            stored = spark.read.parquet(path).select("scope", "id")
+            stored = spark.read.parquet(path).select(F.col("scope").cast("string").alias("scope"), "id")
         except Exception as e:  # the table does not exist before the first batch
             if "PATH_NOT_FOUND" not in str(e):
                 raise
         else:
+            stored = stored.where(F.col("scope").isin(named)) if len(named) <= scopes_listed else stored
             new = new.join(stored, ["scope", "id"], "left_anti")
-        embed(new).write.mode("append").parquet(path)
+        embed(new).write.mode("append").partitionBy("scope").parquet(path)
 
     return messages.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -103,13 +103,21 @@ def test_lifecycle(spark):
 
 
 def test_edges_before_combining(spark):
-    rows = [("0-closed", "a", "b", "SIMILARITY", 0.2, "closed", "COMMITTED", "legacy", "CLOSED", False), ("1-open-duplicate", "b", "a", "SIMILARITY", 0.9, "own", "COMMITTED", "episode", "OPEN", False), ("2-open-causal", "a", "b", "CAUSAL", 0.7, "own", "COMMITTED", "episode", "OPEN", False), ("3-failed", "a", "b", "SIMILARITY", 1.0, "closed", "FAILED", "legacy", "CLOSED", False)]
-    edges = spark.createDataFrame(rows, "id string, source string, target string, relation string, strength double, episode string, write_status string, lifecycle string, episode_status string, consolidated boolean")
+    rows = [("s", "w1", "0-closed", "a", "b", "SIMILARITY", 0.2), ("s", "w2", "1-open-duplicate", "b", "a", "SIMILARITY", 0.9), ("s", "w2", "2-open-causal", "a", "b", "CAUSAL", 0.7), ("s", "w3", "3-failed", "a", "b", "SIMILARITY", 1.0), ("t", "w1", "4-elsewhere", "a", "b", "SIMILARITY", 1.0)]
+    edges = spark.createDataFrame(rows, "scope string, write_id string, id string, source string, target string, relation string, strength double").withColumn("evidence", F.array(F.lit("e"), F.col("id")))
+    writes = spark.createDataFrame([("s", "w1", "closed", "formation", "COMMITTED"), ("s", "w2", "own", "formation", "COMMITTED"), ("s", "w3", "closed", "formation", "FAILED"), ("s", "w4", "own", "consolidation", "COMMITTED"), ("s", "w5", "own", "consolidation", "FAILED")], "scope string, write_id string, episode string, kind string, status string")
+    episodes = spark.createDataFrame([("s", "closed", "legacy", "CLOSED"), ("s", "own", "episode", "OPEN")], "scope string, episode string, lifecycle string, episode_status string")
+
+    def seen(caller, *published):
+        pubs = spark.createDataFrame(list(published), "scope string, edge_id string, write_id string")
+        return graph.combine_parallel(graph.visible_edges(edges, writes, episodes, pubs, caller)).collect()
+
     for caller, want in ((None, {("SIMILARITY", 0.2)}), ("foreign", {("SIMILARITY", 0.2)}), ("own", {("SIMILARITY", 0.9), ("CAUSAL", 0.7)})):
-        got = graph.combine_parallel(graph.visible_edges(edges, caller)).collect()
-        assert {(r["relation"], r["strength"]) for r in got} == want
-    both = next(r for r in graph.combine_parallel(graph.visible_edges(edges, "own")).collect() if r["relation"] == "SIMILARITY")
-    assert both["record_ids"] == ["0-closed", "1-open-duplicate"] and both["id"] == "0-closed"
+        assert {(r["relation"], r["strength"]) for r in seen(caller)} == want
+    both = next(r for r in seen("own") if r["relation"] == "SIMILARITY")
+    assert both["record_ids"] == ["0-closed", "1-open-duplicate"] and both["id"] == "0-closed" and both["evidence"] == ["0-closed", "1-open-duplicate", "e"]
+    assert {r["relation"] for r in seen(None, ("s", "2-open-causal", "w4"))} == {"SIMILARITY", "CAUSAL"}
+    assert {r["relation"] for r in seen(None, ("s", "2-open-causal", "w5"), ("t", "2-open-causal", "w4"))} == {"SIMILARITY"}
 
 
 @pytest.fixture(scope="module")
@@ -150,11 +158,19 @@ def test_gates_and_best_paths(spark, network):
     nodes = network.select(F.col("source").alias("id")).distinct().withColumn("type", F.when(F.col("id") < "n2", "PERSON").otherwise("MEMORY"))
     affinity = nodes.select(F.lit("q").alias("qid"), "id", (F.pmod(F.xxhash64("id"), F.lit(100)) / 100).alias("affinity"))
     for power in (0.0, 1.0, 2.0, 8.0):
-        gated = recall.gated_arcs(network, affinity, nodes, power).cache()
+        gated = recall.gated_arcs(network.withColumn("qid", F.lit("q")), affinity.where("id <> 'n3'"), nodes.where("id <> 'n4'"), power).cache()
         assert gated.count() == network.count() and gated.where("context_gate < 0.02 OR context_gate > 1").count() == 0
         assert power or gated.where("effective <> base_effective").count() == 0
     seeds = spark.createDataFrame([("q", "n0", 1.0)], "qid string, node string, weight double")
-    best = {r["node"]: r["score"] for r in dynamics.best_paths(network, seeds, 2).collect()}
+    found = dynamics.best_paths(network, seeds, 2).collect()
+    best = {r["node"]: r["score"] for r in found}
+    ends = {(r["edge_id"], r["source"], r["target"]): r["effective"] for r in network.collect()}
+    for r in found:
+        at, score = "n0", 1.0
+        for edge in r["path"]:
+            at, e = max(((t, e) for (i, s, t), e in ends.items() if i == edge and s == at), key=lambda x: x[1])
+            score *= e
+        assert at == r["node"] and score == pytest.approx(r["score"])
     arcs = [(r["source"], r["target"], r["effective"]) for r in network.collect()]
     want = {"n0": 1.0}
     for s, t, e in arcs:
@@ -182,3 +198,117 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "src bigint, dst bigint")).collect()}
     assert got == {**{i: 100 for i in range(100, 161)}, 3: 3, 7: 3, 9: 3, 1: 1, 2: 1, 50: 1}
     assert connected_components(spark.createDataFrame([], "src bigint, dst bigint")).count() == 0
+
+
+def test_gate_within_the_steps_equals_gated_arcs(spark, network):
+    nodes = network.select(F.col("source").alias("id")).distinct().withColumn("type", F.when(F.col("id") < "n2", "PERSON").otherwise("MEMORY"))
+    affinity = nodes.select(F.lit("q").alias("qid"), "id", (F.pmod(F.xxhash64("id"), F.lit(100)) / 100).alias("affinity"))
+    seeds = spark.createDataFrame([("q", "n0", 1.0)], "qid string, node string, weight double")
+    config = dynamics.Dynamics(steps=2)
+    def gate(arcs):
+        return recall.gated_arcs(arcs, affinity, nodes)
+    all_gated = gate(network.withColumn("qid", F.lit("q"))).cache()
+    for run in (lambda arcs, g: dynamics.diffuse(arcs, seeds, config, g).where("step = 2").select("node", F.col("a").alias("x")), lambda arcs, g: dynamics.best_paths(arcs, seeds, 2, g).select("node", F.col("score").alias("x"))):
+        assert {r["node"]: r["x"] for r in run(network, gate).collect()} == pytest.approx({r["node"]: r["x"] for r in run(all_gated, None).collect()})
+    trace = dynamics.diffuse(network, seeds, config, gate)
+    flows = dynamics.diffusion_flows(network, trace, config, gate)
+    sent = {r["step"]: r["s"] for r in flows.groupBy("step").agg(F.sum("amount").alias("s")).collect()}
+    assert all(0 < v <= config.max_outflow + 1e-12 for v in sent.values()) and set(sent) == {1, 2}
+    assert dynamics.emerged(trace, config).where(F.col("a") < config.threshold).count() == 0
+
+
+MESSAGE = "scope string, episode string, id string, seq bigint, t bigint, speaker string, text string, reply_to string"
+
+
+def test_recent_topics_that_share_nothing_are_candidates(spark):
+    rows = [("s", f"k{i}", f"m{i}", i, 10 * i, f"u{i}", f"weather report {i}", None) for i in range(9)]
+    rows += [("s", "quiet", "m9", 9, 90, "x", "zzzz", None), ("s", "silent", "m10", 10, 100, "y", "qqqq", None), ("s", "?", "m11", 11, 110, "z", "weather report 3", "m0"), ("s", "late", "m12", 12, 120, "z", "weather report", None)]
+    m = spark.createDataFrame(rows, MESSAGE)
+    scores = segment.topic_scores(m.where("id = 'm11'"), m).cache()
+    assert {r["episode"]: r["score"] for r in scores.where("score = 0").collect()} == {"quiet": 0.0, "silent": 0.0}
+    assert scores.count() == 11 and scores.where("score > 1000").collect()[0]["episode"] == "k0"
+    chosen = {r["position"]: r["episode"] for r in segment.choose_candidates(scores).collect()}
+    assert chosen[1] == "k0" and chosen[2] == "k3" and {chosen[7], chosen[8]} == {"silent", "quiet"} and len(chosen) == 8
+    assert segment.topic_scores(m.where("id = 'm11'"), m, ttl=50).count() == 4
+
+
+def test_topics_assigned_one_by_one_follow_the_scores(spark):
+    from convmem.fixtures import view
+    from convmem.functions import hooks
+
+    m = view(spark, "/root/testdata/sf0.001", "f_msg").cache()
+    got = segment.assign_topics(m, segment.default_route, 100_000, 200_000, 5).cache()
+    placed = m.drop("episode").join(got.select("id", "episode"), "id")
+    assert placed.count() == m.count() and placed.groupBy("episode").count().where("count > 5").isEmpty()
+    scores = segment.topic_scores(placed, placed, 100_000, 200_000, 5).withColumn("score", F.round("score", 12))
+    c = segment.choose_candidates(scores).cache()
+    decided = segment.decide(hooks.route_scores(c), c)
+    wrong = decided.join(got.withColumnRenamed("id", "target").withColumnRenamed("episode", "_e"), "target").where("(decision = 'CONTINUE' AND episode <> _e) OR (decision = 'NEW' AND NOT endswith(_e, target))")
+    assert decided.count() > 20 and wrong.isEmpty()
+
+
+def test_vectors_in_blocks_equal_one_matrix(spark):
+    from convmem.operators.vectors import cosine_topk
+
+    v = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    v = v.unionByName(spark.createDataFrame([(9999, [0.0] * 64), (9998, None)], "id bigint, vector array<float>"))
+    q = v.where("id % 20 = 0").withColumnRenamed("id", "qid")
+    for k in (5, None):
+        one = cosine_topk(q, v, k).select("qid", "id", "rank", F.round("score", 9)).collect()
+        many = cosine_topk(q, v, k, block=4, part=60).select("qid", "id", "rank", F.round("score", 9)).collect()
+        assert sorted(one) == sorted(many) and len(one) == q.count() * (k or v.count() - 2)
+
+
+def test_forwarded_titles_and_option_orders(spark):
+    import hashlib
+    import json
+    import random
+
+    from convmem.functions.text import forwarded_titles, option_orders
+
+    texts = ["[合并转发: <?xml version='1.0'?><m><title>a &amp; b</title><x><title>c<i>no</i>tail</title></x></m>]", "[合并转发: <?xml broken]", "no xml", "<?xml version='1.0'?><t><title/></t>", None]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1).orderBy("i").select(forwarded_titles("t")).collect()]
+    assert got == ["a & b ; c", "", "", "", None]
+    shown = ("[近期上下文]\nP1: hi", ["- 话题 1: P1: hi", "- 话题 2: P2: ho"], "\n[当前消息] P2: x", ["延续话题: P1: hi", "延续话题: P2: ho"])
+    seed = int(hashlib.sha256(json.dumps([shown[0], shown[1], shown[2], {"C1": shown[3][0], "C2": shown[3][1]}], ensure_ascii=False).encode()).hexdigest()[:8], 16)
+    ranking = [0, 1]
+    random.Random(seed).shuffle(ranking)
+    row = spark.createDataFrame([shown], "a string, b array<string>, c string, d array<string>").select(option_orders("a", "b", "c", "d").alias("o")).first()["o"]
+    assert row["ranking"] == ranking and row["boundary"] == ([1, 0] if seed % 2 else [0, 1])
+
+
+def test_as_of_ties_and_closing(spark):
+    from convmem.operators.formation import close_episodes, reopen_episodes
+    from convmem.sources.tables import as_of
+
+    rows = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("a", 2, "z"), ("a", 3, "w"), ("b", 2, None)], "k string, rev int, v string")
+    assert {r["k"]: r["v"] for r in as_of(rows, ["k"], 2).collect()} == {"a": "z", "b": None}
+    e = spark.createDataFrame([("s", "l", "legacy", "OPEN"), ("s", "c", "consolidate", "OPEN"), ("s", "busy", "legacy", "OPEN"), ("s", "done", "consolidate", "CONSOLIDATED")], "scope string, episode string, lifecycle string, episode_status string")
+    events = spark.createDataFrame([("s", "l", True), ("s", "busy", False), ("s", "done", False)], "scope string, episode string, processed boolean")
+    nodes = spark.createDataFrame([("s", "l", "n1", "TEMPORARY"), ("s", "c", "n2", "TEMPORARY")], "scope string, episode string, id string, stage string")
+    done, refused, promoted = close_episodes(e, events, nodes)
+    assert {r["episode"]: r["episode_status"] for r in done.collect()} == {"l": "CLOSED", "c": "SEALED", "done": "CONSOLIDATED"}
+    assert [r["episode"] for r in refused.collect()] == ["busy"] and [(r["id"], r["stage"]) for r in promoted.collect()] == [("n1", "LONG_TERM")]
+    opened, closed = reopen_episodes(done)
+    assert [r["episode"] for r in opened.collect()] == ["c"] and closed.count() == 2
+
+
+def test_stream_state_expires(spark, tmp_path):
+    from convmem.streaming import jobs
+
+    def arrive(name, rows):
+        path = tmp_path / "in"
+        path.mkdir(exist_ok=True)
+        (path / name).write_text("\n".join('{"scope": "s", "id": "%s", "arrival": %d, "t": %d, "text": "%s"}' % r for r in rows))
+
+    def run():
+        stream = jobs.dedup_stream(jobs.message_stream(spark, str(tmp_path / "in"), files_per_batch=1), horizon=100)
+        return sorted((r["arrival"], r["outcome"]) for r in jobs.collect_now(stream, "d", str(tmp_path / "state")).collect())
+
+    arrive("a.json", [("x", 1, 1000, "hi"), ("y", 2, 1000, "ho")])
+    arrive("b.json", [("x", 3, 1050, "hi")])
+    assert run() == [(1, "first"), (2, "first"), (3, "duplicate")]
+    arrive("c.json", [("z", 4, 5000, "far")])
+    assert (4, "first") in run()
+    arrive("d.json", [("x", 5, 5001, "hi"), ("z", 6, 5001, "other")])
+    assert run()[-2:] == [(5, "first"), (6, "conflict")]
