@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; all but
 the last return the columns of `documents`.
+
+All stages take docs of any size: an empty table gives an empty one; columns beyond those of `documents`
+are dropped at once, so names cannot clash; null ids are documents of their own. What each does with
+null or empty texts, ties and repeated rows is said there.
 """
 
 from __future__ import annotations
@@ -22,34 +26,44 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents whose language cannot be told (no text, or no letter in it). `lang`
-    stays as given; where it is null the prediction is filled in."""
+    stays as given; where it is null the prediction is filled in (of equally likely languages the
+    first by name). Repeated rows are judged alike."""
     bound_batches(spark)
+    docs = docs.select(*COLUMNS)
     judged = docs.withColumn("_p", predictions(fit(docs, "text", "lang"), F.col("text"))).where("_p.lang_pred <> 'und'")
     return judged.withColumn("lang", F.coalesce("lang", "_p.lang_pred")).select(*COLUMNS)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
+    """Of equal texts the row with the largest doc_id stays, and of rows that repeat it one; null and
+    empty texts are equal."""
+    docs = docs.select(*COLUMNS)
     return keep_first_rows(docs, exact_dedup(docs)).select(*COLUMNS)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8 or more) one document stays."""
+    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the document with the
+    smallest doc_id stays; rows that share an id are one document. Null and wordless texts, and rows
+    without an id, stay."""
     bound_batches(spark)
+    docs = docs.select(*COLUMNS)
     decided = near_dedup(docs, k=5, percent=80)
     dropped = scratch(decided.where("NOT kept").select("doc_id").distinct(), "pipeline-near")
     return join_checked(docs, dropped, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Runs of sentences that an earlier document has are cut out of the text."""
+    """Runs of sentences that an earlier document has are cut out of the text, and n_chars is counted
+    anew (null for null). All documents stay, though a text may become empty; rows that repeat id and
+    text lose nothing to each other."""
     bound_batches(spark)
     clean = span_dedup(docs.select(*COLUMNS))
     return clean.withColumn("n_chars", F.char_length("text").cast("bigint")).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, packed into sequences of at most 2048 tokens."""
+    """What is left, packed into sequences of at most 2048 tokens; null and empty texts are one token, and
+    repeated rows are packed each."""
     bound_batches(spark)
     import public_tokenizers
 
