@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from convmem.llm.batches import released
 from convmem.llm.shingles import map_texts, shingle_set, sorted_groups
 from convmem.plans.components import connected_components
 from convmem.plans.joins import join_checked
@@ -260,7 +261,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     texts = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text"))
     tables = ScratchTables()
-    signed = tables.write(texts.mapInArrow(_sign(k), "_id bigint, n_shingles bigint, _f bigint, _g bigint, _sig binary"), "near-signed")
+    signed = tables.write(texts.mapInArrow(released(_sign(k)), "_id bigint, n_shingles bigint, _f bigint, _g bigint, _sig binary"), "near-signed")
     classes = signed.where("_f IS NOT NULL AND _id IS NOT NULL").groupBy("_f", "_g", "n_shingles").agg(F.min("_id").alias("_rep"), F.first("_sig").alias("_sig"))
     classes = tables.write(classes, "near-classes")
     # A shared id (repeated rows with other texts) links the classes through the id itself.
@@ -275,13 +276,13 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def linked(nodes: DataFrame) -> DataFrame:
         """The links that the comparison of all members of each node confirms."""
         in_node = nodes.join(compact, "_id").repartition(n, "_node").sortWithinPartitions("_node")
-        groups = in_node.mapInArrow(_promising(share), "_node bigint, _id bigint").distinct()
+        groups = in_node.mapInArrow(released(_promising(share)), "_node bigint, _id bigint").distinct()
         groups = tables.write(groups, "near-groups")
         needed = tables.write(groups.select("_id").distinct(), "near-needed")
-        sets = join_checked(texts, needed, "_id", "left_semi").mapInArrow(_pack(k), "_id bigint, _set binary")
+        sets = join_checked(texts, needed, "_id", "left_semi").mapInArrow(released(_pack(k)), "_id bigint, _set binary")
         sets = tables.write(sets.groupBy("_id", F.xxhash64("_set").alias("_h")).agg(F.first("_set").alias("_set")), "near-sets")
         whole = groups.join(sets.select("_id", "_set"), "_id").repartition(n, "_node").sortWithinPartitions("_node")
-        return tables.write(whole.mapInArrow(_confirm(percent), "src bigint, dst bigint"), "near-links")
+        return tables.write(whole.mapInArrow(released(_confirm(percent)), "src bigint, dst bigint"), "near-links")
 
     small, large = first_nodes(reps, leaf, tables)
     shared = signed.where("_f IS NOT NULL AND _id IS NOT NULL").join(classes.select("_f", "_g", "n_shingles", "_rep"), ["_f", "_g", "n_shingles"]).select("_id", "n_shingles", "_rep")

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from convmem.llm.batches import released
 from convmem.llm.shingles import _SPACES, mix, word_hashes
 from convmem.plans.joins import own_names
 from convmem.plans.scratch import ScratchTables
@@ -161,7 +162,7 @@ def span_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     whose = [F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(2**63))), F.xxhash64(text_col)]  # null ids sort first, and are told apart by their texts
     tables = ScratchTables()
     keyed = docs.select(whose[0].alias("_id"), whose[1].alias("_row"), F.col(text_col).alias("_text"))
-    spans = tables.write(keyed.mapInArrow(_spans(least_sentences, least_words), "_id bigint, _row bigint, _h bigint, _g int, _at int"), "span-runs")
+    spans = tables.write(keyed.mapInArrow(released(_spans(least_sentences, least_words)), "_id bigint, _row bigint, _h bigint, _g int, _at int"), "span-runs")
     place = F.struct("_id", "_row", "_at")
     first = spans.groupBy("_h", "_g").agg(F.min(place).alias("_first"), F.count("*").alias("_n")).where("_n > 1").select("_h", "_g", "_first")
     # Written, so that the join deals both sides anew and AQE can split a hot run.
@@ -174,5 +175,5 @@ def span_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tagged = docs.withColumns({id_own: whose[0], row_col: whose[1]})
     whole = tagged.join(cuts, [id_own, row_col], "left").drop(id_own, row_col).withColumn(text_own, F.col(text_col)).drop(text_col)
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema.fields if f.name != text_col)
-    clean = whole.mapInArrow(_cut(text_own, cuts_col, clean_col, removed_col, least_sentences, least_words), f"{fields}{clean_col} string, {removed_col} array<struct<start: bigint, end: bigint>>")
+    clean = whole.mapInArrow(released(_cut(text_own, cuts_col, clean_col, removed_col, least_sentences, least_words)), f"{fields}{clean_col} string, {removed_col} array<struct<start: bigint, end: bigint>>")
     return clean.select(*[F.col(clean_col).alias(c) if c == text_col else F.col(f"`{c}`") for c in columns], F.col(removed_col).alias("removed"))
