@@ -9,7 +9,9 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from convmem.plans.scratch import scratch
 
 ORDERS = (3, 4)
 #: The filter has 2 ** SLOTS_LOG2 words, one bit per language, and two hashes of a gram.
@@ -93,29 +95,34 @@ def _document_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def fit(labelled: DataFrame, text_col: str, lang_col: str, documents_per_language: int = 4000, grams_per_language: int = 60_000, share: float = 0.5) -> LanguageFilter:
     """Learns which languages contain which n-grams.
 
-    About `documents_per_language` labelled documents of each language are read: those with
-    the lowest text hashes (documented bound of the sample). A gram belongs to every language
-    in which the share of documents that have it is at least `share` of its largest share, and
-    at least 1 in 500. Of each language the `grams_per_language` commonest are kept, so the
-    model's size is fixed (up to 64 languages).
+    The distinct texts of each language are sampled by their hashes down to about
+    `documents_per_language` (the documented bound of the sample), so that copies count once and
+    a text with many copies is no likelier to be in it. A gram belongs to every language in which the
+    share of sampled texts that have it is at least `share` of its largest share, and at least 1 in
+    500. Of each language the `grams_per_language` commonest are kept (ties: the lower hash), so
+    the model's size is fixed (up to 64 languages).
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"))
-    sizes = {r[0]: r[1] for r in rows.groupBy("_lang").count().collect()}
+    hashed = rows.withColumn("_key", F.xxhash64("_text", F.lit("sample")))
+    sizes = {r[0]: r[1] for r in hashed.groupBy("_lang").agg(F.approx_count_distinct("_key")).collect()}
     languages = tuple(sorted(sizes))
     if len(languages) > 64:
         raise ValueError("the filter has one bit for each of at most 64 languages")
     if not languages:
         return LanguageFilter((), np.zeros(2**SLOTS_LOG2, np.uint64), np.zeros(0))
-    bound = F.create_map(*[F.lit(x) for k in languages for x in (k, int(1_000_000 * min(1.0, documents_per_language / sizes[k])))])
-    sample = rows.where(F.pmod(F.xxhash64("_text", F.lit("sample")), F.lit(1_000_000)) < F.element_at(bound, F.col("_lang")))
-    counts = sample.mapInArrow(_document_grams, "_lang string, _h bigint, _n bigint").groupBy("_h").pivot("_lang", list(languages)).agg(F.sum("_n"))
-    read = {k: min(n, documents_per_language) for k, n in sizes.items()}
-    rates = [(F.coalesce(F.col(f"`{k}`"), F.lit(0)) / float(max(1, read[k]))).alias(f"_{i}") for i, k in enumerate(languages)]
-    shares = counts.select("_h", *rates)
-    top = F.greatest(*[F.col(f"_{i}") for i in range(len(languages))], F.lit(0.0))
-    commonest = shares.withColumn("_top", top).where("_top >= 0.002").orderBy(F.desc("_top"), "_h").limit(grams_per_language * len(languages))
-    mask = sum((F.when((F.col(f"_{i}") >= share * F.col("_top")) & (F.col(f"_{i}") >= 0.002), F.lit(1 << i if i < 63 else -(1 << 63))).otherwise(F.lit(0)) for i in range(len(languages))), F.lit(0).cast("bigint"))
-    table = commonest.select("_h", mask.cast("bigint").alias("_mask")).toPandas()
+    bound = F.create_map(*[F.lit(x) for k in languages for x in (k, int(1_000_000 * min(1.0, documents_per_language / max(1, sizes[k]))))])
+    sample = hashed.where(F.pmod("_key", F.lit(1_000_000)) < F.element_at(bound, F.col("_lang")))
+    sample = scratch(sample.groupBy("_lang", "_key").agg(F.first("_text").alias("_text")), "language-sample")
+    read = {r[0]: r[1] for r in sample.groupBy("_lang").count().collect()}
+    counts = sample.mapInArrow(_document_grams, "_lang string, _h bigint, _n bigint").groupBy("_lang", "_h").agg(F.sum("_n").alias("_n"))
+    number = F.create_map(*[F.lit(x) for i, k in enumerate(languages) for x in (k, i)])
+    total = F.create_map(*[F.lit(x) for k in languages for x in (k, float(max(1, read.get(k, 0))))])
+    rated = counts.select("_h", F.element_at(number, F.col("_lang")).alias("_i"), (F.col("_n") / F.element_at(total, F.col("_lang"))).alias("_rate"))
+    own = rated.groupBy("_h").agg(F.max("_rate").alias("_top"), F.collect_list(F.struct("_i", "_rate")).alias("_all"))  # a row for each language at most
+    own = own.where("_top >= 0.002").select("_h", "_top", F.explode("_all").alias("_x")).where((F.col("_x._rate") >= share * F.col("_top")) & (F.col("_x._rate") >= 0.002))
+    ranked = own.select("_h", "_x._i", F.row_number().over(Window.partitionBy("_x._i").orderBy(F.desc("_x._rate"), "_h")).alias("_at"))
+    bit = F.element_at(F.array(*[F.lit(1 << i if i < 63 else -(1 << 63)).cast("bigint") for i in range(len(languages))]), F.col("_i") + 1)
+    table = ranked.where(F.col("_at") <= grams_per_language).groupBy("_h").agg(F.bit_or(bit).alias("_mask")).toPandas()
     return LanguageFilter.build(languages, table["_h"].to_numpy(np.int64).view(np.uint64), table["_mask"].to_numpy(np.int64).view(np.uint64))
 
 
