@@ -15,8 +15,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", l
     with a third of all edges is pre-aggregated before the shuffle), follows the pointers
     twice, and contracts the edges to the new roots. Every node but the local minima vanishes,
     so the number of nodes at least halves and the rounds grow with the logarithm of the
-    largest component. The smallest node of a component never hooks, so it ends as the root. Rounds are written to the shared folder; nothing is collected but the
-    count of edges left.
+    largest component. The smallest node of a component never hooks, so it ends as the root. Rounds are
+    written to the shared folder, and all but the result deleted; nothing is collected.
 
     Null endpoints and self loops: a self loop yields its node as its own component; edges
     with a null end are ignored. Repeated edges have no effect. No edges: an empty result.
@@ -47,4 +47,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", l
         current, current_path, mapping_path = following, following_path, new_mapping_path
     else:
         raise RuntimeError(f"components did not converge in {max_rounds} rounds")
+    for path in (current_path, nodes_path if mapping_path else None):
+        if path:
+            drop_scratch(spark, path)
     return mapping.select("node", F.col("root").alias("component"))
