@@ -16,6 +16,7 @@ AWKWARD = [
     (9001, None), (9002, ""), (9003, " a  b\n c \n\n d\t e "), (9004, "x" * 3000), (9005, "same words here again"), (9005, "same words here again"),
     (9006, "same words here again"), (None, "no id at all"), (9007, "don't I'll 12 345 ½ 日本語 \U0001f600 \xa0 end"), (9008, "\x1c a\x1c b\x85 c  d"),
     (9009, "Long sentence one is here, and it goes on. " * 400), (9010, "1234 5678 !!! ***"),
+    (9011, "a <|endoftext|> b<|startoftext|>c <|other|>"), (9012, "Σίσυφος ΣΑΣ \u0130stanbul e\u0301t\u00e9 \u0178 \u212b \u1fbe''s 'S don'T x\x00\x7f\x1d y\u2003z\u00b2\u00bd \u00aa" + "q" * 99),
 ]
 SCHEMA = "doc_id bigint, text string"
 
@@ -178,7 +179,6 @@ def test_packing(docs, texts, empty):
     path = P.path("word_bpe_49k.json")
     got = pack_documents(docs, path, 256).collect()
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     want = []
     for i, t in texts:
         ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
@@ -211,7 +211,7 @@ def test_span_dedup(spark, docs, empty):
 
 @pytest.mark.parametrize("clause", [0, 3, 9, 14, 25])
 def test_span_dedup_finds_every_passage_of_51_words(spark, clause):
-    from convmem.llm.spans import runs, span_dedup
+    from convmem.llm.spans import LEAST_SENTENCES, LEAST_WORDS, runs, span_dedup
 
     rng = np.random.default_rng(clause)
 
@@ -220,7 +220,7 @@ def test_span_dedup_finds_every_passage_of_51_words(spark, clause):
 
     def covered(text, passage):
         at = text.index(passage)
-        return {(h, g) for h, g, low, high in zip(*runs(text, 3, 20), strict=True) if at <= low and high <= at + len(passage) + 1}
+        return {(h, g) for h, g, _, low, high in zip(*runs(text, LEAST_SENTENCES, LEAST_WORDS), strict=True) if at <= low and high <= at + len(passage) + 1}
 
     for n in range(51, 81):
         for _ in range(20):
@@ -241,7 +241,7 @@ def test_span_dedup_finds_every_passage_of_51_words(spark, clause):
 
 
 def test_exact_dedup(docs, texts, empty):
-    from convmem.llm.exact_dedup import directory, exact_dedup, keep_first_rows
+    from convmem.llm.exact_dedup import directory, exact_dedup, keep_first_rows, owners
 
     got = exact_dedup(docs, capacity=3).collect()
     groups: dict[str, list] = {}
@@ -256,6 +256,19 @@ def test_exact_dedup(docs, texts, empty):
     assert keep_first_rows(docs, exact_dedup(docs)).count() == len(groups)
     assert exact_dedup(empty).count() == 0
     assert directory([5, 0, 0, 0], 3) == [0, 1, 2, 2] and directory([1, 1, 1, 1], 10) == [0, 0, 0, 0]
+    assert owners([0, 0, 1, 2], [5, 6, 30, 1], 10) == ([0, 2, 5], [2, 3, 1])
+
+
+def test_exact_dedup_splits_hot_buckets_and_keeps_other_columns(spark):
+    from convmem.llm.exact_dedup import exact_dedup, keep_first_rows
+
+    rows = [(i if i % 50 else None, "hot" if i % 3 else f"own {i}") for i in range(900)]
+    frame = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "doc_id AS _key", "text AS keep_id")
+    got = exact_dedup(frame, capacity=20).collect()
+    assert len(got) == 900 and {r["group_size"] for r in got if r["keep_id"] == 899} == {600}
+    assert sum(r["kept"] for r in got) == 301 and next(r["keep_id"] for r in got if r["group_size"] == 600) == 899
+    kept = keep_first_rows(frame, exact_dedup(frame))
+    assert kept.columns == frame.columns and kept.count() == 301 and kept.select("text").distinct().count() == 301
 
 
 def test_sharding(docs, texts, empty):
@@ -299,6 +312,64 @@ def test_url_filter(spark):
     assert judge_urls(spark.createDataFrame([], "page_id bigint, url string, html string"), RULES).count() == 0
 
 
+def test_url_filter_against_union_find(spark):
+    from convmem.llm.url_filter import judge_urls
+
+    rng = np.random.default_rng(9)
+    hosts, verdict = ["a.io", "www.a.io", "m.b.io", "b.io", "x.example.com", "shop.net", "c.org"], {}
+    urls = [f"http{'s' * int(rng.integers(2))}://{hosts[rng.integers(7)]}/{['en', 'de', 'es', 'q'][rng.integers(4)]}/{rng.integers(30)}{['', '/', '.html', '?ref=x', '?page=2', '#top'][rng.integers(6)]}" for _ in range(400)]
+    redirects = [(urls[a], urls[b]) for a, b in rng.integers(0, 400, (60, 2)).tolist()] + [(urls[1], "http://elsewhere.net/de/1"), (None, urls[3]), (urls[4], None)]
+
+    def parts(u):
+        host, path = re.match("(?:https?://)([^/?#]*)([^?#]*)", u).groups()
+        query = re.match(r"[^?#]*\??([^#]*)", u)[1]
+        return host.lower(), path, query
+
+    def ruled(u):
+        host, path, _ = parts(u)
+        fit = [(len(h + p), v) for v, h, p in RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fit)[1] if fit else None
+
+    def forms(u):
+        host, path, query = parts(u)
+        bare = re.sub(r"^(www|m)\.", "", host) + re.sub(r"(\.html?)?/*$", "", path)
+        return host + path + "?" * bool(query) + query, bare + ("?" + query if query and not query.startswith("ref=") else "")
+
+    parent: dict[str, str] = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    links = [(a, b) for a, b in redirects if a and b]
+    for u in {*urls, *(u for pair in links for u in pair)}:
+        parent[root(forms(u)[0])] = root(forms(u)[1])
+    for a, b in links:
+        parent[root(forms(a)[0])] = root(forms(b)[0])
+    for u in [*urls, *(b for _, b in links)]:
+        if v := ruled(u):
+            verdict.setdefault(root(forms(u)[0]), set()).add(v)
+    spread = [ruled(u) or ("allow" if "allow" in verdict.get(root(forms(u)[0]), {"allow"}) else "block") for u in urls]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string").selectExpr("*", "cast(null as string) AS html", "'h' AS host", "1 AS _id")
+    got = {r["page_id"]: r for r in judge_urls(pages, RULES, spark.createDataFrame(redirects, "url string, target string")).collect()}
+    assert [got[i]["verdict"] for i in range(400)] == spread and sum(ruled(u) is None and v == "block" for u, v in zip(urls, spread, strict=True)) > 20
+    same = {}
+    for i, u in enumerate(urls):
+        same.setdefault(root(forms(u)[0]), set()).add(got[i]["alias_root"])
+    assert all(len(r) == 1 for r in same.values()) and len(set.union(*same.values())) == len(same)
+
+
+def test_language_sample_counts_texts_once(spark):
+    from convmem.llm.language_id import fit
+
+    rows = [("en", "the same text again and again")] * 500 + [("en", f"the house number {i} is there") for i in range(50)] + [("de", f"das haus nummer {i} ist dort") for i in range(50)]
+    model = fit(spark.createDataFrame(rows, "lang string, text string").selectExpr("*", "1 AS _key", "'x' AS _text"), "text", "lang")
+    assert model.languages == ("de", "en") and model.predict("the house is there")[0] == "en" and model.predict("das haus ist dort")[0] == "de"
+    # Grams of the copied text alone are in 1 of 51 texts, not in most: those of the others are as common as ever.
+    assert fit(spark.createDataFrame(rows, "lang string, text string"), "text", "lang", grams_per_language=20).predict("the house")[0] == "en"
+
+
 def _components(texts, k, percent):
     sets: dict[frozenset, list] = {}
     out = []
@@ -350,16 +421,43 @@ def test_near_dedup(spark, docs, texts, empty, k, percent, leaf):
 
 def test_near_dedup_compares_all_pairs_of_large_nodes(spark):
     from convmem.llm import near_dedup as nd
+    from convmem.plans.scratch import ScratchTables
 
-    signed = spark.createDataFrame([(i, bytes(4 * nd.COORDINATES)) for i in range(60)], "_id bigint, _sig binary")
-    nodes, oversize = nd.leaves(signed, 85, 20)
+    reps = spark.createDataFrame([(i, 10, bytes(4 * nd.COORDINATES)) for i in range(60)], "_id bigint, _len bigint, _sig binary")
+    tables = ScratchTables()
+    small, large = nd.first_nodes(reps, 20, tables)
+    assert small.isEmpty() and large.count() == 60 * nd.TREES
+    assert max(r["count"] for r in nd.blocks(large, 20).groupBy("_node").count().collect()) < 40
     linked = spark.createDataFrame([(i, 0) for i in range(20)], "node bigint, component bigint")
     groups: dict[int, list] = {}
-    for r in nodes.unionByName(nd.crossings(oversize, linked, 20)).collect():
+    for r in nd.branches(large, linked, reps, 85, 20, tables).collect():
         groups.setdefault(r["_node"], []).append(r["_id"])
     met = {(a, b) for ids in groups.values() for a in ids for b in ids if a < b}
     assert met >= {(a, b) for b in range(20, 60) for a in range(b)}
     assert max(map(len, groups.values())) < 60
+    settled = spark.createDataFrame([(i, 0) for i in range(60)], "node bigint, component bigint")
+    assert nd.branches(large, settled, reps, 85, 20, tables) is None
+
+
+def test_near_dedup_of_a_group_above_the_shipped_leaf(spark):
+    """1,500 documents at about 0.75 of each other, 200 of them with a near copy: every planted pair, and
+    nothing else, is linked, as brute force says."""
+    from convmem.llm.near_dedup import LEAF, near_dedup
+
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(1500):
+        own = list(base)
+        for at in rng.choice(150, 8, replace=False):
+            own[at] = f"z{i}x{at}"
+        rows.append((i, " ".join(own)))
+        if i < 200:
+            own[int(rng.integers(150))] = f"y{i}"
+            rows.append((10_000 + i, " ".join(own)))
+    assert len(rows) > LEAF
+    got = near_dedup(spark.createDataFrame(rows, SCHEMA), k=3, percent=85).collect()
+    assert sorted(tuple(r)[:3] for r in got) == sorted(_components(rows, 3, 85))
 
 
 def test_pipeline_stages(spark):
@@ -375,3 +473,28 @@ def test_pipeline_stages(spark):
     assert docs.count() <= distinct
     packed = cp.STAGES[-1][1](spark, docs, SF)
     assert packed.select("doc_id").distinct().count() == docs.count()
+
+
+def test_pipeline_stages_on_awkward_rows(spark):
+    import corpus_pipeline as cp
+
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    rows = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    odd = spark.createDataFrame([(i, t, None, None, None) for i, t in AWKWARD], schema)
+    docs = rows.select("doc_id", "text", "lang", "source", rows["n_chars"].cast("bigint").alias("n_chars")).unionByName(odd)
+    docs = docs.selectExpr("*", "1 AS _p", "'x' AS _key", "2 AS _id", "3 AS removed").cache()
+    none = docs.limit(0)
+    kept = {}
+    for name, stage in cp.STAGES[:-1]:
+        kept[name] = stage(spark, docs, SF).cache()
+        assert kept[name].columns == cp.COLUMNS, name
+        assert stage(spark, none, SF).isEmpty(), name
+    texts = {name: Counter((r["doc_id"], r["text"]) for r in df.collect()) for name, df in kept.items()}
+    assert not any(t is None or not re.search(r"[^\W\d_]", t) for _, t in texts["language"]) and (None, "no id at all") in texts["language"]
+    assert texts["exact copies"][9006, "same words here again"] == 1 and texts["exact copies"][9005, "same words here again"] == 0
+    assert (9002, "") in texts["exact copies"] and (9001, None) not in texts["exact copies"]
+    assert texts["near copies"][9005, "same words here again"] == 2 and texts["near copies"][9006, "same words here again"] == 0
+    assert texts["near copies"][9001, None] == texts["near copies"][9002, ""] == texts["near copies"][None, "no id at all"] == 1
+    assert sum(texts["repeated passages"].values()) == docs.count() and texts["repeated passages"][9005, "same words here again"] == 2
+    packed = cp.STAGES[-1][1](spark, docs, SF)
+    assert packed.where("start = 0").count() == docs.count() and cp.STAGES[-1][1](spark, none, SF).isEmpty()
