@@ -30,8 +30,13 @@ def base_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     t = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
     t = t.withColumn("_w", F.filter(F.split("_t", _SPLIT), lambda w: w != "")).withColumn("n_words", F.size("_w").cast("bigint"))
-    windows = F.when(F.col("n_words") >= 3, F.transform(F.sequence(F.lit(0), F.col("n_words").cast("int") - 3), lambda i: F.struct(F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2)).alias("h"), i.alias("i"))))
-    t = t.withColumn("_s", F.array_sort(F.coalesce(windows, F.array().cast("array<struct<h: bigint, i: int>>"))))
+    # Each word is hashed once; a window is the hash of three of these.
+    t = t.withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w)))
+    later = lambda k: F.slice("_h", F.lit(k), F.greatest(F.size("_h") - (k - 1), F.lit(0)))
+    pairs = F.zip_with("_h", later(2), lambda a, b: F.xxhash64(a, b))
+    threes = F.zip_with(pairs, later(3), lambda p, c: F.xxhash64(p, c))
+    windows = F.transform(F.slice(threes, F.lit(1), F.greatest(F.size("_h") - 2, F.lit(0))), lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+    t = t.withColumn("_s", F.sort_array(windows))
     same = lambda x, i: F.coalesce((F.get("_s", i - 1)["h"] == x["h"]) | (F.get("_s", i + 1)["h"] == x["h"]), F.get("_s", i - 1)["h"] == x["h"], F.get("_s", i + 1)["h"] == x["h"], F.lit(False))
     t = t.withColumn("_p", F.sort_array(F.transform(F.filter("_s", same), lambda x: x["i"])))
     covered = F.aggregate(
