@@ -24,7 +24,7 @@ TASK_ITEMS = 200_000
 NEARLY_FULL = 8
 #: Words, and pieces, of a generation that a task remembers, and the longest of them in characters:
 #: two generations of short strings bound the bytes.
-_REMEMBERED, _SHORT = 150_000, 32
+_REMEMBERED, _SHORT = 90_000, 32
 #: Latin text: what the pattern below covers. Its letters keep to this range in lower case, have no
 #: decomposition to undo, and are letters or numbers in every version of Unicode.
 _OTHER = re.compile("[^\x00-\u012f\u0131-\u017f]")
@@ -110,11 +110,14 @@ class TextEncoder:
             found = list(map(self.words.__getitem__, words.dictionary.to_pylist()))
         finally:
             gc.enable()
-        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        pool, start = np.frombuffer(b"".join(found), "<u4"), np.cumsum(size) - size
+        # Positions within a batch fit 32 bits, as batches are bounded by bytes.
+        size = np.fromiter(map(len, found), np.int32, len(found)) // 4
+        pool, start = np.frombuffer(b"".join(found), "<u4"), np.cumsum(size, dtype=np.int32) - size
         at = words.indices.to_numpy()
-        ends = np.append(0, np.cumsum(size[at]))
-        ids = pool[np.repeat(start[at] - ends[:-1], size[at]) + np.arange(ends[-1])]
+        ends = np.append(np.int32(0), np.cumsum(size[at], dtype=np.int32))
+        place = np.repeat(start[at] - ends[:-1], size[at])
+        place += np.arange(ends[-1], dtype=np.int32)
+        ids = pool[place]
         bounds = ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
         out = [ids[low:high].tobytes() for low, high in zip(bounds, bounds[1:])]
         for i in np.flatnonzero(whole.to_numpy(zero_copy_only=False)):
