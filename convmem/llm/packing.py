@@ -90,10 +90,11 @@ class TextEncoder:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _word(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha():
+            low = word.lower()
+            return self._piece(low) if low == word else self.pieces[low]
         if _OTHER.search(word):
             return b"".join([np.array([t.id for t in self.model.tokenize(own)], "<u4").tobytes() for own, _ in self.split(self.normalize(word))])
-        if word.isalpha():
-            return self.pieces[word.lower()]
         return b"".join(map(self.pieces.__getitem__, _PIECES.findall(word.lower())))
 
     def encode(self, texts: pa.Array) -> list[bytes]:

@@ -13,6 +13,7 @@ import struct
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -134,8 +135,8 @@ def _folder(options: dict) -> tuple[fs.FileSystem, str]:
 class _Open:
     """A shard that a task is writing."""
 
-    def __init__(self, store: fs.FileSystem, folder: str, part: int, number: int, width: int):
-        self.store, self.width, self.part, self.number = store, width, part, number
+    def __init__(self, store: fs.FileSystem, folder: str, part: int, number: int):
+        self.store, self.part, self.number = store, part, number
         self.name = f"part-{part:05}-{number:04}-{uuid.uuid4().hex}"
         self.path = posixpath.join(folder, self.name)
         self.out = store.open_output_stream(self.path + ".ids")
@@ -144,16 +145,14 @@ class _Open:
         self.docs = self.ids = self.nulls = 0
         self.last: int | None = None
 
-    def add(self, keys: np.ndarray, nulls: int, sizes: np.ndarray, data: np.ndarray) -> None:
-        if len(data) and self.width == 2 and int(data.max()) > 0xFFFF:
-            raise ValueError("ids beyond 65,535 need width=4")
+    def add(self, keys: np.ndarray, nulls: int, sizes: np.ndarray, data: bytes) -> None:
         if (np.diff(keys, prepend=self.last if self.last is not None else keys[:1]) < 0).any() or (nulls and self.last is not None):
             raise ValueError("token files must be written in ascending order of doc_id")
         self.last = int(keys[-1]) if len(keys) else self.last
-        self.out.write(data.astype(f"<u{self.width}").tobytes())
+        self.out.write(data)
         self.sizes.append(sizes)
         self.keys.append(keys)
-        self.docs, self.ids, self.nulls = self.docs + len(sizes), self.ids + len(data), self.nulls + nulls
+        self.docs, self.ids, self.nulls = self.docs + len(sizes), self.ids + int(sizes.sum()), self.nulls + nulls
 
     def close(self) -> Shard:
         self.out.close()
@@ -165,7 +164,8 @@ class _Open:
 
 
 class TokenIdWriter(DataSourceArrowWriter):
-    """Rows (doc_id, ids) that come in ascending order within and across partitions. Each attempt of a task
+    """Rows (doc_id, ids) that come in ascending order within and across partitions, ids as little-endian
+    integers of `width` bytes. Each attempt of a task
     writes files of its own; those of committed attempts are named by the manifest, the only file
     that readers start from."""
 
@@ -180,15 +180,15 @@ class TokenIdWriter(DataSourceArrowWriter):
         part, done, own = TaskContext.get().partitionId(), [], None
         for batch in iterator:
             keys, ids = batch.column("doc_id"), batch.column("ids")
-            sizes = np.array([x.as_buffer().size // 4 for x in ids], np.int64)
+            sizes = np.array([x.as_buffer().size // self.width for x in ids], np.int64)
             low = 0
             while low < batch.num_rows:
-                own = own or _Open(store, folder, part, len(done), self.width)
+                own = own or _Open(store, folder, part, len(done))
                 room = np.searchsorted(np.cumsum(sizes[low:]), self.most_ids - own.ids, "right")
                 high = min(batch.num_rows, low + max(int(room), own.docs == 0), low + self.most_docs - own.docs)
                 if high > low:
                     part_keys = keys.slice(low, high - low)
-                    data = np.frombuffer(b"".join([x.as_buffer().to_pybytes() for x in ids.slice(low, high - low)]), "<u4")
+                    data = b"".join([x.as_buffer().to_pybytes() for x in ids.slice(low, high - low)])
                     own.add(part_keys.drop_null().to_numpy(zero_copy_only=False).astype(np.int64), part_keys.null_count, sizes[low:high], data)
                 if high < batch.num_rows:
                     done.append(own.close())
@@ -283,13 +283,26 @@ class TokenIds(DataSource):
         return TokenIdReader(dict(self.options))
 
 
-def _encode(path: str, end_id: int, bounds: np.ndarray):
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> TextEncoder:
+    """One for all tasks of a process; what it remembers is bounded."""
+    return TextEncoder(path)
+
+
+def _narrow(ids: bytes, width: int) -> bytes:
+    own = np.frombuffer(ids, "<u4")
+    if width == 2 and len(own) and int(own.max()) > 0xFFFF:
+        raise ValueError("ids beyond 65,535 need 4 bytes")
+    return own.astype(f"<u{width}").tobytes()
+
+
+def _encode(path: str, end_id: int, bounds: np.ndarray, width: int):
     """Adds each text's ids and the range of doc_ids that it falls into. Rows of an id that fills
     several ranges are dealt to all of them in turn."""
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, turn = TextEncoder(path), 0
+        encoder, turn = _encoder(path), 0
         for batch in batches:
             for low in range(0, batch.num_rows, 1_000):
                 part = batch.slice(low, 1_000)
@@ -298,7 +311,7 @@ def _encode(path: str, end_id: int, bounds: np.ndarray):
                 first, last = np.searchsorted(bounds, keys, "left"), np.searchsorted(bounds, keys, "right")
                 place = np.where(null, 0, first + (turn + np.arange(len(keys))) % (last - first + 1))
                 turn += len(keys)
-                ids = pa.array([x + end for x in encoder.encode(part.column("_text"))], pa.binary())
+                ids = pa.array([_narrow(x + end, width) for x in encoder.encode(part.column("_text"))], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, pa.array(place, pa.int32())], names=["doc_id", "ids", "_place"])
 
     return run
@@ -322,7 +335,7 @@ def write_token_ids(docs: DataFrame, tokenizer_path: str, path: str, end_id: int
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     shares = [i / parts for i in range(1, parts)]
     cuts = rows.agg(F.percentile_approx("doc_id", shares, 100 * parts)).first()[0] if shares else []
-    run = released(_encode(tokenizer_path, end_id, np.array(cuts or [], np.int64)))
+    run = released(_encode(tokenizer_path, end_id, np.array(cuts or [], np.int64), id_bytes))
     dealt = rows.mapInArrow(run, "doc_id bigint, ids binary, _place int").repartitionById(parts, F.col("_place"))
     ordered = dealt.sortWithinPartitions(F.asc_nulls_first("doc_id")).select("doc_id", "ids")
     ordered.write.format("token_ids").option("path", path).option("width", id_bytes).mode("append").save()

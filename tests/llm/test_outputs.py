@@ -93,18 +93,18 @@ def test_token_files_split_into_shards_and_slices(spark, texts):
     from convmem.llm.token_files import TokenIds, read_token_ids
 
     spark.dataSource.register(TokenIds)
-    rows = [(i, np.arange(n, dtype="<u4").tobytes()) for i, n in enumerate([0, 5, 90, 1, 40, 0, 0, 300, 2] * 30)]
+    rows = [(i, np.arange(n, dtype="<u2").tobytes()) for i, n in enumerate([0, 5, 90, 1, 40, 0, 0, 300, 2] * 30)]
     where = tempfile.mkdtemp(prefix="spark-ids-")
     frame = spark.createDataFrame(rows, "doc_id bigint, ids binary").repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id")
     frame.write.format("token_ids").option("path", where).option("width", 2).option("shard_ids", 500).mode("append").save()
     with open(f"{where}/manifest.json") as f:
         shards = json.load(f)["shards"]
-    assert len(shards) > 20 and all(s["ids"] <= 500 or s["docs"] == 1 for s in shards) and sum(os.path.getsize(f"{where}/{s['name']}.ids") for s in shards) == sum(len(r[1]) for r in rows) // 2
+    assert len(shards) > 20 and all(s["ids"] <= 500 or s["docs"] == 1 for s in shards) and sum(os.path.getsize(f"{where}/{s['name']}.ids") for s in shards) == sum(len(r[1]) for r in rows)
     back = read_token_ids(spark, where, read_ids=100)
     assert back.rdd.getNumPartitions() > len(shards)
-    assert sorted((r["doc_id"], bytes(r["ids"])) for r in back.collect()) == rows
+    assert sorted((r["doc_id"], np.frombuffer(r["ids"], "<u4").astype("<u2").tobytes()) for r in back.collect()) == rows
     with pytest.raises(Exception, match="ascending"):
-        frame.orderBy(frame["doc_id"].desc()).write.format("token_ids").option("path", tempfile.mkdtemp(prefix="spark-ids-")).mode("append").save()
+        frame.orderBy(frame["doc_id"].desc()).write.format("token_ids").option("path", tempfile.mkdtemp(prefix="spark-ids-")).option("width", 2).mode("append").save()
 
 
 def test_checksums_of_windows():
