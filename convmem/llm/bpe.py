@@ -10,6 +10,7 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -18,7 +19,9 @@ from convmem.plans.scratch import scratch
 #: Characters of a chunk, and of the overlap in which neighbouring chunks must resynchronise.
 CHUNK, OVERLAP = 65_536, 1_024
 _DIGESTS = ["n_tokens", "ids_sha256", "decoded_sha256"]
-_CACHE = 150_000
+#: Words that a process remembers, the longest of them in characters, and the characters that are
+#: encoded at once: together they bound its memory.
+_CACHE, _SHORT, _AT_ONCE = 150_000, 48, 1 << 20
 #: Slots of the table of mergeable pairs (a power of two), and the id of a pair without one.
 _SLOTS, _NONE = 21, 1 << 40
 #: Bytes from which a piece is merged with a heap.
@@ -195,6 +198,9 @@ class Encoder:
         for words in split:
             joined = ",".join(map(ids, words))
             out.append((joined, joined.count(",") + bool(joined), b"".join(map(decoded, words))))
+        for word in new:
+            if len(word) > _SHORT:
+                del self.known_ids[word], self.known_bytes[word]
         return out
 
 
@@ -207,12 +213,22 @@ def _digests(ids: str, n: int, decoded: bytes) -> tuple[int, str, str]:
     return n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
 
+def _slices(batch: pa.RecordBatch, column: str, rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most `rows` rows and, but for a single longer text, _AT_ONCE characters."""
+    size = np.cumsum(pc.utf8_length(batch.column(column)).to_numpy())
+    low = 0
+    while low < batch.num_rows:
+        most = np.searchsorted(size, (size[low - 1] if low else 0) + _AT_ONCE, "right")
+        high = min(low + rows, max(low + 1, int(most)))
+        yield batch.slice(low, high - low)
+        low = high
+
+
 def _whole(path: str, pattern_text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, pattern_text)
         for batch in batches:
-            for low in range(0, batch.num_rows, 512):
-                part = batch.slice(low, 512)
+            for part in _slices(batch, "_text"):
                 out = list(zip(*(_digests(*e) for e in own.encode(part.column("_text").to_pylist())), strict=True))
                 yield pa.RecordBatch.from_arrays([part.column("_copies"), part.column("_id"), pa.array(out[0], pa.int64()), pa.array(out[1]), pa.array(out[2])], names=["_copies", "_id", *_DIGESTS])
 
