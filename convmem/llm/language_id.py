@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from convmem.llm.batches import released
 from convmem.plans.scratch import scratch
 
 ORDERS = (3, 4)
 #: The filter has 2 ** SLOTS_LOG2 words, one bit per language, and two hashes of a gram.
 SLOTS_LOG2 = 19
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 #: For each character of the basic plane its lower-case letter, or a blank.
 _FOLD = np.array([ord(c.lower()) if c.isalpha() and len(c.lower()) == 1 else ord(c) if c.isalpha() else 32 for c in map(chr, range(0x10000))], np.uint64)
 
@@ -26,7 +28,7 @@ def grams(text: str) -> np.ndarray:
     case, everything between words as one blank. Characters beyond the basic plane share one."""
     x = _FOLD[np.minimum(np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), np.uint32), 0xFFFF)]
     x = x[np.append(True, (x[1:] != 32) | (x[:-1] != 32))]
-    if len(x) < 4:
+    if len(x) < 3:
         return np.empty(0, np.uint64)
     three = x[:-2] | (x[1:-1] << np.uint64(16)) | (x[2:] << np.uint64(32))
     return np.concatenate([three, three[:-1] | (x[3:] << np.uint64(48))])
@@ -135,6 +137,20 @@ def predictions(model: LanguageFilter, text: Column) -> Column:
     return predict(text)
 
 
+def with_language(docs: DataFrame, model: LanguageFilter, text_col: str, lang_col: str) -> DataFrame:
+    """The rows whose language can be told; a null language is filled in. Each text is judged once, in the
+    task that drops or keeps its row. All columns are kept."""
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array([model.predict(t)[0] for t in batch.column(text_col).to_pylist()], pa.string())
+            filled = [pc.coalesce(c.cast(pa.string()), found) if n == lang_col else c for n, c in zip(names, batch.columns, strict=True)]
+            yield pa.RecordBatch.from_arrays(filled, names=names).filter(pc.not_equal(found, "und"))
+
+    return docs.mapInArrow(released(run), docs.schema)
+
+
 def held_out(id_col: str) -> Column:
     """Rows whose CRC-32 of the id as text is a multiple of five are never learned from."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))

@@ -490,7 +490,7 @@ def test_pipeline_stages_on_awkward_rows(spark):
         assert kept[name].columns == cp.COLUMNS, name
         assert stage(spark, none, SF).isEmpty(), name
     texts = {name: Counter((r["doc_id"], r["text"]) for r in df.collect()) for name, df in kept.items()}
-    assert not any(t is None or not re.search(r"[^\W\d_]", t) for _, t in texts["language"]) and (None, "no id at all") in texts["language"]
+    assert not any(t is None or not any(map(str.isalpha, t)) for _, t in texts["language"]) and (None, "no id at all") in texts["language"]
     assert texts["exact copies"][9006, "same words here again"] == 1 and texts["exact copies"][9005, "same words here again"] == 0
     assert (9002, "") in texts["exact copies"] and (9001, None) not in texts["exact copies"]
     assert texts["near copies"][9005, "same words here again"] == 2 and texts["near copies"][9006, "same words here again"] == 0
