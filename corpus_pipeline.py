@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from convmem.llm.batches import bound_batches
 from convmem.llm.exact_dedup import exact_dedup, keep_first_rows
-from convmem.llm.language_id import fit, predictions
+from convmem.llm.language_id import fit, with_language
 from convmem.llm.near_dedup import near_dedup
 from convmem.llm.packing import pack_documents
 from convmem.llm.spans import span_dedup
@@ -30,8 +30,7 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     first by name). Repeated rows are judged alike."""
     bound_batches(spark)
     docs = docs.select(*COLUMNS)
-    judged = docs.withColumn("_p", predictions(fit(docs, "text", "lang"), F.col("text"))).where("_p.lang_pred <> 'und'")
-    return judged.withColumn("lang", F.coalesce("lang", "_p.lang_pred")).select(*COLUMNS)
+    return with_language(docs, fit(docs, "text", "lang"), "text", "lang")
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
