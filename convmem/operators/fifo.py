@@ -7,7 +7,9 @@ follows from a position and a count.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from convmem.plans.running import Running, running
 
 KEY = ["scope", "episode"]
 
@@ -15,8 +17,8 @@ KEY = ["scope", "episode"]
 def eviction_schedule(events: DataFrame, capacity: int = 12, batch: int = 6, key: list[str] | None = None) -> DataFrame:
     """Adds position, eviction (its number), fired_at (the arrival's position) and evicted."""
     key = key or KEY
-    w = Window.partitionBy(*key)
-    out = events.withColumns({"position": F.row_number().over(w.orderBy("seq")), "_n": F.count("*").over(w)})
+    out = running(events, key, ["seq"], position=Running("count", F.lit(1), inclusive=True), _n=Running("total", F.lit(1)))
+    out = out.withColumn("position", F.col("position").cast("int"))
     out = out.withColumn("eviction", (F.floor((F.col("position") - 1) / batch) + 1).cast("int"))
     out = out.withColumn("fired_at", (capacity + 1 + (F.col("eviction") - 1) * batch).cast("int"))
     return out.withColumn("evicted", F.col("fired_at") <= F.col("_n")).drop("_n")

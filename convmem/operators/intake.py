@@ -9,6 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from convmem.plans.joins import own_names
+from convmem.plans.running import Running, running, whole_number
+
 ROLES = ("user", "assistant", "system", "unknown")
 MEDIA = ("none", "described", "unreadable")
 #: Zone suffix of an ISO-8601 time: Z or an offset.
@@ -82,8 +85,13 @@ def time_regressions(messages: DataFrame, time: str = "t") -> DataFrame:
 
 def sequence_errors(messages: DataFrame, sequence: str, order: str) -> DataFrame:
     """Messages whose sequence number does not exceed all earlier ones of their scope."""
-    highest = F.max(sequence).over(_before(["scope"], order))
-    return messages.withColumn("highest_before", highest).where(F.col(sequence) <= F.col("highest_before"))
+    number = whole_number(messages, sequence)
+    if number is None:  # no integers: the window's plan at any size
+        ranked = messages.withColumn("highest_before", F.max(sequence).over(_before(["scope"], order)))
+    else:
+        ranked = running(messages, ["scope"], [order], highest_before=Running("max", number))
+        number = whole_number(ranked, sequence)
+    return ranked.where((F.col(sequence) if number is None else number) <= F.col("highest_before"))
 
 
 def archive_class(text: Column, media: Column, limit: int = 1024) -> Column:
@@ -101,15 +109,21 @@ def late_rows(messages: DataFrame, time: str, arrival: list[str], archived: Colu
     are not judged.
     """
     put_away = F.coalesce(archived, F.lit(False)) if archived is not None else F.lit(False)
-    w = Window.partitionBy("scope").orderBy(*arrival).rowsBetween(Window.unboundedPreceding, -1)
-    clock = F.max(F.when(~put_away, F.col(time))).over(w)
-    return messages.withColumn("late", ~put_away & F.coalesce(F.col(time) < clock, F.lit(False)))
+    judged, clock, at = own_names(messages.columns, "away", "clock", "at")
+    number = whole_number(messages, time)
+    marked = messages.withColumn(judged, put_away).withColumn(at, F.col(time) if number is None else number)
+    value = F.when(~F.col(judged), F.col(at))
+    if number is None:
+        w = Window.partitionBy("scope").orderBy(*arrival).rowsBetween(Window.unboundedPreceding, -1)
+        marked = marked.withColumn(clock, F.max(value).over(w))
+    else:
+        marked = running(marked, ["scope"], arrival, **{clock: Running("max", value)})
+    return marked.withColumn("late", ~F.col(judged) & F.coalesce(F.col(at) < F.col(clock), F.lit(False))).drop(judged, clock, at)
 
 
 def over_quota(messages: DataFrame, max_rows: int = 50_000, max_bytes: int = 268_435_456, order: str = "seq") -> DataFrame:
     """Adds rows_so_far, bytes_so_far (UTF-8) and over_quota for each scope in arrival order."""
-    w = Window.partitionBy("scope").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    out = messages.withColumns({"rows_so_far": F.count("*").over(w), "bytes_so_far": F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(w)})
+    out = running(messages, ["scope"], [order], rows_so_far=Running("count", F.lit(1), inclusive=True), bytes_so_far=Running("sum", F.octet_length("text"), inclusive=True))
     return out.withColumn("over_quota", (F.col("rows_so_far") > max_rows) | (F.col("bytes_so_far") > max_bytes))
 
 

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from convmem.operators.graph import normalize
+from convmem.plans.running import Running, running
 
 ARMS = ("raw_retrieval", "raw_window_retrieval", "formed_retrieval", "formed_multiquery", "graph_expansion", "attention_diffusion")
 RELATIONS = ("CAUSAL", "SIMILARITY", "OPPOSITION")
@@ -73,9 +74,8 @@ def window_views(events: DataFrame, radius: int = 2, characters: int = 512) -> D
     Neighbours are found by exploding each event to the 2 * radius positions it serves, an
     equi-join on (scope, position) instead of a range join.
     """
-    w = Window.partitionBy("scope").orderBy("seq")
     line = F.concat(F.col("speaker"), F.lit(" "), F.col("t").cast("string"), F.lit("："), F.col("text"))
-    e = events.withColumns({"_pos": F.row_number().over(w), "_line": line}).select("scope", "id", "reply_to", "_pos", "_line")
+    e = running(events, ["scope"], ["seq"], _pos=Running("count", F.lit(1), inclusive=True)).withColumn("_line", line).select("scope", "id", "reply_to", "_pos", "_line")
     here = e.select("scope", F.col("id").alias("anchor"), F.lit(0).alias("_prio"), "_pos", "id", "_line")
     near = e.select("scope", F.explode(F.sequence(F.col("_pos") - radius, F.col("_pos") + radius)).alias("_at"), "_pos", "id", "_line")
     around = e.select("scope", F.col("id").alias("anchor"), F.col("_pos").alias("_at")).join(near, ["scope", "_at"]).where(F.col("anchor") != F.col("id")).select("scope", "anchor", F.lit(2).alias("_prio"), "_pos", "id", "_line")

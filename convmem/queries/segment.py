@@ -11,7 +11,7 @@ from convmem.functions import hooks
 from convmem.functions.text import bigrams, clean_text
 from convmem.operators import context, fifo, intake, segment
 from convmem.plans.scratch import shared_dir
-from convmem.streaming import jobs
+from convmem.streaming import jobs, topics
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -241,10 +241,10 @@ def ctx_1(spark, sf):
     return context.state_violations(_state(spark, sf)).select("qid", F.array_join("violations", ",").alias("violations"))
 
 
-@query("ctx_2_past_only", f"WITH {_STATE}, a AS (SELECT qid, scope, min(t) AS f FROM st GROUP BY ALL), z AS (SELECT scope, max(t) AS l FROM f_msg WHERE conv_id % 3 <> 0 AND conv_id < 60 GROUP BY scope) SELECT qid, coalesce(l < f, true) AS past_only FROM a LEFT JOIN z ON z.scope = a.scope")
+@query("ctx_2_past_only", f"WITH {_STATE}, a AS (SELECT qid, scope, min(t) AS f FROM st GROUP BY ALL), z AS (SELECT scope, max(t) AS l FROM f_msg WHERE conv_id % 3 <> 0 GROUP BY scope) SELECT qid, coalesce(l < f, true) AS past_only FROM a LEFT JOIN z ON z.scope = a.scope")
 def ctx_2(spark, sf):
     """Whether the log lies before the state."""
-    return context.past_only(_state(spark, sf), _msg(spark, sf).where("conv_id % 3 <> 0 AND conv_id < 60"))
+    return context.past_only(_state(spark, sf), _msg(spark, sf).where("conv_id % 3 <> 0"))
 
 
 @query("ctx_3_cues", f"""WITH {_STATE}, l AS (SELECT qid, arg_max(text, pos) AS text, max(focus) AS focus FROM st GROUP BY qid)
@@ -314,7 +314,7 @@ def ctx_10(spark, sf):
     return context.pack_context(states, memories, 200).select("qid", F.array_join("ids", ",").alias("ids"), "used", "over_state")
 
 
-def _run(spark, rows: DataFrame, job, name: str, parts: int = 3) -> DataFrame:
+def _run(spark, rows: DataFrame, job, name: str, parts: int = 3, schema: str = jobs.MESSAGE) -> DataFrame:
     """What a stream puts out over rows that arrive in `parts` steps. Two steps are there when it first
     runs, one a micro-batch; the last is read after a restart from the checkpoint."""
     base = f"{shared_dir(spark)}/convmem-{name}-{uuid.uuid4().hex}"
@@ -325,7 +325,7 @@ def _run(spark, rows: DataFrame, job, name: str, parts: int = 3) -> DataFrame:
     for i in range(parts):
         rows.where(step == i).repartition(files, "scope").write.mode("append").json(f"{base}/in")
         if i >= parts - 2:
-            out = jobs.collect_now(job(jobs.message_stream(spark, f"{base}/in", files_per_batch=files)), name, base)
+            out = jobs.collect_now(job(jobs.message_stream(spark, f"{base}/in", schema, files_per_batch=files)), name, base)
     return out
 
 
@@ -354,11 +354,27 @@ def str_3(spark, sf):
     return _run(spark, r, jobs.late_stream, "late")
 
 
-@query("str_4_lifecycle", _LIFE + " , g AS (SELECT scope, topic, min(f) AS first_t, max(l) AS last_t, max(k) AS n FROM w GROUP BY ALL) SELECT g.scope, CAST(g.topic AS BIGINT) AS topic, first_t, last_t, CAST(g.n AS BIGINT) AS n, x.why AS reason FROM g JOIN w x ON x.scope = g.scope AND x.topic = g.topic + 1 AND x.why IS NOT NULL", ("f_life",))
+_TOPICS = """RECURSIVE WITH e AS (SELECT scope, concat('k', event_id % 4) AS episode, event_id, t, row_number() OVER (PARTITION BY scope, event_id % 4 ORDER BY event_id) AS n FROM f_life),
+    w AS (SELECT scope, episode, n, event_id AS fid, t AS f, t AS l, 1 AS k FROM e WHERE n = 1 UNION ALL
+      SELECT o.scope, o.episode, o.n, CASE WHEN z THEN o.event_id ELSE w.fid END, CASE WHEN z THEN o.t ELSE w.f END, o.t, CASE WHEN z THEN 1 ELSE w.k + 1 END
+      FROM w JOIN e o ON o.scope = w.scope AND o.episode = w.episode AND o.n = w.n + 1, LATERAL (SELECT o.t - w.l >= 240 OR o.t - w.f >= 960 OR w.k >= 6 AS z)),
+    g AS (SELECT scope, episode, CAST(fid AS VARCHAR) AS first_id, f AS first_t, max(l) AS last_t, CAST(max(k) AS BIGINT) AS n FROM w GROUP BY scope, episode, fid, f)"""
+
+
+@query("str_4_lifecycle", _TOPICS + " SELECT *, CASE WHEN n >= 6 THEN 'count' WHEN last_t + 240 <= first_t + 960 THEN 'ttl' ELSE 'span' END AS reason FROM g", ("f_life",))
 def str_4(spark, sf):
-    """Topics that a stream closes, equal to the batch operator."""
-    r = view(spark, sf, "f_life").select("scope", F.col("event_id").cast("string").alias("id"), F.col("n").cast("bigint").alias("arrival"), "t", F.lit("").alias("speaker"), F.lit("").alias("text"), F.lit("").alias("episode"))
-    return _run(spark, r, lambda m: jobs.lifecycle_stream(m, 60, 240, 6), "lifecycle")
+    """Topics that a stream closes, several a scope, the last ones by timer."""
+    r = view(spark, sf, "f_life").select("scope", F.col("event_id").cast("string").alias("id"), F.col("event_id").cast("bigint").alias("arrival"), "t", F.lit("").alias("speaker"), F.lit("").alias("text"), F.concat(F.lit("k"), (F.col("event_id") % 4).cast("string")).alias("episode"))
+    # One row of a scope without topics moves the stream's time beyond all deadlines.
+    end = r.agg(F.lit("-").alias("scope"), F.lit(None).cast("string").alias("id"), (F.max("arrival") + 1).alias("arrival"), (F.max("t") + 2000).alias("t"), F.lit("").alias("speaker"), F.lit("tick").alias("text"), F.lit(None).cast("string").alias("episode"))
+    return _run(spark, r.unionByName(end), lambda m: topics.lifecycle_stream(m, 240, 960, 6), "lifecycle")
+
+
+@query("seg_12_stream", None)
+def seg_12_stream(spark, sf):
+    """Messages routed as they come in, equal to the batch assignment."""
+    m = _msg(spark, sf).select("scope", "seq", "id", "t", "speaker", "text", "reply_to")
+    return _run(spark, m.withColumn("arrival", F.col("t")), lambda s: topics.routing_stream(s, segment.default_route, 30_000, SPAN, MOST), "routing", schema=jobs.LIVE)
 
 
 @query("str_5_evictions", """WITH p AS (SELECT scope, episode, id, row_number() OVER (PARTITION BY scope, episode ORDER BY seq) AS position, count(*) OVER (PARTITION BY scope, episode) AS n FROM f_msg)

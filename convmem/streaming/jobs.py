@@ -1,4 +1,4 @@
-"""Structured Streaming jobs: intake, stateful dedup, late data, topic lifecycle, FIFO eviction.
+"""Structured Streaming jobs: intake, stateful dedup, late data, FIFO eviction, vector sync. Topics: see topics.py.
 
 Each stateful job keeps per-key state with applyInPandasWithState; rows of a micro-batch are put in
 arrival order within a key before they are processed, so results equal the batch operators'.
@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 MESSAGE = "scope string, id string, arrival bigint, t bigint, speaker string, text string, episode string"
+LIVE = "scope string, seq bigint, id string, t bigint, speaker string, text string, reply_to string"
 
 
 def message_stream(spark: SparkSession, path: str, schema: str = MESSAGE, form: str = "json", files_per_batch: int | None = None) -> DataFrame:
@@ -81,31 +82,6 @@ def late_stream(messages: DataFrame) -> DataFrame:
     return _stateful(messages, ["scope"], "scope string, id string, arrival bigint, late boolean", "clock bigint", step)
 
 
-def lifecycle_stream(messages: DataFrame, ttl: int = 900, span: int = 3600, most: int = 24) -> DataFrame:
-    """Closed topics (scope, topic, first_t, last_t, n, reason). A row closes the open topic if it is due;
-    control rows have the text `close` (close now) or `tick` (close if due) and a null id."""
-
-    def step(key: tuple, rows: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
-        topic, first, last, n = state or (0, 0, 0, 0)
-        closed = []
-        for ident, t, text in zip(rows["id"], rows["t"].tolist(), rows["text"], strict=True):
-            control = ident is None
-            why = None
-            if n:
-                why = "ttl" if t - last >= ttl else "span" if t - first >= span else "count" if n >= most else "close" if control and text == "close" else None
-            if why:
-                closed.append((key[0], topic, first, last, n, why))
-                n = 0
-            if control:
-                continue
-            if not n:
-                topic, first = topic + 1, t
-            last, n = t, n + 1
-        return pd.DataFrame(closed, columns=["scope", "topic", "first_t", "last_t", "n", "reason"]), (topic, first, last, n)
-
-    return _stateful(messages, ["scope"], "scope string, topic bigint, first_t bigint, last_t bigint, n bigint, reason string", "topic bigint, first bigint, last bigint, n bigint", step)
-
-
 def eviction_stream(messages: DataFrame, capacity: int = 12, batch: int = 6, horizon: int | None = None) -> DataFrame:
     """(scope, episode, eviction, ids): the oldest `batch` events of an episode whenever one more than
     `capacity` are held. State: the ids in the context, at most `capacity` of them, for ever or until
