@@ -13,7 +13,7 @@ from pyspark.sql import Column, functions as F, types as T
 #: Fixed patterns of the message format.
 FORWARDED = "[合并转发: <?xml"
 _LINK, _UNKNOWN, _REPLY = r"\[([^\]]*)\]\([^)]*\)", r"\[UNKNOWN_\d+消息\]", r"\[回复 [^:\n]*:"
-_TOKEN = r"[a-z0-9_]+|[㐀-鿿]"
+TOKEN = r"[a-z0-9_]+|[㐀-鿿]"
 
 
 @F.pandas_udf(T.StringType())
@@ -75,7 +75,7 @@ def bigrams(text: Column) -> Column:
 def tokens(text: Column) -> Column:
     """Runs of ASCII letters, digits and underscores, single CJK characters, and the concatenation
     of each neighbouring pair of these."""
-    single = F.regexp_extract_all(F.lower(text), F.lit(_TOKEN), F.lit(0))
+    single = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
     return F.concat(single, _neighbours(single))
 
 

@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
-
-from convmem.functions.text import tokens
-from convmem.plans.joins import join_checked
+import math
+import re
+from collections import Counter
+from collections.abc import Iterator
+from dataclasses import dataclass
+from operator import add
+
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from convmem.functions.text import TOKEN, tokens
 from convmem.plans.scratch import scratch
 
+#: Entries of the inverted lists that travel at once (some 50 MB), and cells of a block of scores.
+LIST_ENTRIES, _CELLS = 1_000_000, 1 << 21
+_WORDS = re.compile(TOKEN)
+
 
 def token_counts(texts: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     """(id, token, n) of each text; texts without a token have no rows."""
@@ -18,43 +31,149 @@ def _norms(counts: DataFrame, id_col: str) -> DataFrame:
     return counts.groupBy(id_col).agg(F.sqrt(F.sum(F.col("n") * F.col("n")).cast("double")).alias("norm"))
 
 
-def _counted(texts: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
-    """(id, norm, counts): each text's token counts as an array of (token, n), and their length,
-    found within the row; texts without a token are left out."""
-    ordered = texts.select(F.col(id_col), F.array_sort(tokens(F.col(text_col))).alias("_t"))
-    start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).cast("bigint").alias("run"), F.lit(0).cast("bigint").alias("sum"))
-    # The squares of the runs of equal tokens: a run that grows from r to r + 1 adds 2 r + 1.
-    def more(a, t):
-        same = F.coalesce(a["last"] == t, F.lit(False))
-        run = F.when(same, a["run"]).otherwise(F.lit(0).cast("bigint"))
-        return F.struct(t.alias("last"), (run + 1).alias("run"), (a["sum"] + 2 * run + 1).alias("sum"))
-
-    return ordered.where(F.size("_t") > 0).select(id_col, F.sqrt(F.aggregate("_t", start, more, lambda a: a["sum"]).cast("double")).alias("norm"), F.col("_t").alias("tokens"))
-
-
-def search(queries: DataFrame, texts: DataFrame, qid: str, tid: str, min_score: float = 0.05, k: int | None = None) -> DataFrame:
+@dataclass(frozen=True)
+class QueryLists:
+    """Inverted lists of a block of queries: for each token the queries that have it, with their weights (count by
+    length), and the largest of these."""
+
+    names: pa.Array
+    vocabulary: dict[str, int]
+    start: np.ndarray
+    owner: np.ndarray
+    weight: np.ndarray
+    largest: np.ndarray
+
+    @classmethod
+    def of(cls, entries: pa.Table) -> QueryLists:
+        """entries: qid, token, n, norm."""
+        entries = entries.combine_chunks().sort_by("token")
+        named, coded = entries.column("qid").combine_chunks().dictionary_encode(), entries.column("token").combine_chunks().dictionary_encode()
+        weight = entries.column("n").to_numpy() / entries.column("norm").to_numpy()
+        token = coded.indices.to_numpy()
+        largest = np.zeros(len(coded.dictionary))
+        np.maximum.at(largest, token, weight)
+        start = np.searchsorted(token, np.arange(len(largest) + 1))
+        return cls(named.dictionary, {t: i for i, t in enumerate(coded.dictionary.to_pylist())}, start, named.indices.to_numpy().astype(np.int64), weight, largest)
+
+    def weigh(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """(the text's tokens that a query has, their weights in the text)."""
+        single = _WORDS.findall(text)
+        counts = Counter(single)
+        counts.update(map(add, single, single[1:]))
+        length = math.sqrt(sum(n * n for n in counts.values()))
+        held = [(self.vocabulary[t], n / length) for t, n in counts.items() if t in self.vocabulary]
+        return np.array([t for t, _ in held], np.int64), np.array([w for _, w in held])
+
+    def scores(self, own: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The cosine of some texts (rows) with all queries (columns)."""
+        sizes = [len(t) for t, _ in own]
+        token, weight = np.concatenate([t for t, _ in own]), np.concatenate([w for _, w in own])
+        text = np.repeat(np.arange(len(own)), sizes)
+        size = self.start[token + 1] - self.start[token]
+        at = np.repeat(self.start[token] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        cells = np.repeat(text, size) * len(self.names) + self.owner[at]
+        return np.bincount(cells, np.repeat(weight, size) * self.weight[at], len(own) * len(self.names)).reshape(len(own), -1)
+
+
+class _Best:
+    """Pairs found by a task so far: with k only those that can still be among a query's k best."""
+
+    def __init__(self, queries: int, min_score: float, k: int | None, types: pa.DataType):
+        self.floor, self.k, self.types = np.full(queries, min_score), k, types
+        self.held: list[tuple[np.ndarray, pa.Array, np.ndarray]] = []
+        self.size, self.most = 0, 4 * (k or 0) * queries + 100_000
+
+    def add(self, scores: np.ndarray, ids: pa.Array) -> None:
+        text, query = np.nonzero(scores >= self.floor)
+        self.held.append((query, ids.take(pa.array(text)), scores[text, query]))
+        self.size += len(query)
+
+    def take(self) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+        query, score = (np.concatenate([h[i] for h in self.held] or [np.empty(0, kind)]) for i, kind in ((0, np.int64), (2, np.float64)))
+        ids = pa.concat_arrays([h[1] for h in self.held]) if self.held else pa.array([], self.types)
+        self.held, self.size = [], 0
+        return query, ids, score
+
+    def shrink(self) -> None:
+        """Raises each query's floor to its k-th score (ties stay; ids settle them later)."""
+        query, ids, score = self.take()
+        order = np.lexsort((-score, query))
+        query, score, ids = query[order], score[order], ids.take(pa.array(order))
+        first = np.searchsorted(query, np.arange(len(self.floor)))
+        last = np.searchsorted(query, np.arange(len(self.floor)), "right")
+        full = np.flatnonzero(last - first >= self.k)
+        self.floor[full] = np.maximum(self.floor[full], score[first[full] + self.k - 1] - 1e-9)
+        kept = score >= self.floor[query]
+        self.held, self.size = [(query[kept], ids.filter(pa.array(kept)), score[kept])], int(kept.sum())
+
+
+def _search(shared: Broadcast, qid: str, tid: str, min_score: float, k: int | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists: QueryLists = shared.value
+        best: _Best | None = None
+
+        def found() -> Iterator[pa.RecordBatch]:
+            query, ids, score = best.take()
+            for low in range(0, len(query), 50_000):
+                part = slice(low, low + 50_000)
+                yield pa.RecordBatch.from_arrays([lists.names.take(pa.array(query[part])), ids[part], pa.array(score[part])], names=[qid, tid, "score"])
+
+        for batch in batches:
+            best = best or _Best(len(lists.names), min_score, k, batch.column(tid).type)
+            step = max(1, _CELLS // len(lists.names))
+            for low in range(0, batch.num_rows, step):
+                ids, texts = batch.column(tid).slice(low, step), batch.column("_text").slice(low, step).to_pylist()
+                own = [lists.weigh(t) for t in texts]
+                # What a text can reach at most with any query; below every floor it meets none.
+                able = [i for i, (t, w) in enumerate(own) if len(t) and float(lists.largest[t] @ w) >= best.floor.min() - 1e-9]
+                if able:
+                    best.add(lists.scores([own[i] for i in able]), ids.take(pa.array(able)))
+                if k is None:
+                    yield from found()
+                elif best.size > best.most:
+                    best.shrink()
+        if best is not None and k is not None:
+            best.shrink()
+            yield from found()
+
+    return run
+
+
+def search(queries: DataFrame, texts: DataFrame, qid: str, tid: str, min_score: float = 0.05, k: int | None = None, entries: int = LIST_ENTRIES) -> DataFrame:
     """(qid, tid, score, rank): cosine of token counts of each query with all texts that share a
     token, at least min_score; ties by ascending id.
 
-    A text's length is found within its row. Of its tokens only those that a query has leave the
-    row's task: the queries' tokens are a key table that is broadcast where its counted size allows.
-    Pairs meet by an equi-join on the token, and products are summed by a combining aggregation.
+    The queries' inverted lists travel with the tasks, as many queries at a time as have about `entries`
+    entries (counted before). A task sums the products of a text's tokens with their lists, so neither tokens
+    nor pairs are shuffled: with k, only pairs that can still be among a query's k best in that task leave it, about
+    k rows a query and task, without it the pairs that reach min_score. A text whose bound (the largest weight of
+    each of its tokens in any query) is below all queries' floors is passed over.
     """
-    q = scratch(token_counts(queries, qid), "lexical-queries")
-    norms = _norms(q, qid).withColumnRenamed("norm", "_qn")
-    asked = scratch(q.select("token").distinct(), "lexical-tokens")
-    t = _counted(texts, tid)
-    found = join_checked(t.select(tid, F.col("norm").alias("_tn"), F.explode("tokens").alias("token")), asked, "token", "left_semi")
-    counts = found.groupBy(tid, "_tn", "token").agg(F.count("*").alias("m"))
-    dots = join_checked(counts, q, "token", "inner").groupBy(qid, tid).agg(F.sum(F.col("n") * F.col("m")).alias("dot"), F.first("_tn").alias("_tn"))
-    scored = join_checked(dots, scratch(norms, "lexical-norms"), qid, "inner").select(qid, tid, (F.col("dot") / (F.col("_qn") * F.col("_tn"))).alias("score")).where(F.col("score") >= min_score)
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy(qid).orderBy(F.desc(F.round("score", 12)), tid)))
+    spark = queries.sparkSession
+    q = token_counts(queries, qid)
+    q = scratch(q.withColumn("norm", F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(qid)).cast("double"))), "lexical-queries")
+    types = {qid: queries.schema[qid].dataType.simpleString(), tid: texts.schema[tid].dataType.simpleString()}
+    schema = ", ".join([*[f"`{n}` {t}" for n, t in types.items()], "score double"])
+    lowered = texts.select(tid, F.coalesce(F.lower("text"), F.lit("")).alias("_text"))
+    blocks = -(-q.count() // entries)
+    found = spark.createDataFrame([], schema)
+    for b in range(blocks):
+        own = QueryLists.of(q.where(F.pmod(F.xxhash64(qid), F.lit(blocks)) == b).select(F.col(qid).alias("qid"), "token", "n", "norm").toArrow())  # bounded
+        if len(own.names):
+            part = lowered.mapInArrow(_search(spark.sparkContext.broadcast(own), qid, tid, min_score, k), schema)
+            found = part if b == 0 else found.unionByName(part)
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy(qid).orderBy(F.desc(F.round("score", 12)), tid)))
     return ranked.where(F.col("rank") <= k) if k else ranked
 
 
+def _name(text: str) -> Column:
+    """A text's short name: its SHA-256, by which no two texts are taken for one."""
+    return F.sha2(F.col(text), 256)
+
+
 def cosine(pairs: DataFrame) -> DataFrame:
     """(query, text, score): the lexical cosine of each distinct pair, 0 where either has no token."""
-    distinct = pairs.select("query", "text").distinct().withColumns({"_qid": F.xxhash64("query"), "_tid": F.xxhash64("text")})
+    distinct = pairs.select("query", "text").distinct().withColumns({"_qid": _name("query"), "_tid": _name("text")})
     q = token_counts(distinct.select("_qid", F.col("query").alias("text")).distinct(), "_qid")
     t = token_counts(distinct.select("_tid", "text").distinct(), "_tid")
     met = distinct.select("_qid", "_tid").join(q, "_qid").join(t.withColumnRenamed("n", "m"), ["_tid", "token"])
