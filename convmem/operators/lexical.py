@@ -33,14 +33,15 @@ def _norms(counts: DataFrame, id_col: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class QueryLists:
-    """Inverted lists of a block of queries: for each token the queries that have it, with their weights (count by
-    length), and the largest of these."""
+    """Inverted lists of a block of queries: for each token the queries that have it, with their counts, and the
+    largest weight (count by length) among them. length: of each query."""
 
     names: pa.Array
     vocabulary: dict[str, int]
     start: np.ndarray
     owner: np.ndarray
-    weight: np.ndarray
+    count: np.ndarray
+    length: np.ndarray
     largest: np.ndarray
 
     @classmethod
@@ -48,31 +49,33 @@ class QueryLists:
         """entries: qid, token, n, norm."""
         entries = entries.combine_chunks().sort_by("token")
         named, coded = entries.column("qid").combine_chunks().dictionary_encode(), entries.column("token").combine_chunks().dictionary_encode()
-        weight = entries.column("n").to_numpy() / entries.column("norm").to_numpy()
+        count, norm, owner = entries.column("n").to_numpy(), entries.column("norm").to_numpy(), named.indices.to_numpy().astype(np.int64)
+        length = np.zeros(len(named.dictionary))
+        length[owner] = norm
         token = coded.indices.to_numpy()
         largest = np.zeros(len(coded.dictionary))
-        np.maximum.at(largest, token, weight)
+        np.maximum.at(largest, token, count / norm)
         start = np.searchsorted(token, np.arange(len(largest) + 1))
-        return cls(named.dictionary, {t: i for i, t in enumerate(coded.dictionary.to_pylist())}, start, named.indices.to_numpy().astype(np.int64), weight, largest)
+        return cls(named.dictionary, {t: i for i, t in enumerate(coded.dictionary.to_pylist())}, start, owner, count, length, largest)
 
-    def weigh(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """(the text's tokens that a query has, their weights in the text)."""
+    def weigh(self, text: str) -> tuple[np.ndarray, np.ndarray, float]:
+        """(the text's tokens that a query has, their counts in the text, the text's length)."""
         single = _WORDS.findall(text)
         counts = Counter(single)
         counts.update(map(add, single, single[1:]))
-        length = math.sqrt(sum(n * n for n in counts.values()))
-        held = [(self.vocabulary[t], n / length) for t, n in counts.items() if t in self.vocabulary]
-        return np.array([t for t, _ in held], np.int64), np.array([w for _, w in held])
-
-    def scores(self, own: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """The cosine of some texts (rows) with all queries (columns)."""
-        sizes = [len(t) for t, _ in own]
-        token, weight = np.concatenate([t for t, _ in own]), np.concatenate([w for _, w in own])
+        held = [(self.vocabulary[t], n) for t, n in counts.items() if t in self.vocabulary]
+        return np.array([t for t, _ in held], np.int64), np.array([n for _, n in held], np.int64), math.sqrt(sum(n * n for n in counts.values()))
+
+    def scores(self, own: list[tuple[np.ndarray, np.ndarray, float]]) -> np.ndarray:
+        """The cosine of some texts (rows) with all queries (columns); products of counts are summed exactly."""
+        sizes = [len(t) for t, *_ in own]
+        token, count = np.concatenate([t for t, *_ in own]), np.concatenate([n for _, n, _ in own])
         text = np.repeat(np.arange(len(own)), sizes)
         size = self.start[token + 1] - self.start[token]
         at = np.repeat(self.start[token] - np.cumsum(size) + size, size) + np.arange(size.sum())
         cells = np.repeat(text, size) * len(self.names) + self.owner[at]
-        return np.bincount(cells, np.repeat(weight, size) * self.weight[at], len(own) * len(self.names)).reshape(len(own), -1)
+        dots = np.bincount(cells, np.repeat(count, size) * self.count[at], len(own) * len(self.names)).reshape(len(own), -1)
+        return dots / (self.length * np.array([length for *_, length in own])[:, None])
 
 
 class _Best:
@@ -124,8 +127,9 @@ def _search(shared: Broadcast, qid: str, tid: str, min_score: float, k: int | No
             for low in range(0, batch.num_rows, step):
                 ids, texts = batch.column(tid).slice(low, step), batch.column("_text").slice(low, step).to_pylist()
                 own = [lists.weigh(t) for t in texts]
+                floor = best.floor.min() - 1e-9
                 # What a text can reach at most with any query; below every floor it meets none.
-                able = [i for i, (t, w) in enumerate(own) if len(t) and float(lists.largest[t] @ w) >= best.floor.min() - 1e-9]
+                able = [i for i, (t, n, length) in enumerate(own) if len(t) and float(lists.largest[t] @ n) / length >= floor]
                 if able:
                     best.add(lists.scores([own[i] for i in able]), ids.take(pa.array(able)))
                 if k is None:
