@@ -35,7 +35,7 @@ def test_search_equals_brute_force(spark, texts, k, entries):
         for i, t in texts:
             b = _tokens(t)
             dot = sum(n * b[w] for w, n in a.items())
-            if dot and (s := dot / math.sqrt(sum(n * n for n in a.values()) * sum(n * n for n in b.values()))) >= 0.2:
+            if dot and (s := dot / (math.sqrt(sum(n * n for n in a.values())) * math.sqrt(sum(n * n for n in b.values())))) >= 0.2:
                 rows.append((-round(s, 9), i))
         want += [(q, i, -s, r + 1) for r, (s, i) in enumerate(sorted(rows)[:k])]
     made = lexical.search(spark.createDataFrame(queries, "qid string, text string"), spark.createDataFrame(texts, "id int, text string").repartition(5), "qid", "id", 0.2, k, entries)
