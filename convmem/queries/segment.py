@@ -11,7 +11,7 @@ from convmem.functions import hooks
 from convmem.functions.text import bigrams, clean_text
 from convmem.operators import context, fifo, intake, segment
 from convmem.plans.scratch import shared_dir
-from convmem.streaming import jobs, topics
+from convmem.streaming import dedup, jobs, topics
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -314,10 +314,10 @@ def ctx_10(spark, sf):
     return context.pack_context(states, memories, 200).select("qid", F.array_join("ids", ",").alias("ids"), "used", "over_state")
 
 
-def _run(spark, rows: DataFrame, job, name: str, parts: int = 3, schema: str = jobs.MESSAGE) -> DataFrame:
+def _run(spark, rows: DataFrame, job, name: str, parts: int = 3, schema: str = jobs.MESSAGE, base: str | None = None) -> DataFrame:
     """What a stream puts out over rows that arrive in `parts` steps. Two steps are there when it first
     runs, one a micro-batch; the last is read after a restart from the checkpoint."""
-    base = f"{shared_dir(spark)}/convmem-{name}-{uuid.uuid4().hex}"
+    base = base or f"{shared_dir(spark)}/convmem-{name}-{uuid.uuid4().hex}"
     cuts = rows.approxQuantile("arrival", [i / parts for i in range(1, parts)], 0.01)
     step = sum((F.when(F.col("arrival") > c, 1).otherwise(0) for c in cuts), F.lit(0))
     files = 4
@@ -347,6 +347,15 @@ def str_2(spark, sf):
     return _run(spark, d, jobs.dedup_stream, "dedup")
 
 
+@query("str_2_state", "SELECT scope, id, sha256(arg_min(text, arrival)) AS hash FROM f_dup GROUP BY scope, id", ("f_dup",))
+def str_2_state(spark, sf):
+    """What the dedup's state holds after a restart: every id with its first text's digest."""
+    d = view(spark, sf, "f_dup").select("scope", "id", "arrival", F.lit(0).cast("bigint").alias("t"), F.lit("").alias("speaker"), "text", F.lit("").alias("episode"))
+    base = f"{shared_dir(spark)}/convmem-first-{uuid.uuid4().hex}"
+    _run(spark, d, lambda m: dedup.first_text_stream(m, parts=4), "first", base=base)
+    return dedup.stored_ids(spark, f"{base}/first-state")
+
+
 @query("str_3_late", "SELECT scope, id, arrival, coalesce(t2 < max(t2) OVER (PARTITION BY scope ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS late FROM (SELECT scope, id, seq AS arrival, t - CASE WHEN seq % 7 = 0 THEN 1500 ELSE 0 END AS t2 FROM f_msg)")
 def str_3(spark, sf):
     """Late rows of a stream against each scope's clock."""

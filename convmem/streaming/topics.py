@@ -22,11 +22,11 @@ ROUTED = "scope string, seq bigint, id string, episode string"
 
 def _timed(messages: DataFrame, delay: int) -> DataFrame:
     """The stream with its event time; rows that come more than delay seconds behind the latest are late."""
-    _rocksdb(messages.sparkSession)
+    use_rocksdb(messages.sparkSession)
     return messages.withColumn("_ts", F.timestamp_seconds("t")).withWatermark("_ts", f"{delay} seconds")
 
 
-def _rocksdb(spark: SparkSession) -> None:
+def use_rocksdb(spark: SparkSession) -> None:
     """Stateful processors need this store; a running query keeps the one it began with."""
     if spark.conf.get(_PROVIDER, "") != _ROCKSDB:
         spark.conf.set(_PROVIDER, _ROCKSDB)

@@ -132,3 +132,30 @@ def test_routing_stream_equals_the_batch(spark, log, tmp_path):
     assert {r for step in got for r in step} == batch | {("z", 999, "end", "topic-z-end")} and len({r[3] for r in batch}) > 20
     state = spark.read.format("statestore").option("path", str(tmp_path / "state" / "job-state")).option("stateVarName", "open").load()
     assert {r["key"]["scope"] for r in state.collect()} == {"z"}
+
+
+def test_stored_ids_expire_and_outlive_a_restart(spark, tmp_path):
+    import time
+
+    from convmem.streaming import dedup
+
+    def run(rows):
+        """Feeds rows and stops the query once all have come out: state with a lifetime keeps a query busy."""
+        spark.createDataFrame(rows, jobs.MESSAGE).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        stream = dedup.first_text_stream(jobs.message_stream(spark, str(tmp_path / "in")), lifetime=30, parts=1)
+        query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(processingTime="1 second").start()
+        wanted, end, got = {r[2] for r in rows}, time.time() + 60, {}
+        while not wanted <= got.keys() and time.time() < end:
+            time.sleep(1)
+            if (tmp_path / "out" / "_spark_metadata").exists():
+                got = {r["arrival"]: r["outcome"] for r in spark.read.schema(dedup.OUTCOME).parquet(str(tmp_path / "out")).collect()}
+        query.stop()
+        return {i: got.get(i) for i in wanted}
+
+    row = lambda i, arrival, text, scope="s": (scope, i, arrival, 1_000, "p", text, None)
+    assert run([row("x", 1, "hi"), row("y", 2, None), row("x", 3, "ho")]) == {1: "first", 2: "first", 3: "conflict"}
+    stored = time.time()
+    assert run([row("x", 5, "hi"), row("y", 6, None), row("x", 7, "hi", "t")]) == {5: "duplicate", 6: "duplicate", 7: "first"}
+    assert {(r["scope"], r["id"]) for r in dedup.stored_ids(spark, str(tmp_path / "state")).collect()} >= {("s", "y"), ("t", "x")}
+    time.sleep(max(0, stored + 32 - time.time()))
+    assert run([row("x", 8, "other")]) == {8: "first"}
