@@ -8,8 +8,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from convmem.plans.joins import join_checked
+
 #: Queries whose vectors travel with the tasks, and make a block where there are more; vectors of a part.
 QUERY_BLOCK, VECTOR_BLOCK = 2_000, 20_000
+#: As QUERY_BLOCK, where each query brings the candidates whose places it asks for.
+PLACE_BLOCK = 500
+#: Similarities that are nearer are taken as equal: more than sums in another order differ by.
+TIE = 1e-13
 
 
 def unit(vector: Column) -> Column:
@@ -58,70 +64,165 @@ def _unit_rows(values: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     """(vectors of length 1, which rows have one): zero vectors have no direction."""
     v = np.stack([np.asarray(x, np.float64) for x in values])
     norms = np.linalg.norm(v, axis=1)
-    return v[norms > 0] / norms[norms > 0, None], norms > 0
-
-
-def _nearest(names: np.ndarray, matrix: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int | None) -> pd.DataFrame:
+    good = np.isfinite(norms) & (norms > 0)
+    return v[good] / norms[good, None], good
+
+
+def _heard(allowed: pd.Series, groups: pd.Series) -> np.ndarray | None:
+    """Which vectors each query may find; None: all find all. allowed: lists of groups, None for all."""
+    limited = [i for i, a in enumerate(allowed) if a is not None]
+    if not limited:
+        return None
+    of: dict[str, list[int]] = {}
+    for at, names in enumerate(groups):
+        for name in names if names is not None else ():
+            of.setdefault(name, []).append(at)
+    heard = np.ones((len(allowed), len(groups)), bool)
+    for i in limited:
+        heard[i] = False
+        for name in allowed.iloc[i]:
+            heard[i, of.get(name, [])] = True
+    return heard
+
+
+def _compared(queries: pd.DataFrame, vectors: pd.DataFrame):
+    """(queries and vectors that have a direction, their similarities, -inf where not allowed), or None."""
+    if not len(queries) or not len(vectors):
+        return None
+    m, asked = _unit_rows(queries["_v"])
+    v, good = _unit_rows(vectors["_v"])
+    if not len(m) or not len(v):
+        return None
+    queries, vectors = queries[asked], vectors[good]
+    sims, heard = m @ v.T, _heard(queries["_allow"], vectors["_groups"])
+    return queries, vectors, sims if heard is None else np.where(heard, sims, -np.inf)
+
+
+def _nearest(k: int | None):
     """The similarities of all queries with some vectors; with k only those that can be among a query's
     k best: all that reach the k-th value here, so that ties are settled by id later."""
-    sims = matrix @ v.T
-    if k is None or k >= len(v):
-        q, at = np.nonzero(np.ones_like(sims, bool))
-    else:
-        floor = np.partition(sims, len(v) - k, axis=1)[:, len(v) - k]
-        q, at = np.nonzero(sims >= floor[:, None] - 1e-9)
-    return pd.DataFrame({"qid": names[q], "id": ids[at], "score": sims[q, at]})
-
-
-def _against(names: np.ndarray, matrix: np.ndarray, k: int | None):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                v, good = _unit_rows(batch["_v"])
-                if len(v):
-                    yield _nearest(names, matrix, batch["_id"].to_numpy()[good], v, k)
+
+    def run(queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
+        found = _compared(queries, vectors)
+        if found is None:
+            return pd.DataFrame({"qid": pd.Series(dtype=object), "id": pd.Series(dtype=object), "score": pd.Series(dtype="float64")})
+        queries, vectors, sims = found
+        reached = sims > -np.inf
+        if k is not None and k < len(vectors):
+            reached &= sims >= np.partition(sims, len(vectors) - k, axis=1)[:, len(vectors) - k, None] - 1e-9
+        q, at = np.nonzero(reached)
+        return pd.DataFrame({"qid": queries["qid"].to_numpy()[q], "id": vectors["_id"].to_numpy()[at], "score": sims[q, at]})
 
     return run
 
 
-def _block_pair(k: int | None):
-    def run(queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
-        if len(queries) and len(vectors):
-            m, asked = _unit_rows(queries["_v"])
-            v, good = _unit_rows(vectors["_v"])
-            if len(m) and len(v):
-                return _nearest(queries["qid"].to_numpy()[asked], m, vectors["_id"].to_numpy()[good], v, k)
-        return pd.DataFrame({"qid": queries["qid"][:0], "id": vectors["_id"][:0], "score": np.empty(0)})
+def _better(queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
+    """How many of some vectors come before each of a query's candidates (_scores, _ids) by
+    (-similarity, id): counted from sorted similarities, and by sorted ids among the equal ones."""
+    found = _compared(queries, vectors)
+    if found is None:
+        return pd.DataFrame({"qid": pd.Series(dtype=object), "id": pd.Series(dtype=object), "better": pd.Series(dtype="int64")})
+    queries, vectors, sims = found
+    names, order = np.unique(vectors["_id"].to_numpy(), return_inverse=True)
+    rows = []
+    for row, qid, scores, ids in zip(sims, queries["qid"], queries["_scores"], queries["_ids"]):
+        scores, ids, ordered = np.asarray(scores, np.float64), np.asarray(ids, names.dtype), np.sort(row)
+        high, low = np.searchsorted(ordered, scores + TIE, "right"), np.searchsorted(ordered, scores - TIE, "left")
+        better = len(row) - high
+        tied = np.flatnonzero(high > low)
+        if len(tied):
+            before = np.searchsorted(names, ids[tied], "left")
+            by_score = np.argsort(scores[tied], kind="stable")
+            runs = np.split(by_score, np.flatnonzero(np.diff(scores[tied][by_score]) > TIE) + 1)
+            for run in runs:  # copies share one run
+                members = np.sort(order[np.abs(row - scores[tied[run[0]]]) <= TIE])
+                better[tied[run]] += np.searchsorted(members, before[run], "left")
+        rows += [(qid, i, n) for i, n in zip(ids.tolist(), better.tolist()) if n]
+    columns = list(zip(*rows)) or [(), (), ()]
+    return pd.DataFrame({"qid": pd.Series(columns[0], dtype=object), "id": pd.Series(columns[1], dtype=object), "better": pd.Series(columns[2], dtype="int64")})
+
+
+def _meet(queries: DataFrame, vectors: DataFrame, compare, schema: str, block: int, part: int) -> DataFrame | None:
+    """compare(queries, vectors) for every block of queries and every part of the vectors; None
+    without queries.
+
+    Up to `block` queries travel with the tasks, which compare them with the vectors they read, so
+    vectors are not shuffled. More queries are dealt into blocks and vectors into parts, as rows, and
+    each pair of a block and a part is one task's work, of bounded size.
+    """
+    few = queries.limit(block + 1).toPandas()  # bounded
+    if not len(few):
+        return None
+    if len(few) <= block:
 
-    return run
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                yield compare(few, batch)
+
+        return vectors.mapInPandas(run, schema)
+    blocks, parts = -(-queries.count() // block), max(1, -(-vectors.count() // part))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+    q = queries.withColumn("_b", F.pmod(F.xxhash64("qid"), F.lit(blocks))).withColumn("_p", every(parts))
+    c = vectors.withColumn("_p", F.pmod(F.xxhash64("_id"), F.lit(parts))).withColumn("_b", every(blocks))
+    return q.groupBy("_b", "_p").cogroup(c.groupBy("_b", "_p")).applyInPandas(lambda a, b: compare(a, b), schema)
 
 
-def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int | None, qid: str = "qid", id_col: str = "id", vector: str = "vector", block: int = QUERY_BLOCK, part: int = VECTOR_BLOCK) -> DataFrame:
+def _sides(queries: DataFrame, vectors: DataFrame, qid: str, id_col: str, vector: str, allowed: str | None, groups: str | None) -> tuple[DataFrame, DataFrame]:
+    """Queries as (qid, _v, _allow) and vectors as (_id, _v, _groups), without null vectors."""
+    named = lambda c: (F.col(c) if c else F.lit(None)).cast("array<string>")
+    q = queries.select(F.col(qid).alias("qid"), F.col(vector).cast("array<double>").alias("_v"), named(allowed).alias("_allow"))
+    c = vectors.select(F.col(id_col).alias("_id"), F.col(vector).cast("array<double>").alias("_v"), named(groups).alias("_groups"))
+    return q.where("_v IS NOT NULL"), c.where("_v IS NOT NULL")
+
+
+def cosine_topk(
+    queries: DataFrame, vectors: DataFrame, k: int | None, qid: str = "qid", id_col: str = "id", vector: str = "vector", block: int = QUERY_BLOCK, part: int = VECTOR_BLOCK,
+    allowed: str | None = None, groups: str | None = None,
+) -> DataFrame:
     """(qid, id, score, rank): the k most similar vectors of each query (None: all), ties by
     ascending id.
 
-    Up to `block` queries travel with the tasks as one matrix, which each task multiplies with the
-    vectors it reads, so vectors are not shuffled. More queries are dealt into blocks and vectors into
-    parts, as rows; each pair of a block and a part is one task's multiplication, of bounded size.
-    Either way about k rows for each query and task are shuffled. Zero and null vectors have no
-    similarity and are left out. Filters on the collection are applied before by the caller and
-    reach the scan.
+    Queries meet vectors as in _meet, and about k rows for each query and task are shuffled. Zero and
+    null vectors have no similarity and are left out. Filters on the collection are applied before by
+    the caller and reach the scan; `allowed` names a column of queries with the groups a query may
+    find (null: all), `groups` one of vectors with the groups a vector is in.
     """
-    spark = queries.sparkSession
     id_type, qid_type = vectors.schema[id_col].dataType.simpleString(), queries.schema[qid].dataType.simpleString()
     schema = f"qid {qid_type}, id {id_type}, score double"
-    collection = vectors.select(F.col(id_col).alias("_id"), F.col(vector).cast("array<double>").alias("_v")).where("_v IS NOT NULL")
-    asked = queries.select(F.col(qid).alias("qid"), F.col(vector).cast("array<double>").alias("_v")).where("_v IS NOT NULL")
-    few = asked.limit(block + 1).toPandas()  # bounded
-    if not len(few):
-        return spark.createDataFrame([], schema + ", rank int")
-    if len(few) <= block:
-        m, good = _unit_rows(few["_v"])
-        found = collection.mapInPandas(_against(few["qid"].to_numpy()[good], m, k), schema)
-    else:
-        blocks, parts = -(-asked.count() // block), max(1, -(-collection.count() // part))
-        q = asked.withColumn("_b", F.pmod(F.xxhash64("qid"), F.lit(blocks))).withColumn("_p", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))))
-        c = collection.withColumn("_p", F.pmod(F.xxhash64("_id"), F.lit(parts))).withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
-        found = q.groupBy("_b", "_p").cogroup(c.groupBy("_b", "_p")).applyInPandas(_block_pair(k), schema)
+    asked, collection = _sides(queries, vectors, qid, id_col, vector, allowed, groups)
+    found = _meet(asked, collection, _nearest(k), schema, block, part)
+    if found is None:
+        return queries.sparkSession.createDataFrame([], schema + ", rank int")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(F.round("score", 12)), "id")))
     return ranked if k is None else ranked.where(F.col("rank") <= k)
+
+
+def cosine_of(pairs: DataFrame, queries: DataFrame, vectors: DataFrame, qid: str = "qid", id_col: str = "id", vector: str = "vector", allowed: str | None = None, groups: str | None = None) -> DataFrame:
+    """(qid, id, score) of the asked pairs (qid, id) only; pairs without a direction on either side, or
+    that are not allowed, are left out. pairs must be cheap to count (a written table): they are
+    broadcast up to a counted size, so that vectors are compared where they are read."""
+    asked, collection = _sides(queries, vectors, qid, id_col, vector, allowed, groups)
+    met = join_checked(collection.withColumnRenamed("_id", "id"), pairs.select("qid", "id"), "id", "inner").withColumn("_v", unit(F.col("_v")))
+    q = asked.withColumn("_q", unit(F.col("_v"))).drop("_v").where("_q IS NOT NULL")
+    heard = F.col("_allow").isNull() | F.arrays_overlap("_allow", F.coalesce("_groups", F.array().cast("array<string>")))
+    return join_checked(met, q, "qid", "inner", QUERY_BLOCK).where(heard & F.col("_v").isNotNull()).select("qid", "id", dot(F.col("_q"), F.col("_v")).alias("score"))
+
+
+def cosine_places(
+    wanted: DataFrame, queries: DataFrame, vectors: DataFrame, qid: str = "qid", id_col: str = "id", vector: str = "vector", block: int = PLACE_BLOCK, part: int = VECTOR_BLOCK,
+    allowed: str | None = None, groups: str | None = None,
+) -> DataFrame:
+    """(qid, id, rank): the exact place of each wanted pair (qid, id, score as cosine_of gives it)
+    among all vectors that the query may find, by (-score, id).
+
+    Vectors are read once and only counts are shuffled, at most one row a task and wanted pair,
+    however many vectors come before. wanted has a bounded number of rows for each query.
+    """
+    id_type, qid_type = vectors.schema[id_col].dataType.simpleString(), queries.schema[qid].dataType.simpleString()
+    asked, collection = _sides(queries, vectors, qid, id_col, vector, allowed, groups)
+    listed = wanted.groupBy("qid").agg(F.collect_list(F.struct("score", "id")).alias("_l")).select("qid", F.col("_l.score").alias("_scores"), F.col("_l.id").alias("_ids"))
+    found = _meet(asked.join(listed, "qid"), collection, _better, f"qid {qid_type}, id {id_type}, better bigint", block, part)
+    places = wanted.select("qid", "id")
+    if found is None:
+        return places.withColumn("rank", F.lit(1).cast("bigint")).where("1 = 0")
+    return places.join(found.groupBy("qid", "id").agg(F.sum("better").alias("_n")), ["qid", "id"], "left").select("qid", "id", (1 + F.coalesce("_n", F.lit(0))).alias("rank"))

@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from convmem.operators import lexical, recall
 from convmem.operators.recall import ARMS, RecallOptions
-from convmem.operators.vectors import cosine_topk
+from convmem.operators.vectors import cosine_of, cosine_places, cosine_topk
 from convmem.plans.dynamics import Dynamics, best_paths, diffuse
-from convmem.plans.scratch import scratch
+from convmem.plans.scratch import ScratchTables, scratch
 
 MEMORY_ARMS = ("formed_multiquery", "graph_expansion", "attention_diffusion")
 #: What a read for a current state uses; fixed values.
@@ -43,13 +43,83 @@ class Recalled:
     seeds: DataFrame
 
 
+def _keyed(cues: DataFrame) -> DataFrame:
+    """Cues with a vector, under one key (_key) for query and cue."""
+    return cues.where("vector IS NOT NULL").withColumn("_key", F.concat_ws("|", "qid", F.col("cue").cast("string")))
+
+
+def _limits(cues: DataFrame, collection: DataFrame) -> dict[str, str | None]:
+    """The optional columns that limit what a cue finds: allowed (groups, null: all) and groups."""
+    return {"allowed": "allowed" if "allowed" in cues.columns else None, "groups": "groups" if "groups" in collection.columns else None}
+
+
 def similarities(cues: DataFrame, collection: DataFrame, k: int | None = None) -> DataFrame:
-    """(qid, cue, id, score) of each cue's vector with a collection; k: the nearest only."""
-    named = cues.where("vector IS NOT NULL").select(F.concat_ws("|", "qid", F.col("cue").cast("string")).alias("qid"), "vector")
-    found = cosine_topk(named, collection, k)
+    """(qid, cue, id, score) of each cue's vector with a collection; k: the nearest only. Cues with a
+    column allowed find only items that share one of these with the collection's column groups."""
+    found = cosine_topk(_keyed(cues), collection, k, "_key", **_limits(cues, collection))
     return found.select(F.regexp_extract("qid", r"(?s)^(.*)[|]", 1).alias("qid"), F.regexp_extract("qid", r"[|](\d+)$", 1).cast("int").alias("cue"), "id", F.round("score", 12).alias("score"))
 
 
+def affinity_of(pairs: DataFrame, cues: DataFrame, collection: DataFrame, mode: str = "query") -> DataFrame:
+    """(qid, id, affinity) as recall.gate_affinity, for the asked pairs (qid, id; a written table) only."""
+    asking = cues.where("cue = 0") if mode == "query" else cues.where("weight > 0")
+    keyed = _keyed(asking)
+    if mode == "query":
+        found = cosine_of(pairs, keyed, collection)
+    else:
+        named = keyed.select("qid", "_key")
+        each = cosine_of(pairs.join(named, "qid").select(F.col("_key").alias("qid"), "id"), keyed, collection, "_key")
+        found = each.withColumnRenamed("qid", "_key").join(named, "_key").groupBy("qid", "id").agg(F.max("score").alias("score"))
+    return found.select("qid", "id", F.round("score", 12).alias("affinity"))
+
+
+@dataclass(frozen=True)
+class Fused:
+    """scores: qid, id, score, exact for all candidates, among which are the first of each query;
+    listed: the rows (key, id, score, rank) that were read of the cues' rankings."""
+
+    scores: DataFrame
+    listed: DataFrame
+
+
+def fusion_depth(cues: DataFrame, first: int, constant: int = 60) -> int:
+    """How far each cue's ranking must be read so that the first items by fusion are all among what was
+    read.
+
+    What is read nowhere stands behind the depth d in every ranking that long, so it has less than
+    W / (constant + d), W being the sum of these rankings' weights; the first items of the heaviest
+    of them, of weight w, have w / (constant + first) or more. Hence d follows from the largest W / w
+    that the weights of one query allow, which is no more than its number of cues.
+    """
+    w = Window.partitionBy("qid").orderBy("weight").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    ratio = cues.where("weight > 0").select((F.sum("weight").over(w) / F.col("weight")).alias("r")).agg(F.max("r").alias("r")).first()["r"]
+    return int((ratio or 1.0) * (constant + first)) - constant + 1
+
+
+def fuse_first(cues: DataFrame, collection: DataFrame, first: int, constant: int = 60, tables: ScratchTables | None = None) -> Fused:
+    """Weighted reciprocal-rank fusion, exact for the first items of each query, without ranking
+    the collection.
+
+    cues: qid, cue, weight, vector; collection: id, vector; both may have the columns that
+    similarities() takes. Each ranking is read to fusion_depth; candidates are what was read
+    for any cue of a query, and their places for all its cues are counted in one more pass over
+    the vectors (cosine_places). Two passes shuffle a number of rows that depends on queries, cues and
+    `first`, not on the collection. Cues without a vector or a positive weight rank nothing.
+    """
+    tables = tables or ScratchTables()
+    keyed, limits = tables.write(_keyed(cues.where("weight > 0")), "fusion-cues"), _limits(cues, collection)
+    near = cosine_topk(keyed, collection, fusion_depth(keyed, first, constant), "_key", **limits).withColumnRenamed("qid", "_key")
+    near = tables.write(near, "fusion-lists")
+    named = keyed.select("qid", "_key", "weight")
+    candidates = near.join(named, "_key").select("qid", "id").distinct()
+    pairs = tables.write(candidates.join(named, "qid").select(F.col("_key").alias("qid"), "id"), "fusion-pairs")
+    wanted = tables.write(cosine_of(pairs, keyed, collection, "_key", **limits), "fusion-wanted")
+    places = cosine_places(wanted, keyed, collection, "_key", **limits).withColumnRenamed("qid", "_key")
+    share = F.col("weight") / (constant + F.col("rank"))
+    scores = tables.write(places.join(named, "_key").groupBy("qid", "id").agg(F.sum(share).alias("score")), "fusion-scores")
+    return Fused(scores, near)
+
+
 def recall_arms(
     cues: DataFrame, nodes: DataFrame, arcs: DataFrame, raw: DataFrame | None = None, windows: DataFrame | None = None, speakers: DataFrame | None = None,
     arms: tuple[str, ...] = ARMS, options: RecallOptions = RecallOptions(), budget: Budget = Budget(), dynamics: Dynamics = Dynamics(),
@@ -67,26 +137,37 @@ def recall_arms(
     unknown = set(arms) - set(ARMS)
     if unknown or not arms or len(set(arms)) != len(arms):
         raise ValueError(f"arms must be known and named once: {sorted(unknown)}")
-    weighed = cues.where("cue > 0 AND weight > 0").select("qid", "cue", "weight")
+    tables = ScratchTables()
+    cues = tables.write(cues, "recall-cues")
+    voiced, members = cues, None
+    if options.ground_by_speaker and speakers is not None:
+        named = recall.named_speakers(cues, speakers).groupBy("qid", "cue").agg(F.collect_set("speaker").alias("allowed"))
+        voiced = tables.write(cues.join(named, ["qid", "cue"], "left"), "recall-voiced")
+        members = speakers.groupBy("id").agg(F.collect_set("speaker").alias("groups"))
+
+    def heard(collection: DataFrame) -> DataFrame:
+        return collection if members is None else collection.join(members, "id", "left")
+
+    weighed = voiced.where("cue > 0 AND weight > 0")
     # In fused rankings the query has half of the weight and the cues share the other half.
-    fused = cues.where("cue = 0").select("qid", "cue", F.lit(0.5).alias("weight")).unionByName(weighed.withColumn("weight", 0.5 * F.col("weight")))
-    # Read by every step and arm, so written once, without the wide columns.
-    kinds, arcs = scratch(nodes.select("id", "type", "status"), "recall-kinds"), scratch(arcs, "recall-arcs")
-    memories = kinds.where("type = 'MEMORY' AND status = 'CURRENT'")
-    near = scratch(similarities(cues, nodes.select("id", "vector")), "recall-nodes")
-    named = recall.named_speakers(cues, speakers) if options.ground_by_speaker and speakers is not None else None
-
-    def spoken(rankings: DataFrame) -> DataFrame:
-        return rankings if named is None else recall.restrict_to_speakers(rankings, named, speakers)
-
-    heard = spoken(near)
-    grounding = cues.where("cue = 0").select("qid", "cue", "weight").unionByName(weighed) if options.include_query_seed else weighed
-    ranked = heard.join(kinds.where("status = 'CURRENT'").select("id"), "id", "left_semi").join(grounding.select("qid", "cue"), ["qid", "cue"], "left_semi")
+    fused = voiced.where("cue = 0").withColumn("weight", F.lit(0.5)).unionByName(weighed.withColumn("weight", 0.5 * F.col("weight")))
+    # Read by every step and arm, so written once; a read takes the columns it needs.
+    space, arcs = tables.write(heard(nodes.select("id", "type", "status", "vector")), "recall-space"), tables.write(arcs, "recall-arcs")
+    kinds = space.select("id", "type", "status")
+    memories = space.where("type = 'MEMORY' AND status = 'CURRENT'")
+
+    grounding = voiced.where("cue = 0").unionByName(weighed) if options.include_query_seed else weighed
+    ranked = similarities(grounding, space.where("status = 'CURRENT'"), options.seed_count)
     share = options.query_seed_weight if options.include_query_seed else None
-    seeds = scratch(recall.ground_multi(grounding, ranked, ranked.where("1 = 0"), options.seed_count, budget.seed_minimum, options.normalize_cue_seeds, share), "recall-seeds")
+    weights = grounding.select("qid", "cue", "weight")
+    seeds = scratch(recall.ground_multi(weights, ranked, ranked.where("1 = 0"), options.seed_count, budget.seed_minimum, options.normalize_cue_seeds, share), "recall-seeds")
+
+    def gate(reached: DataFrame) -> DataFrame:
+        reached = tables.write(reached, "recall-reached")
+        ends = tables.write(reached.select("qid", F.explode(F.array("source", "target")).alias("id")).distinct(), "recall-ends")
+        return recall.gated_arcs(reached, affinity_of(ends, cues, space, options.gate_affinity), kinds, options.gate_power)
 
-    affinity = scratch(recall.gate_affinity(near, cues, options.gate_affinity), "recall-affinity")
-    gate = (lambda a: recall.gated_arcs(a, affinity, kinds, options.gate_power)) if options.gate_power else None
+    gate = gate if options.gate_power else None
 
     def cut(scores: DataFrame, threshold: float | None = None) -> DataFrame:
         return recall.cut_candidates(scores.select("qid", "id", F.round("score", 12).alias("score")), kinds, budget.checks, threshold)
@@ -96,13 +177,13 @@ def recall_arms(
 
     def of(name: str) -> DataFrame:
         if name == "raw_retrieval":
-            return top(spoken(similarities(cues.where("cue = 0"), raw)), raw)
+            return top(similarities(voiced.where("cue = 0"), heard(raw), budget.checks), raw)
         if name == "raw_window_retrieval":
-            return top(recall.fuse(spoken(similarities(cues, windows)).join(fused, ["qid", "cue"])), windows)
+            return top(fuse_first(fused, tables.write(heard(windows.select("id", "vector")), "recall-windows"), budget.checks, tables=tables).scores, windows)
         if name == "formed_retrieval":
-            return cut(heard.where("cue = 0"))
+            return cut(similarities(voiced.where("cue = 0"), memories, budget.checks))
         if name == "formed_multiquery":
-            return cut(recall.fuse(heard.join(memories.select("id"), "id", "left_semi").join(fused, ["qid", "cue"])))
+            return cut(fuse_first(fused, memories, budget.checks, tables=tables).scores)
         if name == "graph_expansion":
             return cut(best_paths(arcs, seeds, dynamics.steps, gate).withColumnRenamed("node", "id"))
         last = diffuse(arcs, seeds, dynamics, gate).where(F.col("step") == dynamics.steps)
@@ -125,6 +206,7 @@ def recall_arms(
         selected = chosen.groupBy("qid", "arm").agg(listed.alias("ids"), F.sum("size").cast("bigint").alias("used"))
     else:
         selected = recall.greedy_budget(items, budget.limit, budget.characters)
+    tables.drop_all_but()
     shown = checked.select("qid", "arm", "id", F.col("arm_score").alias("score"), "rerank", "accepted")
     return Recalled(shown, selected, recall.arm_report(shown, selected), seeds)
 

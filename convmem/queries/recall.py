@@ -8,6 +8,7 @@ from convmem.fixtures import sql_with, view
 from convmem.functions import hooks
 from convmem.operators import graph, lexical, recall, vectors
 from convmem.plans import dynamics, recall as plan
+from convmem.plans.scratch import ScratchTables
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -203,6 +204,17 @@ def rcl_6(spark, sf):
     return recall.fuse(s).select("qid", "id", F.round("score", 8).alias("score"))
 
 
+@query("rcl_6_first", f"""WITH s AS ({_SIMS}), {_CUES}, n AS (SELECT id FROM f_node WHERE type = 'MEMORY' AND status = 'CURRENT'),
+    r AS (SELECT s.qid, s.id, c.weight / (60 + row_number() OVER (PARTITION BY s.qid, s.cue ORDER BY round(s.score, 12) DESC, s.id)) AS v FROM s JOIN n ON n.id = s.id JOIN cues c ON c.qid = s.qid AND c.cue = s.cue)
+    SELECT qid, id, round(score, 8) AS score, rank FROM (SELECT qid, id, sum(v) AS score, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(sum(v), 12) DESC, id) AS INTEGER) AS rank FROM r GROUP BY qid, id) WHERE rank <= 12""")
+def rcl_6_first(spark, sf):
+    """The twelve first memories by fusion, from bounded parts of the rankings."""
+    n = _nodes(spark, sf)
+    memories = n.where("type = 'MEMORY' AND status = 'CURRENT'").select("id", F.col("embedding").alias("vector"))
+    found = plan.fuse_first(_cues(spark, sf).drop("id"), memories, 12).scores.withColumn("score", F.round("score", 12))
+    return recall.cut_candidates(found, n, 12).select("qid", "id", F.round("score", 8).alias("score"), "rank")
+
+
 _NAMED = "named AS (SELECT DISTINCT c.scope AS qid, c.seq AS cue, s.speaker FROM (SELECT scope, seq, concat('ask ', speaker, CASE WHEN seq % 3 = 0 THEN '0' ELSE '?' END) AS text FROM f_msg) c JOIN (SELECT DISTINCT speaker FROM f_msg) s ON regexp_matches(concat(' ', c.text, ' '), concat('[^A-Za-z0-9_]', s.speaker, '[^A-Za-z0-9_]')))"
 
 
@@ -230,7 +242,7 @@ def rcl_8(spark, sf):
     h AS (SELECT qid, id, sum(v * weight) AS w FROM g JOIN cues USING (qid, cue) GROUP BY ALL) SELECT qid, id AS node, round(w / sum(w) OVER (PARTITION BY qid), 6) AS weight FROM h""")
 def rcl_9(spark, sf):
     """Several seeds per cue by squared similarity."""
-    s = _similarities(spark, sf).withColumn("score", F.round("score", 10))
+    s = _similarities(spark, sf, 3).withColumn("score", F.round("score", 10))
     return recall.ground_multi(_cues(spark, sf), s, s.where("1 = 0"), 3, 0.1).select("qid", "node", F.round("weight", 6).alias("weight"))
 
 
@@ -250,15 +262,19 @@ def rcl_11(spark, sf):
     return recall.gate_affinity(_similarities(spark, sf), _cues(spark, sf), "maxCue").select("qid", "id", F.round("affinity", 6).alias("affinity"))
 
 
-@query("rcl_12_gate", f"""WITH s AS ({_SIMS}), aff AS (SELECT qid, id, score AS affinity FROM s WHERE cue = 0 AND id NOT LIKE '%7'), arcs AS (SELECT DISTINCT a.qid, l.source, l.target, l.strength FROM f_link l, (SELECT DISTINCT qid FROM s) a),
+@query("rcl_12_gate", f"""WITH s AS ({_SIMS}), aff AS (SELECT qid, id, score AS affinity FROM s WHERE cue = 0 AND id NOT LIKE '%7'),
+    front AS (SELECT qid, id FROM (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, id) AS r FROM s WHERE cue = 0) WHERE r <= 50), arcs AS (SELECT DISTINCT a.qid, l.source, l.target, l.strength FROM f_link l JOIN front a ON a.id = l.source),
     g AS (SELECT arcs.*, greatest(0, coalesce(t.affinity, 0)) AS rt, coalesce(f.affinity, 0) AS rs, n.type FROM arcs LEFT JOIN aff f ON f.id = arcs.source AND f.qid = arcs.qid LEFT JOIN aff t ON t.id = arcs.target AND t.qid = arcs.qid LEFT JOIN f_node n ON n.id = arcs.target AND n.id NOT LIKE '%3')
     SELECT qid, source, target, round(strength * greatest(0.02, pow(least(1, 0.25 + CASE WHEN type = 'MEMORY' THEN rt ELSE greatest(rt, rs) END), 2)), 6) AS effective FROM g""", ("f_node", "f_link"))
 def rcl_12(spark, sf):
-    """Arcs gated by the affinity of their ends, where some ends have none and some are unknown."""
-    ids = [r["qid"] for r in _cues(spark, sf).select("qid").distinct().collect()]  # the stated queries
-    arcs = view(spark, sf, "f_link").select(F.explode(F.array(*[F.lit(q) for q in ids])).alias("qid"), "source", "target", F.col("strength").alias("effective")).distinct()
-    affinity = recall.gate_affinity(_similarities(spark, sf), _cues(spark, sf)).where("id NOT LIKE '%7'")
-    out = recall.gated_arcs(arcs, affinity, _nodes(spark, sf).where("id NOT LIKE '%3'"), 2.0)
+    """The arcs of each query's fifty nearest nodes gated by the affinity of their ends, where some ends have none and
+    some are unknown."""
+    tables, n = ScratchTables(), _nodes(spark, sf)
+    cues, space = _cues(spark, sf).where("cue = 0"), n.where("id NOT LIKE '%7'").select("id", F.col("embedding").alias("vector"))
+    front = plan.similarities(cues, n.select("id", F.col("embedding").alias("vector")), 50).select("qid", F.col("id").alias("source"))
+    arcs = tables.write(view(spark, sf, "f_link").join(front, "source").select("qid", "source", "target", F.col("strength").alias("effective")).distinct(), "gate-arcs")
+    ends = tables.write(arcs.select("qid", F.explode(F.array("source", "target")).alias("id")).distinct(), "gate-ends")
+    out = recall.gated_arcs(arcs, plan.affinity_of(ends, cues, space), n.where("id NOT LIKE '%3'"), 2.0)
     return out.select("qid", "source", "target", F.round("effective", 6).alias("effective"))
 
 
@@ -266,8 +282,10 @@ _CUT = f"SELECT qid, id, score, rank FROM (SELECT qid, s.id, score, CAST(row_num
 
 
 def _cut(spark, sf):
-    s = _similarities(spark, sf).where("cue = 0").select("qid", "id", F.round("score", 12).alias("score"))
-    return recall.cut_candidates(s, _nodes(spark, sf), 15, 0.0)
+    n = _nodes(spark, sf)
+    memories = n.where("type = 'MEMORY' AND status = 'CURRENT'").select("id", F.col("embedding").alias("vector"))
+    s = plan.similarities(_cues(spark, sf).where("cue = 0"), memories, 15).select("qid", "id", "score")
+    return recall.cut_candidates(s, n, 15, 0.0)
 
 
 @query("rcl_19_cut", f"WITH s AS ({_SIMS}) SELECT qid, id, rank FROM ({_CUT})")
