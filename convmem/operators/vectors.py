@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import DoubleType
 
 from convmem.plans.joins import join_checked
 
@@ -197,15 +198,27 @@ def cosine_topk(
     return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
+@F.pandas_udf(DoubleType())
+def _cosine(a: pd.Series, b: pd.Series) -> pd.Series:
+    if not len(a):
+        return pd.Series(dtype="float64")
+    x, y = (np.stack([np.asarray(v, np.float64) for v in side]) for side in (a, b))
+    norms = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
+    good = np.isfinite(norms[0]) & np.isfinite(norms[1]) & (norms[0] > 0) & (norms[1] > 0)
+    out = np.full(len(x), np.nan)  # null
+    out[good] = np.einsum("ij,ij->i", x[good] / norms[0][good, None], y[good] / norms[1][good, None])
+    return pd.Series(out)
+
+
 def cosine_of(pairs: DataFrame, queries: DataFrame, vectors: DataFrame, qid: str = "qid", id_col: str = "id", vector: str = "vector", allowed: str | None = None, groups: str | None = None) -> DataFrame:
     """(qid, id, score) of the asked pairs (qid, id) only; pairs without a direction on either side, or
     that are not allowed, are left out. pairs must be cheap to count (a written table): they are
     broadcast up to a counted size, so that vectors are compared where they are read."""
     asked, collection = _sides(queries, vectors, qid, id_col, vector, allowed, groups)
-    met = join_checked(collection.withColumnRenamed("_id", "id"), pairs.select("qid", "id"), "id", "inner").withColumn("_v", unit(F.col("_v")))
-    q = asked.withColumn("_q", unit(F.col("_v"))).drop("_v").where("_q IS NOT NULL")
+    met = join_checked(collection.withColumnRenamed("_id", "id"), pairs.select("qid", "id"), "id", "inner")
+    q = asked.withColumnRenamed("_v", "_q")
     heard = F.col("_allow").isNull() | F.arrays_overlap("_allow", F.coalesce("_groups", F.array().cast("array<string>")))
-    return join_checked(met, q, "qid", "inner", QUERY_BLOCK).where(heard & F.col("_v").isNotNull()).select("qid", "id", dot(F.col("_q"), F.col("_v")).alias("score"))
+    return join_checked(met, q, "qid", "inner", QUERY_BLOCK).where(heard).select("qid", "id", _cosine("_q", "_v").alias("score")).where("score IS NOT NULL")
 
 
 def cosine_places(
