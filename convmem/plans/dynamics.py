@@ -3,18 +3,22 @@
 State is a table (qid, node, a), so many queries run in one job. Every step is one written table
 (lineage stays short, and a lost executor repeats tasks of one step only). Arcs have source,
 target, edge_id, arc_direction and effective; with a qid column they are each query's own,
-else all queries share them.
+else all queries share them. Iterations write them once as an adjacency, or take one that the caller
+has written and drops.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
 from convmem.operators.graph import normalize
-from convmem.plans.scratch import ScratchTables, scratch
+from convmem.plans.adjacency import Adjacency, write_adjacency
+from convmem.plans.scratch import ScratchTables
 
 
 @dataclass(frozen=True)
@@ -42,14 +46,27 @@ def _arc_key(arcs: DataFrame) -> list[str]:
 Gate = Callable[[DataFrame], DataFrame]
 
 
-def _reached(mass: DataFrame, arcs: DataFrame, gate: Gate | None) -> DataFrame:
+@contextmanager
+def _in_place(arcs: DataFrame | Adjacency) -> Iterator[Adjacency]:
+    """The arcs' adjacency, deleted in the end if it was written here."""
+    if isinstance(arcs, Adjacency):
+        yield arcs
+        return
+    written = write_adjacency(arcs, _arc_key(arcs))
+    try:
+        yield written
+    finally:
+        written.drop()
+
+
+def _reached(mass: DataFrame, arcs: DataFrame | Adjacency, gate: Gate | None) -> DataFrame:
     """The arcs of the sources (qid, source, …) that a step expands, gated if asked. Only these arcs
     meet a query, so a gate costs nothing for the rest of the graph."""
-    out = mass.join(arcs, _arc_key(arcs))
+    out = arcs.of(mass) if isinstance(arcs, Adjacency) else mass.join(arcs, _arc_key(arcs))
     return gate(out) if gate else out
 
 
-def _flows(mass: DataFrame, arcs: DataFrame, config: Dynamics, gate: Gate | None) -> DataFrame:
+def _flows(mass: DataFrame, arcs: Adjacency, config: Dynamics, gate: Gate | None) -> DataFrame:
     """What each source (qid, source, a) sends along its arcs: (qid, source, target, edge_id,
     arc_direction, amount, out), out being all that the source sends."""
     p = F.col("a") * F.col("effective") - config.flow_floor
@@ -58,7 +75,7 @@ def _flows(mass: DataFrame, arcs: DataFrame, config: Dynamics, gate: Gate | None
     return open_arcs.join(asked, ["qid", "source"]).select("qid", "source", "target", "edge_id", "arc_direction", (F.col("out") * F.col("p") / F.col("total")).alias("amount"), "out")
 
 
-def diffuse(arcs: DataFrame, seeds: DataFrame, config: Dynamics = Dynamics(), gate: Gate | None = None) -> DataFrame:
+def diffuse(arcs: DataFrame | Adjacency, seeds: DataFrame, config: Dynamics = Dynamics(), gate: Gate | None = None) -> DataFrame:
     """The trace of the diffusion: one row per (qid, step, node) with raw, competed and a.
 
     Each step a node sends out at most max_outflow of its attention, dealt over its arcs by
@@ -67,6 +84,11 @@ def diffuse(arcs: DataFrame, seeds: DataFrame, config: Dynamics = Dynamics(), ga
     sums of raw and of a are 1 for every query at every step. Step 0 holds the seeds. gate changes
     the effects of the arcs that a step reads (see recall.gated_arcs).
     """
+    with _in_place(arcs) as adjacency:
+        return _diffused(adjacency, seeds, config, gate)
+
+
+def _diffused(arcs: Adjacency, seeds: DataFrame, config: Dynamics, gate: Gate | None) -> DataFrame:
     tables = ScratchTables()
     start = tables.write(normalize(seeds.select("qid", "node", F.col("weight").cast("double").alias("weight")), ["qid"]), "diffuse-seeds")
     state = start.select("qid", "node", F.col("weight").alias("a"))
@@ -115,16 +137,36 @@ def discovery_paths(arcs: DataFrame, trace: DataFrame, config: Dynamics = Dynami
     """(qid, node, step, path): the edges by which the diffusion first reached a node. The path is
     fixed in that step, through the largest flow (ties: the source, then the edge id, forward
     first), and continues the source's own path."""
-    flows = scratch(diffusion_flows(arcs, trace, config, gate), "paths-flows")
-    known = scratch(trace.where("step = 0").select("qid", "node", F.lit(0).alias("step"), F.array().cast("array<string>").alias("path")), "paths-0")
+    tables = ScratchTables()
+    flows = tables.write(diffusion_flows(arcs, trace, config, gate), "paths-flows")
+    ways = [trace.where("step = 0").select("qid", "node", F.lit(0).alias("step"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("edge_id"))]
     for step in range(1, config.steps + 1):
+        known = reduce(DataFrame.unionByName, ways)
         sent = flows.where(F.col("step") == step).drop("step").withColumnRenamed("target", "node")
         new = sent.join(known.select("qid", "node"), ["qid", "node"], "left_anti")
         best = new.groupBy("qid", "node").agg(F.min(F.struct((-F.col("amount")).alias("v"), "source", "edge_id", "arc_direction")).alias("b"))
-        start = known.select("qid", F.col("node").alias("source"), "path")
-        reached = best.select("qid", "node", F.col("b.source").alias("source"), F.col("b.edge_id").alias("edge_id")).join(start, ["qid", "source"])
-        known = scratch(known.unionByName(reached.select("qid", "node", F.lit(step).alias("step"), F.array_append("path", F.col("edge_id")).alias("path"))), f"paths-{step}")
-    return known
+        ways.append(tables.write(best.select("qid", "node", F.lit(step).alias("step"), "b.source", "b.edge_id"), f"paths-{step}"))
+    return _walked(reduce(DataFrame.unionByName, ways), "source", config.steps, tables)
+
+
+def _walked(ways: DataFrame, parent: str, steps: int, tables: ScratchTables) -> DataFrame:
+    """ways (qid, node, parent, edge_id, …; null parent and edge at a start) with path in place of parent
+    and edge_id: the edges from the start to the node, at most `steps`.
+
+    Pointer doubling: each row knows an ancestor and the edges from there, and takes over that row's
+    own, so that 2 ** r edges are known after r joins and no iteration carries paths. The other tables
+    of `tables` are dropped.
+    """
+    rest = [c for c in ways.columns if c not in ("qid", "node", parent, "edge_id")]
+    none = F.array().cast("array<string>")
+    jumps = tables.write(ways.select("qid", "node", *rest, F.col(parent).alias("_up"), F.when(F.col("edge_id").isNull(), none).otherwise(F.array("edge_id")).alias("path")), "paths-jumps")
+    tables.drop_all_but(jumps)
+    for _ in range((steps - 1).bit_length()):
+        above = jumps.select("qid", F.col("node").alias("_up"), F.col("_up").alias("_next"), F.col("path").alias("_before"))
+        met = jumps.join(above, ["qid", "_up"], "left")
+        jumps = tables.write(met.select("qid", "node", *rest, F.col("_next").alias("_up"), F.concat(F.coalesce("_before", none), "path").alias("path")), "paths-jumps")
+        tables.drop_all_but(jumps)
+    return jumps.drop("_up")
 
 
 def conservation(trace: DataFrame) -> DataFrame:
@@ -133,24 +175,33 @@ def conservation(trace: DataFrame) -> DataFrame:
     return sums.withColumn("conserved", (F.abs(F.col("raw_total") - 1) < 1e-10) & (F.abs(F.col("total") - 1) < 1e-10))
 
 
-def best_paths(arcs: DataFrame, seeds: DataFrame, steps: int = 8, gate: Gate | None = None) -> DataFrame:
+def best_paths(arcs: DataFrame | Adjacency, seeds: DataFrame, steps: int = 8, gate: Gate | None = None) -> DataFrame:
     """(qid, node, score, path): the largest product of effects over paths of at most `steps` arcs from
     a seed, seeds themselves included, and the edges of the path that has it.
 
     Each layer keeps the best way to a node (a combining minimum over (-score, source, edge id,
     direction), so ties go to the first source and edge), and a step is one join and one
-    aggregation. Of layers with equal scores the earliest counts.
+    aggregation. Of layers with equal scores the earliest counts. Layers hold each node's last edge
+    only; paths are found at the end.
     """
-    start = scratch(normalize(seeds.select("qid", "node", F.col("weight").cast("double").alias("weight")), ["qid"]), "best-seeds")
-    layer = start.select("qid", "node", F.col("weight").alias("score"), F.array().cast("array<string>").alias("path"))
-    out = layer.withColumn("layer", F.lit(0))
+    with _in_place(arcs) as adjacency:
+        return _best(adjacency, seeds, steps, gate)
+
+
+def _best(arcs: Adjacency, seeds: DataFrame, steps: int, gate: Gate | None) -> DataFrame:
+    tables = ScratchTables()
+    start = tables.write(normalize(seeds.select("qid", "node", F.col("weight").cast("double").alias("weight")), ["qid"]), "best-seeds")
+    none = F.lit(None).cast("string")
+    layers = [start.select("qid", "node", F.col("weight").alias("score"), none.alias("source"), none.alias("edge_id"))]
     for step in range(1, steps + 1):
-        front = layer.select("qid", F.col("node").alias("source"), F.col("score").alias("_s"), F.col("path").alias("_p"))
-        way = F.struct((-F.col("_s") * F.col("effective")).alias("m"), "source", "edge_id", "arc_direction")
-        reached = _reached(front, arcs, gate).groupBy("qid", F.col("target").alias("node")).agg(F.min_by(F.struct((F.col("_s") * F.col("effective")).alias("score"), F.array_append("_p", F.col("edge_id")).alias("path")), way).alias("b"))
-        layer = scratch(reached.select("qid", "node", "b.score", "b.path").where("score > 0"), f"best-{step}")
-        out = out.unionByName(layer.withColumn("layer", F.lit(step)))
-    best = out.groupBy("qid", "node").agg(F.min_by(F.struct("score", "path"), F.struct((-F.col("score")).alias("m"), "layer")).alias("b"))
+        front = layers[-1].select("qid", F.col("node").alias("source"), F.col("score").alias("_s"))
+        m = -F.col("_s") * F.col("effective")
+        reached = _reached(front, arcs, gate).groupBy("qid", F.col("target").alias("node")).agg(F.min(F.struct(m.alias("m"), "source", "edge_id", "arc_direction")).alias("b"))
+        layers.append(tables.write(reached.select("qid", "node", (-F.col("b.m")).alias("score"), "b.source", "b.edge_id").where("score > 0"), f"best-{step}"))
+    at = lambda layer, node: F.struct(F.lit(layer).alias("layer"), F.col(node).alias("name"))
+    ways = [t.select("qid", at(i, "node").alias("node"), "score", F.when(F.col("source").isNotNull(), at(i - 1, "source")).alias("source"), "edge_id") for i, t in enumerate(layers)]
+    walked = _walked(reduce(DataFrame.unionByName, ways), "source", steps, tables)
+    best = walked.groupBy("qid", F.col("node.name").alias("node")).agg(F.min_by(F.struct("score", "path"), F.struct((-F.col("score")).alias("m"), F.col("node.layer"))).alias("b"))
     return best.select("qid", "node", "b.score", "b.path")
 
 
