@@ -4,24 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from convmem.sources.arrays import array_elements
+
 #: A message as files have it, wrapped with its scope.
 MESSAGE = "scope string, event struct<id: string, speaker: string, time: string, text: string, replyTo: string, displayName: string, role: string, media: string>"
 
 
 def read_messages(spark: SparkSession, path: str) -> DataFrame:
     """Message files, one JSON value per line or one array per file; which of the two is told from
-    each file's first line that is not blank. Lines that cannot be parsed come with null scope
-    and event. The driver holds the files' names."""
+    each file's first line that is not blank. Files of both forms are read in splits. Lines and parts of
+    arrays that cannot be parsed come with null scope and event. The driver holds the files' names."""
     lines = spark.read.text(path).select(F.trim("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
     # Within a task the ids rise in the order of the file, and tasks start at different bytes.
     place = F.struct("start", F.monotonically_increasing_id().alias("at"))
     first = lines.withColumn("place", place).where("line <> ''").groupBy("file").agg(F.min_by("line", "place").alias("line"))
     kinds = first.select("file", F.col("line").startswith("[").alias("array")).collect()
-    parts = []
-    for array in (False, True):
-        files = [r["file"] for r in kinds if r["array"] == array]
-        parts.append(spark.read.schema(MESSAGE).option("multiLine", array).json(path).where(F.col("_metadata.file_path").isin(files)))
-    rows = parts[0].unionByName(parts[1])
+    alone, arrays = ([r["file"] for r in kinds if r["array"] == array] for array in (False, True))
+    rows = spark.read.schema(MESSAGE).json(path).where(F.col("_metadata.file_path").isin(alone))
+    if arrays:
+        rows = rows.unionByName(array_elements(spark, path, arrays).select(F.from_json("text", MESSAGE).alias("m")).select("m.*"))
     return rows.select("scope", "event.*").withColumnRenamed("replyTo", "reply_to").withColumnRenamed("displayName", "display_name")
 
 
