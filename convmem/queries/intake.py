@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from convmem.fixtures import sql_with, view
 from convmem.operators import fifo, intake
+from convmem.plans import versions
 from convmem.plans.scratch import shared_dir
 from convmem.sources import tables
 
@@ -196,13 +197,22 @@ def src_6(spark, sf):
     return tables.as_of(o, ["o_custkey"], 5000).select("o_custkey", "o_orderkey", "o_orderstatus")
 
 
+@query("src_6_changes", """
+    SELECT o_orderkey, 'removed' AS change FROM orders WHERE o_orderkey % 97 = 0
+    UNION ALL SELECT o_orderkey, 'changed' FROM orders WHERE o_orderkey % 89 = 0 AND o_orderkey % 97 <> 0
+    UNION ALL SELECT -1 - o_orderkey, 'added' FROM orders WHERE o_orderkey % 101 = 0""")
+def src_6_changes(spark, sf):
+    """What differs between two versions of a table, found down a hash tree."""
+    o = view(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    edited = o.where("o_orderkey % 97 <> 0").withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 89 == 0, "X").otherwise(F.col("o_orderstatus")))
+    added = o.where("o_orderkey % 101 = 0").withColumn("o_orderkey", -1 - F.col("o_orderkey"))
+    old, new = (versions.write_version(rows, ["o_orderkey"]) for rows in (o, edited.unionByName(added)))
+    return versions.changes(old, new)[0]
+
+
 @query("src_7_audit", "SELECT scope, id, seq FROM f_msg WHERE scope = 'g7' AND seq = 1", ("f_msg",))
 def src_7(spark, sf):
     """Looks an audited row up again after an append by scope."""
-    import uuid
-
-    from convmem.plans.scratch import shared_dir
-
     path = f"{shared_dir(spark)}/convmem-audit-{uuid.uuid4().hex}"
     m = view(spark, sf, "f_msg").select("scope", "id", "seq")
     tables.append_audit(m, path)
