@@ -8,7 +8,7 @@ from convmem.llm.batches import bound_batches
 
 
 #: Fixed by the queries' contract: blocks and exceptions by host suffix and path.
-URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
