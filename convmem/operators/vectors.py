@@ -6,15 +6,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DoubleType
 
 from convmem.plans.joins import join_checked
+from convmem.plans.scratch import scratch
 
-#: Queries whose vectors travel with the tasks, and make a block where there are more; vectors of a part.
-QUERY_BLOCK, VECTOR_BLOCK = 2_000, 20_000
+#: Queries and vectors of a block; a task holds the similarities of one block with another.
+QUERY_BLOCK, VECTOR_BLOCK = 1_000, 1_000
 #: As QUERY_BLOCK, where each query brings the candidates whose places it asks for.
 PLACE_BLOCK = 500
+#: Blocks of queries that are broadcast at a time (32 MB at 64 dimensions), pairs of a batch that is put out.
+BLOCKS, PIECE = 64, 200_000
 #: Similarities that are nearer are taken as equal: more than sums in another order differ by.
 TIE = 1e-13
 
@@ -61,15 +67,40 @@ def missing_vectors(wanted: DataFrame, stored: DataFrame, key: list[str]) -> Dat
     return wanted.join(stored.select(*key).distinct(), key, "left_anti")
 
 
-def _unit_rows(values: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    """(vectors of length 1, which rows have one): zero vectors have no direction."""
-    v = np.stack([np.asarray(x, np.float64) for x in values])
-    norms = np.linalg.norm(v, axis=1)
-    good = np.isfinite(norms) & (norms > 0)
-    return v[good] / norms[good, None], good
-
-
-def _heard(allowed: pd.Series, groups: pd.Series) -> np.ndarray | None:
+def _matrix(rows: pa.Array) -> np.ndarray:
+    """Arrays of one length as a matrix of doubles."""
+    lengths = pc.list_value_length(rows).to_numpy(zero_copy_only=False)
+    if len(rows) and (lengths != lengths[0]).any():
+        raise ValueError("vectors must have one number of dimensions")
+    return pc.list_flatten(rows).to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1)
+
+
+def _packed(rows: DataFrame, name: str, most: int, extra: dict[str, str]) -> DataFrame:
+    """Rows (name, _v, extra columns) as blocks of up to `most`, one row each: their columns as arrays in
+    order of the name, and vectors scaled to length 1 as the bytes of a matrix. Vectors without a
+    direction (zero, or not finite) are left out."""
+    columns = {name: rows.schema[name].dataType.simpleString(), **extra}
+    schema = ", ".join([*(f"{c} array<{t}>" for c, t in columns.items()), "_m binary"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, most):
+                part = pa.table({n: c for n, c in zip(batch.schema.names, batch.slice(at, most).columns)})
+                v = _matrix(part["_v"].combine_chunks())
+                with np.errstate(all="ignore"):
+                    norms = np.linalg.norm(v, axis=1)
+                good = np.flatnonzero(np.isfinite(norms) & (norms > 0))
+                good = good[pc.sort_indices(part[name].take(pa.array(good))).to_numpy()]
+                if not len(good):
+                    continue
+                kept = part.take(pa.array(good))
+                listed = {c: pa.ListArray.from_arrays(pa.array([0, len(good)], pa.int32()), kept[c].combine_chunks()) for c in columns}
+                yield pa.RecordBatch.from_pydict({**listed, "_m": pa.array([(v[good] / norms[good, None]).tobytes()], pa.binary())})
+
+    return rows.select(*columns, "_v").mapInArrow(run, schema)
+
+
+def _heard(allowed: list, groups: list) -> np.ndarray | None:
     """Which vectors each query may find; None: all find all. allowed: lists of groups, None for all."""
     limited = [i for i, a in enumerate(allowed) if a is not None]
     if not limited:
@@ -81,91 +112,137 @@ def _heard(allowed: pd.Series, groups: pd.Series) -> np.ndarray | None:
     heard = np.ones((len(allowed), len(groups)), bool)
     for i in limited:
         heard[i] = False
-        for name in allowed.iloc[i]:
+        for name in allowed[i]:
             heard[i, of.get(name, [])] = True
     return heard
 
 
-def _compared(queries: pd.DataFrame, vectors: pd.DataFrame):
-    """(queries and vectors that have a direction, their similarities, -inf where not allowed), or None."""
-    if not len(queries) or not len(vectors):
-        return None
-    m, asked = _unit_rows(queries["_v"])
-    v, good = _unit_rows(vectors["_v"])
-    if not len(m) or not len(v):
-        return None
-    queries, vectors = queries[asked], vectors[good]
-    sims, heard = m @ v.T, _heard(queries["_allow"], vectors["_groups"])
-    return queries, vectors, sims if heard is None else np.where(heard, sims, -np.inf)
-
-
-def _nearest(k: int | None):
-    """The similarities of all queries with some vectors; with k only those that can be among a query's
-    k best: all that reach the k-th value here, so that ties are settled by id later."""
-
-    def run(queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
-        found = _compared(queries, vectors)
-        if found is None:
-            return pd.DataFrame({"qid": pd.Series(dtype=object), "id": pd.Series(dtype=object), "score": pd.Series(dtype="float64")})
-        queries, vectors, sims = found
-        reached = sims > -np.inf
-        if k is not None and k < len(vectors):
-            reached &= sims >= np.partition(sims, len(vectors) - k, axis=1)[:, len(vectors) - k, None] - 1e-9
-        q, at = np.nonzero(reached)
-        return pd.DataFrame({"qid": queries["qid"].to_numpy()[q], "id": vectors["_id"].to_numpy()[at], "score": sims[q, at]})
+def _compared(queries: bytes, vectors: bytes, allowed: pa.Array, groups: pa.Array) -> np.ndarray:
+    """The similarities of a block of queries with a block of vectors, -inf where not allowed; of queries
+    with several vectors the largest."""
+    n, m = len(allowed), len(groups)
+    v, q = np.frombuffer(vectors).reshape(m, -1), np.frombuffer(queries)
+    width = q.size // (n * v.shape[1])  # vectors of a query, end to end
+    sims = q.reshape(n * width, -1) @ v.T
+    if width > 1:
+        sims = sims.reshape(n, width, m).max(axis=1) * np.sqrt(width)
+    if allowed.null_count < n:
+        sims[~_heard(allowed.to_pylist(), groups.to_pylist())] = -np.inf
+    return sims
+
+
+def _first(values: np.ndarray, k: int) -> np.ndarray:
+    """Which k of each row come first by (-value, place); -inf never does."""
+    chosen = values > -np.inf
+    if k < values.shape[1]:
+        kth = -np.partition(-values, k - 1, axis=1)[:, k - 1, None]
+        above = values > kth
+        tied = chosen & (values == kth)
+        chosen &= above | (tied & (np.cumsum(tied, axis=1) <= k - above.sum(axis=1)[:, None]))
+    return chosen
+
+
+def _names(rows: pa.ListArray, at: int) -> pa.Array:
+    return rows[at].values
+
+
+def _pieces(names: pa.Array, ids: pa.Array, sims: np.ndarray, chosen: np.ndarray | None, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows (query, id, score) of the chosen pairs, in batches of bounded size."""
+    step = max(1, PIECE // max(1, sims.shape[1]))
+    for a in range(0, len(sims), step):
+        q, at = np.nonzero(sims[a:a + step] > -np.inf if chosen is None else chosen[a:a + step])
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(q + a)).cast(schema.types[0]), ids.take(pa.array(at)).cast(schema.types[1]), pa.array(sims[a + q, at])], schema=schema)
+
+
+def _nearest(k: int | None, digits: int, largest: bool, qid: pa.DataType, id_: pa.DataType):
+    """The similarities of all queries with the vectors; with k only those that can be among a query's k
+    best by (-score rounded to digits, id). A task holds one block of each side at a time, and the
+    k-th score that a query reached in one block is the floor of what later ones may bring."""
+    schema = pa.schema([("qid", qid), ("id", id_), ("score", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        floors: dict[str, np.ndarray] = {}
+        for batch in batches:
+            c = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+            for r in range(batch.num_rows):
+                names, ids = _names(c["qid"], r), _names(c["_id"], r)
+                sims = _compared(c["_mq"][r].as_py(), c["_m"][r].as_py(), _names(c["_allow"], r), _names(c["_groups"], r))
+                if k is None:
+                    yield from _pieces(names, ids, sims, None, schema)
+                    continue
+                sims = np.round(sims, digits)
+                if largest:  # blocks are in order of id
+                    sims, ids = np.ascontiguousarray(sims[:, ::-1]), ids.take(pa.array(np.arange(len(ids))[::-1]))
+                floor = floors.setdefault(c["_b"][r].as_py(), np.full(len(names), -np.inf))
+                sims[sims < floor[:, None]] = -np.inf
+                if k <= sims.shape[1]:
+                    np.maximum(floor, -np.partition(-sims, k - 1, axis=1)[:, k - 1], out=floor)
+                yield from _pieces(names, ids, sims, _first(sims, k), schema)
 
     return run
 
 
-def _better(queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
-    """How many of some vectors come before each of a query's candidates (_scores, _ids) by
-    (-similarity, id): counted from sorted similarities, and by sorted ids among the equal ones."""
-    found = _compared(queries, vectors)
-    if found is None:
-        return pd.DataFrame({"qid": pd.Series(dtype=object), "id": pd.Series(dtype=object), "better": pd.Series(dtype="int64")})
-    queries, vectors, sims = found
-    names, order = np.unique(vectors["_id"].to_numpy(), return_inverse=True)
-    rows = []
-    for row, qid, scores, ids in zip(sims, queries["qid"], queries["_scores"], queries["_ids"]):
-        scores, ids, ordered = np.asarray(scores, np.float64), np.asarray(ids, names.dtype), np.sort(row)
-        high, low = np.searchsorted(ordered, scores + TIE, "right"), np.searchsorted(ordered, scores - TIE, "left")
-        better = len(row) - high
-        tied = np.flatnonzero(high > low)
-        if len(tied):
-            before = np.searchsorted(names, ids[tied], "left")
-            by_score = np.argsort(scores[tied], kind="stable")
-            runs = np.split(by_score, np.flatnonzero(np.diff(scores[tied][by_score]) > TIE) + 1)
-            for run in runs:  # copies share one run
-                members = np.sort(order[np.abs(row - scores[tied[run[0]]]) <= TIE])
-                better[tied[run]] += np.searchsorted(members, before[run], "left")
-        rows += [(qid, i, n) for i, n in zip(ids.tolist(), better.tolist()) if n]
-    columns = list(zip(*rows)) or [(), (), ()]
-    return pd.DataFrame({"qid": pd.Series(columns[0], dtype=object), "id": pd.Series(columns[1], dtype=object), "better": pd.Series(columns[2], dtype="int64")})
-
-
-def _meet(queries: DataFrame, vectors: DataFrame, compare, schema: str, block: int, part: int) -> DataFrame | None:
-    """compare(queries, vectors) for every block of queries and every part of the vectors; None
-    without queries.
-
-    Up to `block` queries travel with the tasks, which compare them with the vectors they read, so
-    vectors are not shuffled. More queries are dealt into blocks and vectors into parts, as rows, and
-    each pair of a block and a part is one task's work, of bounded size.
-    """
-    few = queries.limit(block + 1).toPandas()  # bounded
-    if not len(few):
-        return None
-    if len(few) <= block:
+def _better(qid: pa.DataType):
+    """How many vectors come before each of a query's candidates (_scores, _ids) by (-similarity, id):
+    counted from sorted similarities, and by ids among the equal ones. A task sums its counts."""
+    schema = pa.schema([("qid", qid), ("_at", pa.int32()), ("better", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, tuple[list, list[np.ndarray]]] = {}
+        for batch in batches:
+            c = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+            for r in range(batch.num_rows):
+                ids = np.array(_names(c["_id"], r).to_pylist(), object)
+                sims = _compared(c["_mq"][r].as_py(), c["_m"][r].as_py(), _names(c["_allow"], r), _names(c["_groups"], r))
+                asked, known = _names(c["_scores"], r), _names(c["_ids"], r)
+                if c["_b"][r].as_py() not in sums:
+                    sums[c["_b"][r].as_py()] = _names(c["qid"], r).to_pylist(), [np.zeros(len(x), np.int64) for x in asked]
+                for at, (row, counted) in enumerate(zip(sims, sums[c["_b"][r].as_py()][1])):
+                    scores, ordered = asked[at].values.to_numpy(), np.sort(row)
+                    high, low = np.searchsorted(ordered, scores + TIE, "right"), np.searchsorted(ordered, scores - TIE, "left")
+                    counted += len(row) - high
+                    tied = np.flatnonzero(high > low)
+                    if len(tied):
+                        before = np.searchsorted(ids, np.array(known[at].values.to_pylist(), object)[tied], "left")
+                        by_score = np.argsort(scores[tied], kind="stable")
+                        runs = np.split(by_score, np.flatnonzero(np.diff(scores[tied][by_score]) > TIE) + 1)
+                        for run_ in runs:  # copies share one run; blocks are in order of id
+                            members = np.flatnonzero(np.abs(row - scores[tied[run_[0]]]) <= TIE)
+                            counted[tied[run_]] += np.searchsorted(members, before[run_], "left")
+        for names, counts in sums.values():
+            for a in range(0, len(names), PLACE_BLOCK):
+                held = counts[a:a + PLACE_BLOCK]
+                sizes = [len(x) for x in held]
+                places = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])
+                yield pa.RecordBatch.from_arrays([pa.array(names[a:a + PLACE_BLOCK]).take(pa.array(np.repeat(np.arange(len(held)), sizes))).cast(qid), pa.array(places), pa.array(np.concatenate(held))], schema=schema)
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                yield compare(few, batch)
+    return run
 
-        return vectors.mapInPandas(run, schema)
-    blocks, parts = -(-queries.count() // block), max(1, -(-vectors.count() // part))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
-    q = queries.withColumn("_b", F.pmod(F.xxhash64("qid"), F.lit(blocks))).withColumn("_p", every(parts))
-    c = vectors.withColumn("_p", F.pmod(F.xxhash64("_id"), F.lit(parts))).withColumn("_b", every(blocks))
-    return q.groupBy("_b", "_p").cogroup(c.groupBy("_b", "_p")).applyInPandas(lambda a, b: compare(a, b), schema)
+
+def _meet(queries: DataFrame, vectors: DataFrame, compare, schema: str, block: int, part: int, extra: dict[str, str] | None = None) -> DataFrame | None:
+    """compare, a function for mapInArrow, over every pair of a block of queries and a block of vectors,
+    a row each; None without queries.
+
+    Queries are counted, and their blocks are broadcast, so vectors are read once and moved once, packed,
+    for an even spread. Beyond BLOCKS blocks the queries are taken in as many rounds as it needs. What a
+    task holds depends on the sizes of the blocks alone, and so does a row of work.
+    """
+    queries = scratch(queries, "vector-queries")
+    count = queries.count()
+    if not count:
+        return None
+    spread = {"_allow": "array<string>", **(extra or {})}
+    blocks = -(-count // block)
+    rounds = -(-blocks // BLOCKS)
+    tasks = max(queries.sparkSession.sparkContext.defaultParallelism, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = _packed(vectors, "_id", part, {"_groups": "array<string>"}).repartition(tasks)
+    out = None
+    for i in range(rounds):
+        some = queries.where(F.pmod(F.xxhash64("qid"), F.lit(rounds)) == i) if rounds > 1 else queries
+        packed = _packed(some.repartition(-(-blocks // rounds)), "qid", block, spread).withColumnRenamed("_m", "_mq").withColumn("_b", F.md5(F.concat("_mq", F.col("qid")[0].cast("string").cast("binary"))))
+        found = parts.crossJoin(F.broadcast(packed)).mapInArrow(compare, schema)
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def _sides(queries: DataFrame, vectors: DataFrame, qid: str, id_col: str, vector: str, allowed: str | None, groups: str | None) -> tuple[DataFrame, DataFrame]:
@@ -178,26 +255,44 @@ def _sides(queries: DataFrame, vectors: DataFrame, qid: str, id_col: str, vector
 
 def cosine_topk(
     queries: DataFrame, vectors: DataFrame, k: int | None, qid: str = "qid", id_col: str = "id", vector: str = "vector", block: int = QUERY_BLOCK, part: int = VECTOR_BLOCK,
-    allowed: str | None = None, groups: str | None = None,
+    allowed: str | None = None, groups: str | None = None, digits: int = 12, largest: bool = False,
 ) -> DataFrame:
     """(qid, id, score, rank): the k most similar vectors of each query (None: all), ties by
-    ascending id.
+    ascending id, or descending if largest. Scores are equal if they are so when rounded to digits,
+    and rounded ones are returned if there is a k.
 
     Queries meet vectors as in _meet, and about k rows for each query and task are shuffled. Zero and
     null vectors have no similarity and are left out. Filters on the collection are applied before by
     the caller and reach the scan; `allowed` names a column of queries with the groups a query may
     find (null: all), `groups` one of vectors with the groups a vector is in.
     """
-    id_type, qid_type = vectors.schema[id_col].dataType.simpleString(), queries.schema[qid].dataType.simpleString()
-    schema = f"qid {qid_type}, id {id_type}, score double"
+    id_type, qid_type = vectors.schema[id_col].dataType, queries.schema[qid].dataType
+    schema = f"qid {qid_type.simpleString()}, id {id_type.simpleString()}, score double"
     asked, collection = _sides(queries, vectors, qid, id_col, vector, allowed, groups)
-    found = _meet(asked, collection, _nearest(k), schema, block, part)
+    found = _meet(asked, collection, _nearest(k, digits, largest, to_arrow_type(qid_type), to_arrow_type(id_type)), schema, block, part)
     if found is None:
         return queries.sparkSession.createDataFrame([], schema + ", rank int")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(F.round("score", 12)), "id")))
+    order = F.desc(F.round("score", digits)), F.desc("id") if largest else F.asc("id")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*order)))
     return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
+def cosine_best(queries: DataFrame, vectors: DataFrame, qid: str = "qid", id_col: str = "id", vector: str = "vector", block: int = QUERY_BLOCK, part: int = VECTOR_BLOCK) -> DataFrame:
+    """(qid, id, score) of all queries and vectors: the largest similarity where a query has several
+    rows, found where both are compared, so no pair is shuffled."""
+    id_type, qid_type = vectors.schema[id_col].dataType, queries.schema[qid].dataType
+    schema = f"qid {qid_type.simpleString()}, id {id_type.simpleString()}, score double"
+    asked, collection = _sides(queries, vectors, qid, id_col, vector, None, None)
+    several = asked.select("qid", "_allow", unit(F.col("_v")).alias("_v")).where("_v IS NOT NULL").groupBy("qid", "_allow").agg(F.collect_list("_v").alias("_l"))
+    several = scratch(several, "vector-cues")
+    width = several.agg(F.max(F.size("_l"))).first()[0]
+    if not width:
+        return queries.sparkSession.createDataFrame([], schema)
+    # Shorter lists repeat their vectors.
+    even = several.select("qid", F.flatten(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.get("_l", i % F.size("_l")))).alias("_v"), "_allow")
+    return _meet(even, collection, _nearest(None, 12, False, to_arrow_type(qid_type), to_arrow_type(id_type)), schema, block, part)
+
+
 @F.pandas_udf(DoubleType())
 def _cosine(a: pd.Series, b: pd.Series) -> pd.Series:
     if not len(a):
@@ -229,13 +324,15 @@ def cosine_places(
     among all vectors that the query may find, by (-score, id).
 
     Vectors are read once and only counts are shuffled, at most one row a task and wanted pair,
-    however many vectors come before. wanted has a bounded number of rows for each query.
+    however many vectors come before. wanted has a bounded number of rows for each query, and a task
+    holds a count for each.
     """
-    id_type, qid_type = vectors.schema[id_col].dataType.simpleString(), queries.schema[qid].dataType.simpleString()
+    qid_type, id_type = queries.schema[qid].dataType, vectors.schema[id_col].dataType.simpleString()
     asked, collection = _sides(queries, vectors, qid, id_col, vector, allowed, groups)
-    listed = wanted.groupBy("qid").agg(F.collect_list(F.struct("score", "id")).alias("_l")).select("qid", F.col("_l.score").alias("_scores"), F.col("_l.id").alias("_ids"))
-    found = _meet(asked.join(listed, "qid"), collection, _better, f"qid {qid_type}, id {id_type}, better bigint", block, part)
-    places = wanted.select("qid", "id")
+    listed = wanted.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("score", "id"))).alias("_l")).select("qid", F.col("_l.score").alias("_scores"), F.col("_l.id").alias("_ids"))
+    listed = scratch(listed, "vector-places")
+    found = _meet(asked.join(listed, "qid"), collection, _better(to_arrow_type(qid_type)), f"qid {qid_type.simpleString()}, _at int, better bigint", block, part, {"_scores": "array<double>", "_ids": f"array<{id_type}>"})
+    places = listed.select("qid", F.posexplode("_ids").alias("_at", "id"))
     if found is None:
-        return places.withColumn("rank", F.lit(1).cast("bigint")).where("1 = 0")
-    return places.join(found.groupBy("qid", "id").agg(F.sum("better").alias("_n")), ["qid", "id"], "left").select("qid", "id", (1 + F.coalesce("_n", F.lit(0))).alias("rank"))
+        return places.select("qid", "id", F.lit(1).cast("bigint").alias("rank")).where("1 = 0")
+    return places.join(found.groupBy("qid", "_at").agg(F.sum("better").alias("_n")), ["qid", "_at"], "left").select("qid", "id", (1 + F.coalesce("_n", F.lit(0))).alias("rank"))
