@@ -21,6 +21,8 @@ QUERY_BLOCK, VECTOR_BLOCK = 1_000, 1_000
 PLACE_BLOCK = 500
 #: Blocks of queries that are broadcast at a time (32 MB at 64 dimensions), pairs of a batch that is put out.
 BLOCKS, PIECE = 64, 200_000
+#: Arcs that a block of queries meets at a time.
+ARCS = 1_000
 #: Similarities that are nearer are taken as equal: more than sums in another order differ by.
 TIE = 1e-13
 
@@ -293,6 +295,44 @@ def cosine_best(queries: DataFrame, vectors: DataFrame, qid: str = "qid", id_col
     return _meet(even, collection, _nearest(None, 12, False, to_arrow_type(qid_type), to_arrow_type(id_type)), schema, block, part)
 
 
+def cosine_ends(arcs: DataFrame, queries: DataFrame, ends: list[str], deal: int, qid: str = "qid", vector: str = "vector", block: int = QUERY_BLOCK) -> DataFrame:
+    """Every arc for every query, with the query's similarities to its two ends as _sa and _ta; 0 where an
+    end or the query has no direction. arcs has the vectors of its ends, of length 1 or null, as _<end>,
+    and `deal` the number of parts it is dealt into by its ends; a part meets one block of queries at a time."""
+    asked = scratch(queries.select(F.col(qid).alias("qid"), unit(F.col(vector)).alias("_v")), "vector-queries")
+    kept = [c for c in arcs.columns if c not in [f"_{e}" for e in ends]]
+    fields = {"qid": asked.schema["qid"].dataType, **{c: arcs.schema[c].dataType for c in kept}, "_sa": DoubleType(), "_ta": DoubleType()}
+    schema = pa.schema([(c, to_arrow_type(t)) for c, t in fields.items()])
+    blocks = _packed(asked.where("_v IS NOT NULL").repartition(max(1, -(-asked.count() // block))), "qid", block, {}).withColumnRenamed("_m", "_mq")
+    arc = F.struct(F.struct(*kept).alias("_arc"), *[f"_{e}" for e in ends])
+    dealt = arcs.groupBy(F.pmod(F.xxhash64(*ends), F.lit(deal)).alias("_p")).agg(F.collect_list(arc).alias("_l"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                rows, names = batch.column("_l")[r].values, batch.column("qid")[r].values
+                q = np.frombuffer(batch.column("_mq")[r].as_py()).reshape(len(names), -1)
+                arc = rows.field("_arc")
+                sims = []
+                for e in ends:
+                    v = rows.field(f"_{e}")
+                    has = np.flatnonzero(v.is_valid().to_numpy(zero_copy_only=False))
+                    s = np.zeros((len(names), len(rows)))
+                    if len(has):
+                        s[:, has] = q @ _matrix(v.take(pa.array(has))).T
+                    sims.append(np.round(s, 12))
+                step = max(1, PIECE // len(rows))
+                for a in range(0, len(names), step):
+                    n = len(names[a:a + step])
+                    every, each = pa.array(np.repeat(np.arange(a, a + n), len(rows))), pa.array(np.tile(np.arange(len(rows)), n))
+                    columns = [names.take(every), *(arc.field(c).take(each) for c in kept), *(pa.array(s[a:a + n].ravel()) for s in sims)]
+                    yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, schema.types)], schema=schema)
+
+    found = dealt.crossJoin(F.broadcast(blocks)).mapInArrow(run, ", ".join(f"{c} {t.simpleString()}" for c, t in fields.items()))
+    aimless = arcs.select(*kept).crossJoin(asked.where("_v IS NULL").select("qid"))
+    return found.unionByName(aimless.withColumns({"_sa": F.lit(0.0), "_ta": F.lit(0.0)}))
+
+
 @F.pandas_udf(DoubleType())
 def _cosine(a: pd.Series, b: pd.Series) -> pd.Series:
     if not len(a):

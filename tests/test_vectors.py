@@ -64,3 +64,22 @@ def test_all_similarities_leave_a_task_in_bounded_batches(spark, monkeypatch):
 
     monkeypatch.setattr(vectors, "_nearest", watched)
     assert vectors.cosine_topk(q, d, None).count() == 300_000 and sizes.value == 0
+
+
+def test_every_arc_is_gated_for_every_query(spark, monkeypatch):
+    """rcl_12_gate read the arcs of the fifty nearest nodes of a query only."""
+    from convmem.operators import recall
+
+    rng = np.random.default_rng(8)
+    space, have = _some(spark, rng, 60, "n")
+    nodes = space.selectExpr("id", "CASE WHEN id LIKE '%3' THEN 'PERSON' ELSE 'MEMORY' END AS type").where("id NOT LIKE '%5'")
+    pairs = sorted({(f"n{a:03}", f"n{b:03}") for a, b in rng.integers(0, 70, (150, 2)).tolist()})
+    arcs = spark.createDataFrame([(a, b, 0.5) for a, b in pairs], "source string, target string, effective double")
+    asked = {f"q{i}": rng.integers(-3, 4, 8).astype(float) for i in range(5)} | {"q7": np.zeros(8)}
+    queries = spark.createDataFrame([(i, x.tolist()) for i, x in asked.items()], "qid string, vector array<double>")
+    monkeypatch.setattr(recall, "ARCS", 40)
+    affinity = spark.createDataFrame([(i, n, _cosine(x, y)) for i, x in asked.items() for n, y in have.items() if x.any() and y.any()], "qid string, id string, affinity double")
+    plain = recall.gated_arcs(arcs.crossJoin(queries.select("qid")), affinity, nodes)
+    rows = lambda d: {(r["qid"], r["source"], r["target"]): round(r["effective"], 9) for r in d.collect()}
+    got = recall.gated_for_all(arcs, queries, space, nodes)
+    assert rows(got) == rows(plain) and got.count() == 6 * len(pairs)
