@@ -72,6 +72,18 @@ def bigrams(text: Column) -> Column:
     return F.array_distinct(F.filter(pairs, lambda g: (F.char_length(g) == 2) & (F.trim(g) != "")))
 
 
+def bigram_codes(text: Column) -> Column:
+    """The pairs of bigrams() as numbers: the first code point times 2 ** 21 plus the second."""
+    points = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("bigint"))
+
+    def pairs(p: Column) -> Column:
+        n = F.greatest(F.size(p) - 1, F.lit(0))
+        codes = F.zip_with(F.slice(p, F.lit(1), n), F.slice(p, F.lit(2), n), lambda a, b: a * (1 << 21) + b)
+        return F.array_distinct(F.filter(codes, lambda g: g != 32 * (1 << 21) + 32))
+
+    return F.get(F.transform(F.array(points), pairs), F.lit(0))  # so the text is split once
+
+
 def tokens(text: Column) -> Column:
     """Runs of ASCII letters, digits and underscores, single CJK characters, and the concatenation
     of each neighbouring pair of these."""
