@@ -10,7 +10,7 @@ from convmem.fixtures import sql_with, view
 from convmem.functions import hooks
 from convmem.functions.text import bigrams, clean_text
 from convmem.operators import context, fifo, intake, segment
-from convmem.plans.scratch import shared_dir
+from convmem.plans.scratch import scratch, shared_dir
 from convmem.streaming import dedup, jobs, topics
 
 QUERIES: dict = {}
@@ -165,7 +165,9 @@ _DECIDE = f"""{_CAND}, best AS (SELECT scope, target, max(score) AS top, count(*
 
 
 def _decisions(spark, sf):
-    c = _candidates(spark, sf).withColumn("score", F.round("score", 12))
+    """Decisions and candidates; the candidates are written, as they are read two or three times."""
+    c = _candidates(spark, sf).select("target", "episode", "position", F.round("score", 12).alias("score"))
+    c = scratch(c, "seg-candidates")
     return segment.decide(hooks.route_scores(c), c), c
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from convmem.functions.text import bigram_codes, bigrams
 from convmem.operators import segment
+from convmem.queries import segment as queries
 
 MESSAGE = "scope string, episode string, id string, seq bigint, t bigint, speaker string, text string, reply_to string"
 
@@ -55,3 +56,9 @@ def test_targets_meet_states_once(spark):
     m = spark.createDataFrame([("s", "k", "m0", 0, 10, "u", "ab", None)], MESSAGE)
     joins = [line for line in _plan(segment.topic_scores(m, m)).splitlines() if " Join " in line or line.startswith("Join ")]
     assert sum("_cell" in line for line in joins) == 1
+
+
+def test_decisions_read_written_candidates(spark):
+    for name in ("seg_10_decide", "seg_11_decision_check"):
+        plan = _plan(queries.QUERIES[name](spark, "/root/testdata/sf0.001"))
+        assert "Window" not in plan and "ArrowEvalPython" not in plan and "Join" in plan
