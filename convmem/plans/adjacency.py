@@ -4,6 +4,9 @@ An iteration that joins plain arcs shuffles all of them at every step. Here arcs
 source's arcs lie in blocks of about BLOCK arcs, and the table is bucketed and sorted by (source,
 block). A step shuffles (or broadcasts) what it expands, and no arcs. A source of huge degree is
 many blocks in many buckets, so no task holds all its arcs.
+
+Dealing moves every arc, which does not pay while a step expands few nodes: WrittenArcs sends such nodes
+to the arcs, and deals these at the first step that expands many.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from convmem.plans.joins import join_checked
+from convmem.plans.joins import BROADCAST_ROWS, join_checked
 from convmem.plans.scratch import drop_scratch, shared_dir, write_scratch
 
 #: Arcs of a block on average where a source has more, and arcs of a bucket.
@@ -64,3 +67,26 @@ def write_adjacency(arcs: DataFrame, key: list[str], block: int = BLOCK, bucket:
     table, path = f"adjacency_{uuid.uuid4().hex}", f"{shared_dir(spark)}/convmem-adjacency-{uuid.uuid4().hex}"
     packed.write.bucketBy(buckets, *key, "_block").sortBy(*key, "_block").option("path", path).saveAsTable(table)
     return Adjacency(key, spark.table(table), hubs, table, (path, degrees_path))
+
+
+class WrittenArcs:
+    """Arcs written once as they come, and as an Adjacency once a step expands more than `limit` rows."""
+
+    def __init__(self, arcs: DataFrame, key: list[str], limit: int = BROADCAST_ROWS) -> None:
+        self.key, self.limit = key, limit
+        self.arcs, self.path = write_scratch(arcs, "arcs")
+        self.dealt: Adjacency | None = None
+
+    def of(self, front: DataFrame) -> DataFrame:
+        """As Adjacency.of(); front must be cheap to count (a written table) and narrow."""
+        if self.dealt is None and front.limit(self.limit + 1).count() > self.limit:
+            self.dealt = write_adjacency(self.arcs, self.key)
+        if self.dealt is not None:
+            return self.dealt.of(front)
+        return self.arcs.join(F.broadcast(front), self.key).select(*front.columns, *[c for c in self.arcs.columns if c not in self.key])
+
+    def drop(self) -> None:
+        """As Adjacency.drop()."""
+        drop_scratch(self.arcs.sparkSession, self.path)
+        if self.dealt is not None:
+            self.dealt.drop()

@@ -3,8 +3,8 @@
 State is a table (qid, node, a), so many queries run in one job. Every step is one written table
 (lineage stays short, and a lost executor repeats tasks of one step only). Arcs have source,
 target, edge_id, arc_direction and effective; with a qid column they are each query's own,
-else all queries share them. Iterations write them once as an adjacency, or take one that the caller
-has written and drops.
+else all queries share them. Iterations write them once and deal them when a step expands many nodes
+(adjacency.WrittenArcs), or take an adjacency that the caller has written and drops.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from convmem.operators.graph import normalize
-from convmem.plans.adjacency import Adjacency, write_adjacency
+from convmem.plans.adjacency import Adjacency, WrittenArcs
 from convmem.plans.scratch import ScratchTables
 
 
@@ -47,26 +47,26 @@ Gate = Callable[[DataFrame], DataFrame]
 
 
 @contextmanager
-def _in_place(arcs: DataFrame | Adjacency) -> Iterator[Adjacency]:
-    """The arcs' adjacency, deleted in the end if it was written here."""
+def _in_place(arcs: DataFrame | Adjacency) -> Iterator[Adjacency | WrittenArcs]:
+    """The arcs where steps read them, deleted in the end if they were written here."""
     if isinstance(arcs, Adjacency):
         yield arcs
         return
-    written = write_adjacency(arcs, _arc_key(arcs))
+    written = WrittenArcs(arcs, _arc_key(arcs))
     try:
         yield written
     finally:
         written.drop()
 
 
-def _reached(mass: DataFrame, arcs: DataFrame | Adjacency, gate: Gate | None) -> DataFrame:
+def _reached(mass: DataFrame, arcs: DataFrame | Adjacency | WrittenArcs, gate: Gate | None) -> DataFrame:
     """The arcs of the sources (qid, source, …) that a step expands, gated if asked. Only these arcs
     meet a query, so a gate costs nothing for the rest of the graph."""
-    out = arcs.of(mass) if isinstance(arcs, Adjacency) else mass.join(arcs, _arc_key(arcs))
+    out = arcs.of(mass) if isinstance(arcs, Adjacency | WrittenArcs) else mass.join(arcs, _arc_key(arcs))
     return gate(out) if gate else out
 
 
-def _flows(mass: DataFrame, arcs: Adjacency, config: Dynamics, gate: Gate | None) -> DataFrame:
+def _flows(mass: DataFrame, arcs: Adjacency | WrittenArcs, config: Dynamics, gate: Gate | None) -> DataFrame:
     """What each source (qid, source, a) sends along its arcs: (qid, source, target, edge_id,
     arc_direction, amount, out), out being all that the source sends."""
     p = F.col("a") * F.col("effective") - config.flow_floor
@@ -88,7 +88,7 @@ def diffuse(arcs: DataFrame | Adjacency, seeds: DataFrame, config: Dynamics = Dy
         return _diffused(adjacency, seeds, config, gate)
 
 
-def _diffused(arcs: Adjacency, seeds: DataFrame, config: Dynamics, gate: Gate | None) -> DataFrame:
+def _diffused(arcs: Adjacency | WrittenArcs, seeds: DataFrame, config: Dynamics, gate: Gate | None) -> DataFrame:
     tables = ScratchTables()
     start = tables.write(normalize(seeds.select("qid", "node", F.col("weight").cast("double").alias("weight")), ["qid"]), "diffuse-seeds")
     state = start.select("qid", "node", F.col("weight").alias("a"))
@@ -188,7 +188,7 @@ def best_paths(arcs: DataFrame | Adjacency, seeds: DataFrame, steps: int = 8, ga
         return _best(adjacency, seeds, steps, gate)
 
 
-def _best(arcs: Adjacency, seeds: DataFrame, steps: int, gate: Gate | None) -> DataFrame:
+def _best(arcs: Adjacency | WrittenArcs, seeds: DataFrame, steps: int, gate: Gate | None) -> DataFrame:
     tables = ScratchTables()
     start = tables.write(normalize(seeds.select("qid", "node", F.col("weight").cast("double").alias("weight")), ["qid"]), "best-seeds")
     none = F.lit(None).cast("string")

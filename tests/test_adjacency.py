@@ -79,3 +79,23 @@ def test_paths_by_doubling_along_a_chain(spark, steps):
     config = dynamics.Dynamics(steps=steps, flow_floor=0.0)
     trace = dynamics.diffuse(chain, seeds, config)
     assert {r["node"]: r["path"] for r in dynamics.discovery_paths(chain, trace, config).collect()} == want
+
+
+def test_few_nodes_go_to_the_arcs_and_many_have_them_dealt(spark, arcs):
+    front = spark.createDataFrame([("q1", "hub", 0.5), ("q1", "n9", 0.2), ("q2", "nowhere", 0.3), ("q3", None, 1.0)], "qid string, source string, a double")
+    want = _rows(front.join(arcs, "source").select("qid", "source", "a", "target", "edge_id", "arc_direction", "effective"))
+    written = adjacency.WrittenArcs(arcs, ["source"], limit=4)
+    met = written.of(front)
+    assert written.dealt is None and _rows(met) == want
+    assert "Exchange hashpartitioning" not in met._jdf.queryExecution().executedPlan().toString()
+    assert _rows(written.of(front.unionByName(front))) == sorted(want * 2, key=repr) and written.dealt is not None
+    assert _rows(written.of(front)) == want  # once dealt, they are read there
+    written.drop()
+    assert not os.path.exists(written.path.removeprefix("file://")) and not spark.catalog.tableExists(written.dealt.table)
+
+
+def test_paths_from_few_seeds_deal_no_arcs(spark, arcs, monkeypatch):
+    seeds = spark.createDataFrame([("q1", "hub", 1.0)], "qid string, node string, weight double")
+    want = _rows(dynamics.best_paths(arcs, seeds, 2))
+    monkeypatch.setattr(adjacency, "write_adjacency", lambda *_: pytest.fail("arcs were dealt"))
+    assert _rows(dynamics.best_paths(arcs, seeds, 2)) == want and len(want) > 100
