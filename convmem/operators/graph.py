@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from convmem.plans.joins import join_checked
+from convmem.plans.scratch import scratch
+
 CAUSAL = "CAUSAL"
 
 
@@ -39,13 +42,16 @@ def visible_edges(edges: DataFrame, writes: DataFrame, episodes: DataFrame, publ
     """
     committed = writes.where("status = 'COMMITTED'").select("scope", "write_id", F.col("episode").alias("_episode"), F.col("kind").alias("_kind"))
     states = episodes.select("scope", F.col("episode").alias("_episode"), ((F.col("lifecycle") == "legacy") & (F.col("episode_status") != "OPEN")).alias("_closed"))
-    final = committed.where("_kind = 'consolidation'").select("scope", "write_id")
-    published = publications.join(final, ["scope", "write_id"], "left_semi").select("scope", F.col("edge_id").alias("id"), F.lit(True).alias("_published")).distinct()
-    joined = edges.join(committed, ["scope", "write_id"]).join(states, ["scope", "_episode"], "left").join(published, ["scope", "id"], "left")
-    seen = F.coalesce("_closed", F.lit(False)) | (F.col("_kind") == "consolidation") | F.coalesce("_published", F.lit(False))
+    own = F.coalesce("_closed", F.lit(False)) | (F.col("_kind") == "consolidation")
     if episode is not None:
-        seen = seen | (F.col("_episode") == episode)
-    return joined.where(F.coalesce(seen, F.lit(False))).select(*edges.columns)
+        own = own | (F.col("_episode") == episode)
+    allowed = committed.join(states, ["scope", "_episode"], "left").select("scope", "write_id", "_kind", F.coalesce(own, F.lit(False)).alias("_own"))
+    # A few writes can hold all edges, so edges are dealt by their writes only where these are too many to send round.
+    allowed = scratch(allowed, "edge-writes")
+    final = allowed.where("_kind = 'consolidation'").select("scope", "write_id")
+    published = join_checked(publications, final, ["scope", "write_id"], "left_semi").select("scope", F.col("edge_id").alias("id"), F.lit(True).alias("_published")).distinct()
+    joined = join_checked(edges, allowed.drop("_kind"), ["scope", "write_id"], "inner").join(published, ["scope", "id"], "left")
+    return joined.where(F.col("_own") | F.coalesce("_published", F.lit(False))).select(*edges.columns)
 
 
 def combine_parallel(edges: DataFrame, key: list[str] | None = None) -> DataFrame:
