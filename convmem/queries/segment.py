@@ -145,7 +145,7 @@ _FEATURES = f"""WITH {_CAND}, cm AS (SELECT pm.*, c.position FROM pm JOIN cand c
 
 def _features(spark, sf):
     m = _msg(spark, sf)
-    said = F.struct("id", "speaker", "text")
+    said = F.struct("id", "speaker", F.substring("text", 1, segment.QUOTE).alias("text"))
     ahead = m.select("scope", "seq", F.struct("id", "speaker", "text").alias("m"))
     lines = m.select("scope", F.col("id").alias("target"), F.explode(F.sequence(F.col("seq") - 8, F.col("seq") - 1)).alias("seq")).join(ahead, ["scope", "seq"]).select("target", F.col("seq").alias("pos"), "m.id", "m.speaker", "m.text")
     own = Window.partitionBy("scope", "episode").orderBy("seq")

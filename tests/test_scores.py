@@ -62,3 +62,17 @@ def test_decisions_read_written_candidates(spark):
     for name in ("seg_10_decide", "seg_11_decision_check"):
         plan = _plan(queries.QUERIES[name](spark, "/root/testdata/sf0.001"))
         assert "Window" not in plan and "ArrowEvalPython" not in plan and "Join" in plan
+
+
+def test_no_more_of_candidates_texts_is_moved_than_shown(spark):
+    """A candidate's message of 500 characters is shown with 40 and quoted with 80, and no more of it leaves for its target."""
+    long = "".join(chr(0x4E00 + i) for i in range(500))
+    targets = spark.createDataFrame([("m9", "u", "yes", "m0")], "target string, speaker string, text string, reply_to string")
+    context = spark.createDataFrame([], "target string, pos bigint, id string, speaker string, text string")
+    said = "array<struct<id: string, speaker: string, text: string>>"
+    candidates = spark.createDataFrame([("m9", 1, "k", ["m0"], [("m0", "v", long)], [("m0", "v", long)])], f"target string, position int, episode string, member_ids array<string>, first {said}, recent {said}")
+    features = segment.router_features(targets, context, candidates)
+    got = features.first()
+    assert f"P1: {long[:80]}\n" in got["ranking_state"] and got["choices"][0].endswith(f"P1: {long[:40]}")
+    gathered = [line for line in _plan(features).splitlines() if "collect_list(" in line and "member_ids" in line]
+    assert len(gathered) == 1 and "substring" in gathered[0]
