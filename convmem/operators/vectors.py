@@ -13,7 +13,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DoubleType
 
 from convmem.plans.joins import join_checked
-from convmem.plans.scratch import scratch
+from convmem.plans.running import Running, running
+from convmem.plans.scratch import scratch, write_scratch
 
 #: Queries and vectors of a block; a task holds the similarities of one block with another.
 QUERY_BLOCK, VECTOR_BLOCK = 1_000, 1_000
@@ -21,6 +22,9 @@ QUERY_BLOCK, VECTOR_BLOCK = 1_000, 1_000
 PLACE_BLOCK = 500
 #: Blocks of queries that are broadcast at a time (32 MB at 64 dimensions), pairs of a batch that is put out.
 BLOCKS, PIECE = 64, 200_000
+#: Vectors of a block that is stored, bytes of a row group of these, and similarities that a task of whole rankings
+#: holds (80 MB), unless one query needs more.
+STORED_BLOCK, ROW_GROUP, HELD = 256, 16 << 20, 10_000_000
 #: Arcs that a block of queries meets at a time.
 ARCS = 1_000
 #: Similarities that are nearer are taken as equal: more than sums in another order differ by.
@@ -295,6 +299,108 @@ def cosine_best(queries: DataFrame, vectors: DataFrame, qid: str = "qid", id_col
     return _meet(even, collection, _nearest(None, 12, False, to_arrow_type(qid_type), to_arrow_type(id_type)), schema, block, part)
 
 
+def _shares(sims: np.ndarray, weights: np.ndarray, constant: int, digits: int) -> np.ndarray:
+    """The sum of weight / (constant + rank) of each vector (a column, in order of id) over the rows of sims, which are
+    ranked as one list by (-similarity rounded to digits, id). What sums in another order tell apart is equal before
+    it is rounded, or copies could fall to both sides of a rounded value."""
+    flat, n = sims.ravel(), sims.shape[1]
+    order = np.argsort(-flat)
+    s = flat[order]
+    new = np.append(True, s[:-1] - s[1:] > TIE)
+    keys = np.round(s[new], digits)
+    new[new] = np.append(True, keys[1:] != keys[:-1])
+    tied = ~new
+    tied[:-1] |= tied[1:]
+    at = np.flatnonzero(tied)
+    if len(at):
+        order[at] = order[at][np.lexsort((order[at] % n, np.cumsum(new)[at]))]
+    return np.bincount(order % n, weights[order // n] / (constant + 1 + np.arange(len(order))), n)
+
+
+def _fused(total: int, constant: int, digits: int, qid: pa.DataType, id_: pa.DataType):
+    """The fused rankings of the queries that come with each block of vectors (_q, the same each time), put out in
+    bounded batches when all `total` vectors have been met. A task holds their similarities and the ids."""
+    schema = pa.schema([("qid", qid), ("id", id_), ("score", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, vectors, known, at = [], [], [], 0
+        for batch in batches:
+            c = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+            for r in range(batch.num_rows):
+                if not known:
+                    for query in c["_q"][r].as_py():
+                        cues: dict = {}
+                        for x in query["_l"]:
+                            rows, weights = cues.setdefault(x["cue"], ([], []))
+                            weights.append(x["weight"])
+                            if x["_v"] is not None:
+                                rows.append(len(vectors))
+                                vectors.append(x["_v"])
+                        asked.append((query["qid"], [(rows, weights) for rows, weights in cues.values() if rows]))
+                    q = np.array(vectors)
+                    sims = np.empty((len(q), total))
+                ids = _names(c["_id"], r)
+                m = len(ids)
+                np.matmul(q, np.frombuffer(c["_m"][r].as_buffer()).reshape(m, -1).T, out=sims[:, at:at + m])
+                known.append(ids.take(pa.array(np.arange(m))))  # a copy: a slice would keep its batch
+                at += m
+        if not known:
+            return
+        ids = pa.concat_arrays(known)
+        by_id = pc.sort_indices(ids)
+        ids, by_id = ids.take(by_id), by_id.to_numpy()
+        first = np.append(0, 1 + np.flatnonzero(pc.fill_null(pc.not_equal(ids.slice(1), ids.slice(0, total - 1)), True).to_numpy(zero_copy_only=False)))
+        ids = ids if len(first) == total else ids.take(pa.array(first))
+        for name, cues in asked:
+            scores = np.zeros(total)
+            for rows, weights in cues:  # of a cue with several rows, each vector meets each weight
+                scores += _shares(sims[np.repeat(rows, len(weights))][:, by_id], np.tile(np.array(weights, float), len(rows)), constant, digits)
+            scores = scores if len(first) == total else np.add.reduceat(scores, first)
+            for a in range(0, len(ids), PIECE):
+                some = ids.slice(a, PIECE)
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(name, qid), len(some)), some.cast(id_), pa.array(scores[a:a + PIECE])], schema=schema)
+
+    return run
+
+
+def cosine_fused(cues: DataFrame, vectors: DataFrame, constant: int = 60, id_col: str = "id", vector: str = "vector", digits: int = 12, part: int = STORED_BLOCK, held: int = HELD) -> DataFrame:
+    """(qid, id, score) for every query and vector: weighted reciprocal-rank fusion of the whole rankings of the
+    query's cues (qid, cue, weight, vector) by (-similarity rounded to digits, id). Cues without a weight or a
+    direction rank nothing, and vectors without one are left out.
+
+    No pair is shuffled or written. Vectors are stored once, packed, and each task reads all of them for a few
+    queries of its own, so disk grows with vectors and queries, never with their product. A task holds at most about
+    `held` similarities, or those of one query, and works on one ranking at a time.
+    """
+    spark, id_type, qid_type = cues.sparkSession, vectors.schema[id_col].dataType, cues.schema["qid"].dataType
+    schema = f"qid {qid_type.simpleString()}, id {id_type.simpleString()}, score double"
+    asking = cues.where("qid IS NOT NULL AND cue IS NOT NULL AND weight IS NOT NULL").select("qid", F.struct("cue", F.col("weight").cast("double").alias("weight"), unit(F.col(vector)).alias("_v")).alias("_x"))
+    lists = asking.groupBy("qid").agg(F.sort_array(F.collect_list("_x")).alias("_l")).where(F.exists("_l", lambda x: x["_v"].isNotNull()))
+    lists = scratch(lists.withColumn("_n", F.size("_l")), "fusion-queries")
+    collection = vectors.select(F.col(id_col).alias("_id"), F.col(vector).cast("array<double>").alias("_v")).where("_v IS NOT NULL")
+    blocks = write_scratch(_packed(collection, "_id", part, {}), "fusion-vectors", ROW_GROUP)[0]
+    total = blocks.agg(F.sum(F.size("_id"))).first()[0]
+    rows, widest = lists.agg(F.sum("_n"), F.max("_n")).first()
+    if not total or not rows:
+        return spark.createDataFrame([], schema)
+    # Queries are dealt in order into groups of up to `most` cues, and one more query's.
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    most = max(widest, min(held // total, -(-rows // tasks)))
+    before = running(lists.select(F.lit(0).alias("_all"), "qid", "_n"), ["_all"], ["qid"], _before=Running("sum", F.col("_n")))
+    dealt = lists.join(before.select("qid", F.floor(F.col("_before") / most).alias("_g")), "qid")
+    packed = scratch(dealt.groupBy("_g").agg(F.collect_list(F.struct("qid", "_l")).alias("_q")), "fusion-groups")
+    groups, step = packed.agg(F.max("_g")).first()[0] + 1, max(1, BLOCKS * QUERY_BLOCK // most)
+    compare = _fused(total, constant, digits, to_arrow_type(qid_type), to_arrow_type(id_type))
+    out = None
+    for low in range(0, groups, step):
+        high = min(groups, low + step)
+        # A task for each group: a range of one number a partition, and a cartesian product with one partition of vectors.
+        own = spark.range(low, high, 1, high - low).withColumnRenamed("id", "_g").join(F.broadcast(packed.where(F.col("_g").between(low, high - 1))), "_g")
+        found = blocks.coalesce(1).crossJoin(own.select("_q").hint("shuffle_replicate_nl")).mapInArrow(compare, schema)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def cosine_ends(arcs: DataFrame, queries: DataFrame, ends: list[str], deal: int, qid: str = "qid", vector: str = "vector", block: int = QUERY_BLOCK) -> DataFrame:
     """Every arc for every query, with the query's similarities to its two ends as _sa and _ta; 0 where an
     end or the query has no direction. arcs has the vectors of its ends, of length 1 or null, as _<end>,

@@ -27,11 +27,13 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def write_scratch(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """Writes df once and returns (the table read back, its path)."""
+def write_scratch(df: DataFrame, label: str, row_group: int | None = None) -> tuple[DataFrame, str]:
+    """Writes df once and returns (the table read back, its path). row_group: bytes of Parquet's row groups,
+    of which a reader of long rows holds one; at least 100 rows."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/convmem-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    writer = df.write if row_group is None else df.write.option("parquet.block.size", row_group)
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from convmem.operators import recall, vectors
 from convmem.plans import recall as plan
+from convmem.queries.recall import QUERIES, _rounded
 
 
 def _world(n: int, seed: int, copies: float = 0.3, groups: bool = False):
@@ -119,3 +122,60 @@ def test_affinity_of_pairs_is_that_of_all(spark, mode):
     everything = {(r["qid"], r["id"]): r["affinity"] for r in recall.gate_affinity(plan.similarities(c, d), c, mode).collect()}
     assert asked.keys() == {k for k in everything if k[1] < "n0030"}
     assert all(abs(everything[k] - v) < 1e-11 for k, v in asked.items())
+
+
+def test_whole_fusion_moves_no_pair(spark):
+    """No exchange but broadcasts where queries have met vectors, so disk does not grow with the pairs."""
+    found = QUERIES["rcl_6_fusion"](spark, "/root/testdata/sf0.001")
+    steps = found._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert any("MapInArrow" in x for x in steps)
+    assert not [x for x in steps if "Exchange" in x and "BroadcastExchange" not in x]
+    assert not [x for x in steps if "Window" in x or "Aggregate" in x]
+
+
+@pytest.mark.parametrize(("part", "held"), [(256, 10_000_000), (7, 1), (7, 4_000)])
+def test_whole_fusion(spark, part, held):
+    """Copies in many blocks take places by id, however queries are dealt."""
+    rows, cues = _world(500, 7, 0.4), _cues(8, 9, 2)
+    c, d = _frames(spark, cues, rows)
+    got = {(r["qid"], r["id"]): r["score"] for r in vectors.cosine_fused(c, d, part=part, held=held).collect()}
+    expected = _whole(cues, rows)
+    assert got.keys() == expected.keys()
+    assert all(abs(expected[k] - v) < 1e-12 for k, v in got.items())
+
+
+def test_whole_fusion_of_repeated_rows(spark):
+    """Cues and items that are there twice count as in SQL: each row of a cue's vectors meets each of its weights."""
+    v = {"a": [1.0, 0.0], "b": [0.8, 0.6], "c": [0.0, 1.0]}
+    d = spark.createDataFrame([(i, v[i]) for i in "abca"], "id string, vector array<double>")
+    c = spark.createDataFrame([("q", 0, 0.5, v["a"]), ("q", 0, 0.5, v["c"]), ("q", 1, 0.2, v["c"]), ("q", -1, 0.1, v["a"]), ("z", 0, 1.0, [0.0, 0.0])], "qid string, cue int, weight double, vector array<double>")
+    ranked = c.alias("x").join(c.alias("y").select("qid", "cue", "weight"), ["qid", "cue"]).select("qid", "cue", F.col("y.weight").alias("weight"), "vector")
+    pairs = ranked.where("qid = 'q'").crossJoin(d.withColumnRenamed("vector", "v")).withColumn("score", F.round(vectors.dot(F.col("vector"), F.col("v")), 12))
+    expected = {(r["qid"], r["id"]): r["score"] for r in recall.fuse(pairs).collect()}
+    got = {(r["qid"], r["id"]): r["score"] for r in plan.fuse_all(c, d).collect()}
+    assert got.keys() == expected.keys() == {("q", i) for i in "abc"}
+    assert all(abs(expected[k] - x) < 1e-12 for k, x in got.items())
+
+
+def test_whole_fusion_of_nothing(spark):
+    rows = pd.DataFrame({"id": ["a", "b", "c", "d"], "vector": [[1.0, 0.0], [0.0, 0.0], None, [float("nan"), 1.0]]})
+    cues = pd.DataFrame([("q", 0, 1.0, [1.0, 0.0]), ("q", 1, 0.5, None), ("q", 2, 0.5, [0.0, 0.0]), ("r", 0, 0.0, [0.0, 1.0])], columns=["qid", "cue", "weight", "vector"])
+    c, d = _frames(spark, cues, rows)
+    assert {(r["qid"], r["id"], round(r["score"] * 61)) for r in plan.fuse_all(c, d).collect()} == {("q", "a", 1), ("r", "a", 0)}
+    assert plan.fuse_all(c, d.where("id <> 'a'")).count() == 0
+    assert plan.fuse_all(c.where("1 = 0"), d).count() == 0
+
+
+def test_shares_join_what_sums_tell_apart():
+    """Copies whose similarities differ by the order of a sum are equal, also beside a rounded value's edge."""
+    edge = 0.1234567890125
+    sims = np.array([[0.5, edge + 2e-16, 0.7, edge - 2e-16, edge + 1e-16]])
+    assert np.round(sims[0, 1], 12) != np.round(sims[0, 3], 12)
+    assert np.allclose(vectors._shares(sims, np.array([1.0]), 60, 12), 1 / (60 + np.array([2, 3, 1, 4, 5])), atol=1e-15)
+
+
+def test_score_is_rounded_as_sql_does(spark):
+    """0.7 / 320 + 0.3 / 3840 is half of the eighth digit's unit to Spark, and scaled it lies below that."""
+    score = 0.7 / 320 + 0.3 / 3840
+    wanted = duckdb.sql(f"SELECT round(CAST({score!r} AS DOUBLE), 8)").fetchall()[0][0]
+    assert spark.range(1).select(_rounded(F.lit(score), 8).alias("s")).first()["s"] == wanted
